@@ -2,9 +2,11 @@
 
 from .decontaminate import ORACLE as _O7
 from .decontaminate import op7_decontamination
+from .packing import op5_packing
 from .quality_rules import ORACLE as _O10
 from .quality_rules import op10_quality_rules
 from .secret_scan import op9_secret_scan
+from .token_files import op6_token_files
 
-QUERIES = {f.__name__: f for f in (op7_decontamination, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op5_packing, op6_token_files, op7_decontamination, op9_secret_scan, op10_quality_rules)}
 ORACLES = {"op7_decontamination": _O7, "op10_quality_rules": _O10}
