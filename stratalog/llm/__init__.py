@@ -2,11 +2,14 @@
 
 from .decontaminate import ORACLE as _O7
 from .decontaminate import op7_decontamination
+from .ngram_join import ORACLE as _O1
+from .ngram_join import op1_ngram_join
 from .packing import op5_packing
 from .quality_rules import ORACLE as _O10
 from .quality_rules import op10_quality_rules
 from .secret_scan import op9_secret_scan
+from .suffix_dedup import op2_suffix_dedup
 from .token_files import op6_token_files
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_token_files, op7_decontamination, op9_secret_scan, op10_quality_rules)}
-ORACLES = {"op7_decontamination": _O7, "op10_quality_rules": _O10}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op5_packing, op6_token_files, op7_decontamination, op9_secret_scan, op10_quality_rules)}
+ORACLES = {"op1_ngram_join": _O1, "op7_decontamination": _O7, "op10_quality_rules": _O10}
