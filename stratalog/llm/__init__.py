@@ -2,6 +2,8 @@
 
 from .decontaminate import ORACLE as _O7
 from .decontaminate import op7_decontamination
+from .hmm_scoring import op8_lm_scoring
+from .html_extract import op4_html_extraction
 from .ngram_join import ORACLE as _O1
 from .ngram_join import op1_ngram_join
 from .packing import op5_packing
@@ -11,5 +13,5 @@ from .secret_scan import op9_secret_scan
 from .suffix_dedup import op2_suffix_dedup
 from .token_files import op6_token_files
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op5_packing, op6_token_files, op7_decontamination, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op4_html_extraction, op5_packing, op6_token_files, op7_decontamination, op8_lm_scoring, op9_secret_scan, op10_quality_rules)}
 ORACLES = {"op1_ngram_join": _O1, "op7_decontamination": _O7, "op10_quality_rules": _O10}
