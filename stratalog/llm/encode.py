@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -20,64 +20,49 @@ CHUNK_BYTES = 4 << 20
 CACHE_ENTRIES = 700_000
 END_ID = 1
 
-#: Marks for the two kinds of tokenizer.
-BYTE_LEVEL_MARK = "\n"
-SPACED_MARK = "\x02"
-
-
 _OTHER_SPACE = re.compile("[\x01\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
-def byte_level_pieces(text: str) -> list[str]:
-    """A byte-level BPE joins one blank to the word after it; texts with other white space stay whole."""
-    if _OTHER_SPACE.search(text):
-        return [text]
-    pieces = text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
-    return [text] if "" in pieces or " " in pieces else pieces
-
-
-def spaced_pieces(text: str) -> list[str]:
-    """For tokenizers that drop white space: no id ever crosses it."""
-    return text.replace("\n", " ").split(" ")
-
-
 class Encoder:
-    """``mark`` is a character that always is one token of its own, with an id that nothing else gives."""
+    """What both kinds share; a kind says how to cut texts and how to encode many pieces at once."""
 
-    def __init__(self, path: str, pieces: Callable[[str], list[str]], mark: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pieces, self.mark, self.entries = Tokenizer.from_file(path), pieces, mark, entries
-        (self.mark_id,) = self.tokenizer.encode(mark, add_special_tokens=False).ids
+        self.tokenizer, self.entries = Tokenizer.from_file(path), entries
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.names = [""] * (1 + max(names.values()))
+        for name, i in names.items():
+            self.names[i] = name
         self._empty()
 
     def _empty(self) -> None:
         self.known: dict[str, int] = {}
         self.first, self.size, self.pool = (np.zeros(0, np.int64) for _ in range(3))
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+
+    def _whole(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        return np.array([i for x in got for i in x], np.int64), np.array([len(x) for x in got], np.int64)
+
     def _learn(self, new: list[str]) -> None:
-        """Encode new pieces as one text with marks between them, which the library does fastest."""
-        alone = [p for p in new if self.mark in p]
-        ids, sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(alone) < len(new):
-            new = [p for p in new if self.mark not in p]
-            gap = self.mark if self.mark.isspace() else f" {self.mark} "
-            joined = self.tokenizer.encode_batch_fast([gap.join([*new, ""])], add_special_tokens=False)[0].ids
-            ids = np.array(joined, np.int64)
-            marks = np.flatnonzero(ids == self.mark_id)
-            sizes = np.diff(marks, prepend=-1) - 1
-            ids = ids[ids != self.mark_id]
-        else:
-            new = []
-        if alone:
-            more = [x.ids for x in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
-            ids = np.concatenate([ids, *(np.array(x, np.int64) for x in more)])
-            sizes = np.concatenate([sizes, [len(x) for x in more]])
-        first = len(self.pool) + np.cumsum(sizes) - sizes
-        n = len(self.size)
-        self.known.update(zip([*new, *alone], range(n, n + len(sizes)), strict=True))
-        self.first, self.size, self.pool = (np.concatenate(x) for x in ((self.first, first), (self.size, sizes), (self.pool, ids)))
+        """Encode new pieces in few texts, which the library does fastest; the kinds of tokenizer differ in how the
+        pieces' ends are found again. What doesn't come out even is encoded piece by piece."""
+        joins = [p for p in new if self.joins(p)]
+        found = [(joins, self._joined(joins))] if joins else []
+        if found and found[0][1] is None:
+            found, joins = [], []
+        if len(joins) < len(new):
+            alone = [p for p in new if not self.joins(p)] if joins else new
+            found.append((alone, self._others(alone)))
+        for pieces, (ids, sizes) in found:
+            n = len(self.size)
+            self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+            first = len(self.pool) + np.cumsum(sizes) - sizes
+            self.first, self.size, self.pool = (np.concatenate(x) for x in ((self.first, first), (self.size, sizes), (self.pool, ids)))
 
     def _find(self, pieces: list[str]) -> np.ndarray:
         return np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
@@ -87,13 +72,14 @@ class Encoder:
         cut = [self.pieces(x) for x in texts]
         every = [p for x in cut for p in x]
         at = self._find(every)
-        new = list({every[i] for i in np.flatnonzero(at < 0).tolist()})
+        missing = np.flatnonzero(at < 0)
+        new = list({every[i] for i in missing.tolist()})
         if len(self.known) + len(new) > self.entries or len(self.pool) > 8 * self.entries:
             self._empty()
-            new = list(set(every))
+            missing, new = np.arange(len(every)), list(set(every))
         if new:
             self._learn(new)
-            at = self._find(every)
+            at[missing] = self._find([every[i] for i in missing.tolist()])
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(self.first[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
@@ -102,6 +88,70 @@ class Encoder:
         return ids.astype(np.uint32), np.diff(total)
 
 
+class ByteLevel(Encoder):
+    """A byte-level BPE whose pre-tokenizer joins one blank to the word after it."""
+
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        super().__init__(path, entries)
+        self.width = np.array([len(x) for x in self.names], np.int64)  # a character of a name is a byte of text
+        (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def pieces(self, text: str) -> list[str]:
+        """Cut before blanks and around line ends that stand alone; texts with other white space stay whole."""
+        double = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+        if double or text[:1] in (" ", "\n", "") or text[-1] in " \n" or _OTHER_SPACE.search(text):
+            return [text]
+        return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
+
+    def joins(self, piece: str) -> bool:
+        return piece > " " and piece.isprintable() and " " not in piece[1:]
+
+    def _joined(self, new: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Pieces without a blank get a line end in front, whose id is dropped; ends are found by bytes."""
+        texts = [p if p[0] == " " else "\n" + p for p in new]
+        ids = self._ids("".join(texts))
+        ends = np.cumsum([len(p.encode()) for p in texts])
+        reach = np.cumsum(self.width[ids])
+        last = np.searchsorted(reach, ends)
+        if reach[-1] != ends[-1] or (reach[last] != ends).any():
+            return None
+        stays = ids != self.newline
+        return ids[stays], np.diff(np.cumsum(stays)[last], prepend=0)
+
+    _others = Encoder._whole
+
+
+class Spaced(Encoder):
+    """A BPE with word ends that drops white space: no id ever crosses it."""
+
+    MARK = "\x02"
+
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        super().__init__(path, entries)
+        self.ends = np.array([x.endswith("</w>") for x in self.names])
+        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+
+    def pieces(self, text: str) -> list[str]:
+        return text.replace("\n", " ").split(" ")
+
+    def joins(self, piece: str) -> bool:
+        """Letters up to U+00FF alone are one word to the pre-tokenizer."""
+        return piece.isalpha() and max(piece) < "\u0100"
+
+    def _joined(self, new: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        ids = self._ids(" ".join(new))
+        last = np.flatnonzero(self.ends[ids])
+        return (ids, np.diff(last, prepend=-1)) if len(last) == len(new) else None
+
+    def _others(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Marks between the pieces, a character that is one token of its own."""
+        if any(self.MARK in p for p in new):
+            return self._whole(new)
+        ids = self._ids(f" {self.MARK} ".join([*new, ""]))
+        marks = np.flatnonzero(ids == self.mark)
+        return ids[ids != self.mark], np.diff(marks, prepend=-1) - 1
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Runs of rows whose texts have about ``limit`` bytes; a null text is empty."""
     for batch in batches:

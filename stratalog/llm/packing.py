@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .encode import BYTE_LEVEL_MARK, Encoder, byte_level_pieces, chunks, with_end
+from .encode import ByteLevel, chunks, with_end
 
 WINDOW = 2048
 OPEN = 64
@@ -73,7 +73,7 @@ def _pack_partition(path: str, window: int, most: int, what: str):
         return pa.RecordBatch.from_arrays([pa.array(v, kinds[n]) for n, v in zip(names, values, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, windows = Encoder(path, byte_level_pieces, BYTE_LEVEL_MARK), OpenWindows(window, most)
+        encoder, windows = ByteLevel(path), OpenWindows(window, most)
         waiting: dict[int, list[tuple]] = {}
         for batch, texts in chunks(batches):
             ids, sizes = with_end(*encoder.encode(texts))
@@ -82,7 +82,7 @@ def _pack_partition(path: str, window: int, most: int, what: str):
                 for start in range(0, n, window):
                     size = min(window, n - start)
                     piece = np.ascontiguousarray(ids[at + start : at + start + size], dtype="<u4")
-                    shown = zlib.crc32(piece.tobytes()) if what == "crc32" else piece.tolist()
+                    shown = zlib.crc32(piece.tobytes()) if what == "crc32" else piece.astype(np.int32)
                     if size == window:
                         done.append((doc, start, size, shown, n, windows.fresh(), 0))
                         continue

@@ -15,7 +15,7 @@ from stratalog.llm import encode, packing, token_files
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 ODD = [
     "", " ", "a", " a", "a ", "a  b", "a\nb c", "a \n b", "x\n\ny", "don't we'll 'tis", "é ü ß ñ 中文 字", "tab\tsep\r\nline", "Σας ΣΑΣ", "a\x01b", " x y z",
-    "é ́x", "<|endoftext|> and <|endoftext|>x", "1234 5 67", "## %% && ... !!", "w" * 3000, "😀 😀😀 a😀", "line\x1cbreak\x85next", "a\x02b \x02 c",
+    "é ́x", "<|endoftext|> and <|endoftext|>x", "1234 5 67", "## %% && ... !!", "w" * 3000, "😀 😀😀 a😀", "line\x1cbreak\x85next", "a\x02b \x02 c", "İstanbul œuvre ªº µm e\u0301",
 ]
 
 
@@ -26,11 +26,11 @@ def texts(n=300):
     return ODD + ["".join("".join(r.choice(bits) for _ in range(r.randint(1, 4))) + r.choice(gaps) for _ in range(r.randint(1, 60))) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("path", "cut", "mark"), [(BYTE, encode.byte_level_pieces, encode.BYTE_LEVEL_MARK), (WORD, encode.spaced_pieces, encode.SPACED_MARK)])
-def test_ids_are_those_of_whole_texts(path, cut, mark):
+@pytest.mark.parametrize(("path", "kind"), [(BYTE, encode.ByteLevel), (WORD, encode.Spaced)])
+def test_ids_are_those_of_whole_texts(path, kind):
     plain, many = Tokenizer.from_file(path), texts()
     for entries in (10**6, 50):
-        e = encode.Encoder(path, cut, mark, entries)
+        e = kind(path, entries)
         for part in (many[:100], many[100:], many[50:150]):
             ids, sizes = e.encode(part)
             want = [x.ids for x in plain.encode_batch(part, add_special_tokens=False)]
