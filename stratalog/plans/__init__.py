@@ -1 +1,7 @@
-"""Part of stratalog; see the README."""
+"""All registered queries of the library, and their SQL."""
+
+from ..operators import trail
+
+_AREAS = (trail,)
+QUERIES = {k: v for area in _AREAS for k, v in area.QUERIES.items()}
+ORACLES = {k: v for area in _AREAS for k, v in area.ORACLES.items()}
