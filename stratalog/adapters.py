@@ -64,3 +64,27 @@ SELECT e.event_id, e.ts AS event_time, e.user_id, c.name AS event_name, c.source
   c.name LIKE 'Get%' OR c.name LIKE 'List%' OR c.name LIKE 'Describe%' AS read_only
 FROM $events e JOIN {values("c", "k, name, source, request", [(i, *r) for i, r in enumerate(_CALLS)])} ON e.event_id % {len(_CALLS)} = c.k
 """
+
+_ACTIONS = ["*", "s3:*", "iam:*", "s3:Get*,s3:List*", "iam:PassRole,ec2:RunInstances", "iam:Create*", "lambda:UpdateFunctionCode,lambda:CreateFunction", "ec2:Describe*", "cloudtrail:StopLogging,guardduty:*", "dynamodb:GetItem,kms:Decrypt", "s3:DeleteBucket,iam:DeleteR?le", "sts:AssumeRole", "sts:AssumeRoleWithWebIdentity", "logs:*", "", "iam:passrole"]
+_RESOURCES = ["*", "arn:aws:s3:::my-bucket/*", "arn:aws:iam::111122223333:role/*", "arn:aws:s3:::*", "arn:aws:iam::111122223333:role/app", "arn:aws:ec2:us-east-1:111122223333:instance/i-1,arn:aws:*:*:*:*", "arn:aws:dynamodb:*:111122223333:table/t", "arn:aws:lambda:eu-west-1:111122223333:function:*", "arn:aws:sns:eu-west-1:111122223333:a*", "arn:aws:x*"]
+_CONDITIONS = [
+    (None, None, None), (None, None, None), (None, None, None), ("StringEquals", "aws:PrincipalOrgID", "o-1"), ("StringLike", "aws:PrincipalArn", "*"), ("StringNotEquals", "aws:SourceAccount", "111122223333"), ("StringLike", "token.actions.githubusercontent.com:sub", "repo:*/app:*"),
+    ("StringLike", "token.actions.githubusercontent.com:sub", "repo:my-org/*"), ("StringEquals", "token.actions.githubusercontent.com:aud", "sts.amazonaws.com"), ("IpAddress", "aws:SourceIp", "8.0.0.0/8,203.0.113.0/24"), ("StringEqualsIfExists", "aws:SourceArn", "arn:aws:s3:::b"), ("StringEquals", "sts:ExternalId", "x1"),
+    ("StringEquals", "iam:PassedToService", "ec2.amazonaws.com"), ("Bool", "aws:SecureTransport", "true"), ("ArnLike", "aws:SourceArn", "arn:aws:sns:*:111122223333:t"),
+]
+#: Policy documents of four statements each; lists are comma-joined, an absent element is NULL.
+POLICY = f"""
+SELECT q.policy_id, q.stmt, q.sid, CASE q.policy_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '2008-10-17' ELSE '2012-10-17' END AS version,
+  CASE q.k % 11 WHEN 3 THEN 'Deny' WHEN 7 THEN 'allow' WHEN 9 THEN 'Permit' ELSE 'Allow' END AS effect,
+  CASE WHEN q.k % 13 <> 5 THEN a.actions END AS actions, CASE WHEN q.k % 13 = 5 THEN 'iam:Create*,ec2:*' END AS not_actions,
+  CASE WHEN q.policy_id % 9 = 8 THEN NULL WHEN q.k % 17 <> 6 THEN r.resources END AS resources, CASE WHEN q.k % 17 = 6 AND q.policy_id % 9 <> 8 THEN 'arn:aws:s3:::keep' END AS not_resources,
+  CASE WHEN q.policy_id % 9 = 5 THEN CASE WHEN q.k % 2 = 0 THEN '*' ELSE 'arn:aws:iam::444455556666:root,111122223333' END WHEN q.policy_id % 9 = 8 THEN CASE q.k % 3 WHEN 0 THEN '*' WHEN 1 THEN 'arn:aws:iam::999988887777:role/x' END END AS aws,
+  CASE WHEN q.policy_id % 9 = 6 THEN 'sns.amazonaws.com' END AS services,
+  CASE WHEN q.policy_id % 9 = 7 THEN CASE WHEN q.k % 2 = 0 THEN 'arn:aws:iam::111122223333:oidc-provider/token.actions.githubusercontent.com' ELSE 'arn:aws:iam::111122223333:saml-provider/corp' END END AS federated,
+  q.policy_id % 9 >= 5 AS has_principal, q.policy_id % 9 = 6 AND q.k % 4 = 1 AS not_principal,
+  c.op AS cond_op, c.ck AS cond_key, c.vals AS cond_values
+FROM (SELECT p_partkey AS k, CAST(FLOOR(p_partkey / 4.0) AS BIGINT) AS policy_id, p_partkey % 4 AS stmt, CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'A' WHEN 2 THEN 'A' ELSE 'S' || CAST(p_partkey % 4 AS VARCHAR(9)) END AS sid, p_size FROM $part) q
+JOIN {values("a", "ak, actions", list(enumerate(_ACTIONS)))} ON CASE WHEN q.policy_id % 9 = 8 THEN 11 + q.k % 2 ELSE (q.k * 7 + q.p_size) % {len(_ACTIONS)} END = a.ak
+JOIN {values("r", "rk, resources", list(enumerate(_RESOURCES)))} ON (q.k + q.p_size) % {len(_RESOURCES)} = r.rk
+JOIN {values("c", "cc, op, ck, vals", [(i, *x) for i, x in enumerate(_CONDITIONS)])} ON (q.k + 3 * q.p_size) % {len(_CONDITIONS)} = c.cc
+"""
