@@ -1,7 +1,7 @@
 """All registered queries of the library, and their SQL."""
 
-from ..operators import policy, trail
+from ..operators import policy, redact, trail
 
-_AREAS = (trail, policy)
+_AREAS = (trail, policy, redact)
 QUERIES = {k: v for area in _AREAS for k, v in area.QUERIES.items()}
 ORACLES = {k: v for area in _AREAS for k, v in area.ORACLES.items()}
