@@ -1,7 +1,7 @@
 """All registered queries of the library, and their SQL."""
 
-from ..operators import cost, inventory, policy, redact, trail
+from ..operators import cost, inventory, leastpriv, network, policy, redact, trail
 
-_AREAS = (trail, policy, redact, cost, inventory)
+_AREAS = (trail, policy, redact, cost, inventory, leastpriv, network)
 QUERIES = {k: v for area in _AREAS for k, v in area.QUERIES.items()}
 ORACLES = {k: v for area in _AREAS for k, v in area.ORACLES.items()}
