@@ -109,7 +109,7 @@ QUERIES = {
     "net_public_subnets": lambda spark, sf_dir: _get(spark, sf_dir, SUBNETS).select("id", (F.col("id") % 25).alias("table")).join(_get(spark, sf_dir, ROUTES, "table").where("len = 0 AND target = 'igw'").select("table").distinct(), "table", "left_semi").select("id"),
 }
 _best = "SELECT p.id, max(len) AS len FROM p JOIN r ON p.tbl = r.tbl AND p.ip BETWEEN r.lo AND r.hi GROUP BY p.id"
-_sweep = "e AS (SELECT vpc, lo AS at, {a} AS da, {b} AS db FROM s UNION ALL SELECT vpc, hi + 1, -{a}, -{b} FROM s), q AS (SELECT vpc, at, sum(da) AS da, sum(db) AS db FROM e GROUP BY ALL), c AS (SELECT vpc, at AS lo, lead(at) OVER w - 1 AS hi, sum(da) OVER w AS a, sum(db) OVER w AS b FROM q WINDOW w AS (PARTITION BY vpc ORDER BY at)), s2 AS (SELECT vpc, lo, hi FROM c WHERE hi IS NOT NULL AND {test}), "
+_sweep = "e AS (SELECT vpc, lo AS pt, {a} AS da, {b} AS db FROM s UNION ALL SELECT vpc, hi + 1, -{a}, -{b} FROM s), q AS (SELECT vpc, pt, sum(da) AS da, sum(db) AS db FROM e GROUP BY ALL), c AS (SELECT vpc, pt AS lo, lead(pt) OVER w - 1 AS hi, sum(da) OVER w AS a, sum(db) OVER w AS b FROM q WINDOW w AS (PARTITION BY vpc ORDER BY pt)), s2 AS (SELECT vpc, lo, hi FROM c WHERE hi IS NOT NULL AND {test}), "
 _merge = "m AS (SELECT vpc, lo, hi, max(hi) OVER (PARTITION BY vpc ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM {src}), g AS (SELECT vpc, lo, hi, sum(CASE WHEN r IS NULL OR lo > r + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY vpc ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT vpc, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY vpc, g"
 _S = f"WITH s AS ({duck(SUBNETS)}), "
 ORACLES = {
