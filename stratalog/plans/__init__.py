@@ -1,8 +1,8 @@
 """All registered queries of the library, and their SQL."""
 
-from ..operators import cost, inventory, leastpriv, network, org, policy, redact, trail
+from ..operators import cost, exposure, inventory, leastpriv, network, org, policy, redact, trail
 from ..streaming import trail_streams
 
-_AREAS = (trail, policy, redact, cost, inventory, leastpriv, network, org, trail_streams)
+_AREAS = (trail, policy, redact, cost, inventory, leastpriv, network, org, exposure, trail_streams)
 QUERIES = {k: v for area in _AREAS for k, v in area.QUERIES.items()}
 ORACLES = {k: v for area in _AREAS for k, v in area.ORACLES.items()}
