@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..adapters import derived, duck, values
+from ..adapters import CHANGES_SQL as CHANGES
+from ..adapters import derived, duck
 from ..functions.text import masked
 
 # Thresholds in days, and codes in order with their severities.
@@ -190,15 +191,6 @@ def plan_risks(changes: DataFrame) -> DataFrame:
     return changes.select("address", F.explode(found).alias("r")).select("address", "r.*")
 
 
-_TYPES = [(0, "aws_db_instance"), (1, "aws_s3_bucket"), (2, "aws_instance"), (3, "aws_vpc"), (4, "aws_kms_key")]
-CHANGES = f"""
-SELECT t.type || '.r' || CAST(o.o_orderkey AS VARCHAR(20)) AS address, t.type, o.o_custkey % 9 AS plan_id, CASE o.o_orderkey % 7 WHEN 0 THEN 'create' WHEN 1 THEN 'delete,create' WHEN 2 THEN 'create,delete' WHEN 3 THEN 'update' WHEN 4 THEN 'delete' WHEN 5 THEN 'no-op' ELSE 'read' END AS acts,
-  CASE WHEN o.o_orderkey % 7 <> 0 THEN '{{"size":"' || CAST(o.o_custkey % 5 AS VARCHAR(9)) || '","acl":"private"}}' END AS before,
-  CASE WHEN o.o_orderkey % 7 <> 4 THEN '{{"size":"' || CAST((o.o_custkey + o.o_orderkey % 2) % 5 AS VARCHAR(9)) || '","acl":"' || CASE WHEN o.o_orderkey % 6 = 0 THEN 'public-read' ELSE 'private' END || '","publicly_accessible":"' || CASE WHEN t.k = 0 AND o.o_orderkey % 4 = 0 THEN 'true' ELSE 'false' END || '","storage_encrypted":"' || CASE WHEN o.o_orderkey % 5 = 0 THEN 'false' ELSE 'true' END || '"}}' END AS after, o.o_orderkey % 8 = 0 AS arn_unknown
-FROM $orders o JOIN {values("t", "k, type", _TYPES)} ON o.o_custkey % 5 = t.k
-"""
-
-
 def _plan(f):
     def typed(df: DataFrame) -> DataFrame:
         return df.withColumn("actions", F.split("acts", ",")).withColumn("after_unknown", F.when(F.col("arn_unknown"), F.array(F.lit("arn"))).otherwise(F.array().cast("array<string>")))
