@@ -128,8 +128,8 @@ ORACLES = {
     "cost_monthly": _C + "SELECT kind, class, count(*) AS items, count(monthly) AS priced, round(sum(monthly), 2) AS monthly FROM c GROUP BY ALL",
     "cost_volume": _C + "SELECT id, class, round(monthly, 4) AS monthly FROM c WHERE kind = 'ebs_volume'",
     "cost_database": _C + "SELECT id, state, round(monthly, 4) AS monthly FROM c WHERE kind = 'rds_instance'",
-    "cost_keep": _C + "SELECT name, count_if(kept) AS kept, count(*) AS items FROM c GROUP BY ALL",
-    "cost_summary": _C + "SELECT account, count(*) AS items, count_if(kept) AS kept, count_if(monthly IS NULL) AS unpriced, round(sum(monthly) FILTER (WHERE NOT kept), 2) AS monthly FROM c GROUP BY account",
+    "cost_keep": _C + "SELECT name, CAST(count_if(kept) AS BIGINT) AS kept, count(*) AS items FROM c GROUP BY ALL",
+    "cost_summary": _C + "SELECT account, count(*) AS items, CAST(count_if(kept) AS BIGINT) AS kept, CAST(count_if(monthly IS NULL) AS BIGINT) AS unpriced, round(sum(monthly) FILTER (WHERE NOT kept), 2) AS monthly FROM c GROUP BY account",
     "cost_rank": _C + "SELECT id, kind, round(monthly, 4) AS monthly FROM c WHERE NOT kept ORDER BY c.monthly DESC NULLS LAST, id LIMIT 100",
     "cost_by_service": _C + "SELECT account, split_part(kind, '_', 1) AS service, round(sum(monthly), 2) AS spend FROM c GROUP BY ALL HAVING abs(round(sum(monthly), 2)) >= 0.005",
     "cost_teardown_plan": _C + f", t AS (SELECT kind, kept, state, {_RANK} AS rank FROM c) SELECT rank, kind, CASE WHEN kept THEN 'kept' WHEN rank = 99 THEN 'by hand' WHEN kind = 'ebs_volume' AND state <> 'available' THEN 'attached' ELSE 'delete' END AS fate, count(*) AS items FROM t GROUP BY ALL",

@@ -1,9 +1,9 @@
 """All registered queries of the library, and their SQL."""
 
-from ..operators import cost, exposure, graph, inventory, leastpriv, network, org, policy, redact, trail
+from ..operators import cost, exposure, graph, inventory, leastpriv, network, org, policy, redact, secrets, trail
 from ..sources import readers
 from ..streaming import trail_streams
 
-_AREAS = (trail, policy, redact, cost, inventory, leastpriv, network, org, exposure, graph, readers, trail_streams)
+_AREAS = (trail, policy, redact, cost, inventory, leastpriv, network, org, exposure, graph, secrets, readers, trail_streams)
 QUERIES = {k: v for area in _AREAS for k, v in area.QUERIES.items()}
 ORACLES = {k: v for area in _AREAS for k, v in area.ORACLES.items()}
