@@ -10,8 +10,10 @@ from .packing import op5_packing
 from .quality_rules import ORACLE as _O10
 from .quality_rules import op10_quality_rules
 from .secret_scan import op9_secret_scan
+from .sharding import ORACLE as _O3
+from .sharding import op3_sharding
 from .suffix_dedup import op2_suffix_dedup
 from .token_files import op6_token_files
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op4_html_extraction, op5_packing, op6_token_files, op7_decontamination, op8_lm_scoring, op9_secret_scan, op10_quality_rules)}
-ORACLES = {"op1_ngram_join": _O1, "op7_decontamination": _O7, "op10_quality_rules": _O10}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_sharding, op4_html_extraction, op5_packing, op6_token_files, op7_decontamination, op8_lm_scoring, op9_secret_scan, op10_quality_rules)}
+ORACLES = {"op1_ngram_join": _O1, "op3_sharding": _O3, "op7_decontamination": _O7, "op10_quality_rules": _O10}
