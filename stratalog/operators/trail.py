@@ -205,7 +205,7 @@ _PARAM = "(name|id|ids|arn|bucket|key)$"
 ORACLES = {
     "trail_parse": _T + "SELECT event_id, event_time, event_name AS name, service, who, id_type AS who_type, region, coalesce(error_code, '') AS error, read_only FROM t",
     "trail_who": _T + "SELECT who, id_type, count(*) AS events FROM t GROUP BY ALL",
-    "trail_resources": _T + f", p AS (SELECT event_id, row_number() OVER (PARTITION BY event_id) AS i, k, json_extract_string(request, '$.' || k) AS v, json_type(request, '$.' || k) AS y FROM (SELECT event_id, request, unnest(json_keys(request)) AS k FROM t)), q AS (SELECT event_id, v, row_number() OVER (PARTITION BY event_id ORDER BY i) AS i FROM p WHERE regexp_matches(lower(k), '{_PARAM}') AND y NOT IN ('OBJECT', 'ARRAY', 'BOOLEAN')) SELECT t.event_id, coalesce(string_agg(v, ', ' ORDER BY i) FILTER (WHERE i <= 2), '') AS resources FROM t LEFT JOIN q USING (event_id) GROUP BY t.event_id",
+    "trail_resources": _T + f", p AS (SELECT event_id, i, k, json_extract_string(request, '$.' || k) AS v, json_type(request, '$.' || k) AS y FROM (SELECT event_id, request, unnest(json_keys(request)) AS k, generate_subscripts(json_keys(request), 1) AS i FROM t)), q AS (SELECT event_id, v, row_number() OVER (PARTITION BY event_id ORDER BY i) AS i FROM p WHERE regexp_matches(lower(k), '{_PARAM}') AND y NOT IN ('OBJECT', 'ARRAY', 'BOOLEAN')) SELECT t.event_id, coalesce(string_agg(v, ', ' ORDER BY i) FILTER (WHERE i <= 2), '') AS resources FROM t LEFT JOIN q USING (event_id) GROUP BY t.event_id",
     "trail_alerts": _T + f"SELECT event_id, rule, {_SEVERITY} AS severity, {_TITLE} AS title, who FROM t WHERE rule IS NOT NULL",
     "trail_alert_counts": _T + f"SELECT rule, {_SEVERITY} AS severity, count(*) AS events, count(DISTINCT who) AS actors, min(event_time) AS first_time, max(event_time) AS last_time FROM t WHERE rule IS NOT NULL GROUP BY rule",
     "trail_search": _T + "SELECT event_id, event_time, event_name AS name, service, who, id_type AS who_type, region, coalesce(error_code, '') AS error, read_only FROM t WHERE event_time >= TIMESTAMP '2024-01-05' AND event_time < TIMESTAMP '2024-01-20' AND NOT read_only AND rule IS NOT NULL ORDER BY event_time DESC, event_id DESC LIMIT 200",
