@@ -6,9 +6,13 @@
 3. Two sets can only link if they share a shingle of their first ``n - ceil(t * n) + 1``. The representatives
    are dealt by those shingles. In a first round each meets only the smallest document of every bucket; groups
    of near copies are joined to one component here, without their pairs.
-4. In a second round, buckets that still hold several components are joined with themselves, skipping pairs
-   inside a component, pairs already compared and pairs whose lengths rule a link out.
-5. Pairs are verified exactly: the partners of one probe, in blocks of bounded size, are stored in a prefix tree
+4. A parity bitmap of each set, about as many bits as it has elements, bounds the symmetric difference from below
+   and drops almost all pairs that don't link, without their sets and without losing a link.
+5. In a second round, buckets that still hold several components compare their members by bitmap inside a task,
+   skipping pairs inside a component, pairs already compared and pairs whose lengths rule a link out; only pairs
+   that may link become rows. A bucket of more than ``MEMBERS`` documents is cut into blocks, and pairs of
+   blocks are tasks' work of their own, so no task holds more than two blocks.
+6. What is left is verified exactly: the partners of one probe, in blocks of bounded size, are stored in a prefix tree
    over the block's order, and the probe walks the tree. What a path shares with the probe is counted once for all
    sets below it, and a subtree is left as soon as its remaining length can't reach the needed overlap.
 
@@ -42,6 +46,8 @@ SKETCH_SLICES = 16
 BROADCAST_IDS = 1_000_000
 #: Most sets in one prefix tree.
 BLOCK = 256
+#: Most documents of a bucket that are compared at once.
+MEMBERS = 2048
 
 
 def least_overlap(a, b, percent: int = PERCENT):
@@ -98,13 +104,79 @@ def _signed(sets: list[np.ndarray], levels: np.ndarray, percent: int) -> tuple[l
     return n, one, two, head
 
 
+def parity(found: np.ndarray) -> bytes:
+    """One bit for each cell, set if an odd number of elements falls into it; a power of two of at least 64 cells."""
+    cells = 1 << max(6, len(found).bit_length())
+    return np.packbits((np.bincount(((found >> np.uint64(20)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
+
+
+def may_link(a: bytes, n: int, b: bytes, m: int, percent: int) -> bool:
+    """False only if sets of n and m elements with these bitmaps can't reach the similarity: every bit that differs
+    stands for an element that only one of them has. The larger bitmap is folded onto the smaller."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= n + m - 2 * least_overlap(n, m, percent)
+
+
+def _filter(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, n, x, b, m, y = (batch.column(c).to_pylist() for c in ("a", "a_n", "a_bits", "b", "b_n", "b_bits"))
+            yield _pairs([(a[i], b[i]) for i in range(len(a)) if may_link(x[i], n[i], y[i], m[i], percent)])
+
+    return run
+
+
+def _number(bits: bytes) -> dict[int, int]:
+    """The bitmap as a number, and folded once, by its size in bits; sets that may link differ by one size at most."""
+    size, x = 8 * len(bits), int.from_bytes(bits, "big")
+    half = size // 2
+    return {size: x, half: (x >> half) ^ (x & ((1 << half) - 1))}
+
+
+def _cross(percent: int):
+    """Pairs (a, b) that may link and aren't compared yet, out of the members of one bucket or of two of its blocks."""
+
+    def pairs(rows: list[tuple], between: bool) -> set[tuple[int, int]]:
+        out = set()
+        rows.sort(key=lambda r: r[1])
+        for i, (a, n, part, block, leader, x) in enumerate(rows):
+            for b, m, other, beside, _, y in rows[i + 1 :]:
+                if 100 * n < percent * m:
+                    break  # the others are longer still
+                if part == other or leader in (a, b) or (between and block == beside):
+                    continue
+                size = min(max(x), max(y))
+                if size not in x or size not in y or (x[size] ^ y[size]).bit_count() <= n + m - 2 * least_overlap(n, m, percent):
+                    out.add((min(a, b), max(a, b)))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            out: set[tuple[int, int]] = set()
+            for token, i, j, doc, n, part, block, leader, bits in zip(*(batch.column(c).to_pylist() for c in ("token", "i", "j", "doc_id", "n", "component", "block", "leader", "bits")), strict=True):
+                if (token, i, j) != key:
+                    out |= pairs(rows, key[1] != key[2]) if key else set()
+                    key, rows = (token, i, j), []
+                rows.append((doc, n, part, block, leader, _number(bits)))
+            yield _pairs(sorted(out))
+        yield _pairs(sorted(pairs(rows, key[1] != key[2])) if key else [])
+
+    return run
+
+
 def _describe(words: int, percent: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            n, one, two, head = _signed(shingle_sets(texts, words), levels.value, percent)
+            sets = shingle_sets(texts, words)
+            n, one, two, head = _signed(sets, levels.value, percent)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in head])]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(head), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, one, two)), prefix], names=["doc_id", "n", "s1", "s2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, one, two)), prefix, pa.array([parity(x) for x in sets], pa.binary())], names=["doc_id", "n", "s1", "s2", "prefix", "bits"])
 
     return run
 
@@ -200,9 +272,11 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, bits: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose whole shingle sets reach the similarity."""
     spark = docs.sparkSession
+    of = lambda c: bits.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits"))
+    pairs = stored(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "a_n", "a_bits", "b", "b_n", "b_bits").mapInArrow(_filter(percent), "a long, b long").distinct(), "possible")
     ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "candidates")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -226,24 +300,26 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """(doc_id, n, rep) of each row, and verified links (a, b) between representatives, enough for all components."""
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(shingle_levels(docs, words))
-    every = stored(docs.select("doc_id", "text").mapInArrow(_describe(words, percent, levels), "doc_id long, n long, s1 long, s2 long, prefix array<long>"), "prefixes")
+    every = stored(docs.select("doc_id", "text").mapInArrow(_describe(words, percent, levels), "doc_id long, n long, s1 long, s2 long, prefix array<long>, bits binary"), "prefixes")
     key = ["s1", "s2", "n"]
     reps = every.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     classes = every.select("doc_id", *key).join(reps, key, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     heads = every.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", *key], "left_semi")
+    bits = heads.select("doc_id", "n", "bits")
     shared = heads.select("doc_id", "n", F.explode("prefix").alias("token"))
     size = shared.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "n")).alias("first")).where("c > 1")
     buckets = stored(shared.join(size, "token").select("token", "doc_id", "n", F.col("first.doc_id").alias("leader"), F.col("first.n").alias("leader_n")), "buckets")
     stars = stored(buckets.where(F.col("leader") != F.col("doc_id")).where(_fits("leader_n", "n", percent)).select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    links = stored(verified(docs, stars, words, percent), "star-links")
+    links = stored(verified(docs, stars, bits, words, percent), "star-links")
     part = connected(links)
-    placed = buckets.select("token", "doc_id", "n").join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    left = stored(placed.join(mixed, "token", "left_semi"), "mixed")
-    x, y = (left.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "n", "component"))) for s in "xy")
-    rest = x.join(y, "token").where("x_doc_id < y_doc_id AND x_component <> y_component").where(_fits("x_n", "y_n", percent))
-    rest = rest.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    return classes, stored(links.unionByName(verified(docs, stored(rest, "rest"), words, percent)), "all-links")
+    placed = buckets.select("token", "doc_id", "n", "leader").join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("token", F.ceil(F.col("c") / MEMBERS).alias("blocks"))
+    left = placed.join(mixed, "token").join(bits.select("doc_id", "bits").dropDuplicates(["doc_id"]), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    left = left.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "x")).withColumn("j", F.greatest("block", "x"))
+    columns = ["token", "i", "j", "doc_id", "n", "component", "block", "leader", "bits"]
+    dealt = left.select(*columns).repartition(slices(spark), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    rest = dealt.mapInArrow(_cross(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+    return classes, stored(links.unionByName(verified(docs, stored(rest, "rest"), bits, words, percent)), "all-links")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

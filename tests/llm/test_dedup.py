@@ -122,6 +122,21 @@ def test_prefix_tree_agrees_with_sets():
             assert sorted(ngram_join.PrefixTree(sets).linked(probe, percent)) == want
 
 
+def test_bitmaps_never_drop_a_link():
+    r = np.random.default_rng(8)
+    dropped = 0
+    for _ in range(400):
+        n = int(r.integers(1, 400))
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[r.random(len(a)) > r.random() * 0.4], r.integers(0, 2**63, r.integers(0, 1 + n // 4)).astype(np.uint64)]))
+        if len(b):
+            link = 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+            may = ngram_join.may_link(ngram_join.parity(a), len(a), ngram_join.parity(b), len(b), 85)
+            assert may or not link
+            dropped += not may
+    assert dropped > 100
+
+
 def test_words_are_hashed_by_content():
     hashes, counts = bytescan.word_hashes(["a Bc  é", "", "bc a", "\tÉ é\n"])
     assert counts.tolist() == [3, 0, 2, 2] and hashes[0] == hashes[4] and hashes[1] == hashes[3] and hashes[2] == hashes[6] != hashes[5]
