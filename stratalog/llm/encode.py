@@ -17,7 +17,7 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 900_000
 END_ID = 1
 
 _OTHER_SPACE = re.compile("[\x01\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -69,8 +69,11 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
-        cut = [self.pieces(x) for x in texts]
-        every = [p for x in cut for p in x]
+        every: list[str] = []
+        ends_of = np.empty(len(texts), np.int64)
+        for i, x in enumerate(texts):
+            every += self.pieces(x)
+            ends_of[i] = len(every)
         at = self._find(every)
         missing = np.flatnonzero(at < 0)
         new = list({every[i] for i in missing.tolist()})
@@ -83,8 +86,7 @@ class Encoder:
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(self.first[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in cut])]).astype(np.int64)
-        total = np.concatenate([[0], ends])[bounds]
+        total = np.concatenate([[0], ends])[np.concatenate([[0], ends_of])]
         return ids.astype(np.uint32), np.diff(total)
 
 
@@ -98,8 +100,8 @@ class ByteLevel(Encoder):
 
     def pieces(self, text: str) -> list[str]:
         """Cut before blanks and around line ends that stand alone; texts with other white space stay whole."""
-        double = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-        if double or text[:1] in (" ", "\n", "") or text[-1] in " \n" or _OTHER_SPACE.search(text):
+        flat = text.replace("\n", " ")
+        if "  " in flat or flat[:1] in (" ", "") or flat[-1] == " " or not flat.isprintable() and _OTHER_SPACE.search(text):
             return [text]
         return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
 
@@ -152,6 +154,16 @@ class Spaced(Encoder):
         return ids[ids != self.mark], np.diff(marks, prepend=-1) - 1
 
 
+_kept: dict[tuple[type, str], Encoder] = {}
+
+
+def shared(kind: type[Encoder], path: str) -> Encoder:
+    """The one encoder of this worker process: tasks that follow each other in it find the pieces already known."""
+    if (kind, path) not in _kept:
+        _kept[kind, path] = kind(path)
+    return _kept[kind, path]
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Runs of rows whose texts have about ``limit`` bytes; a null text is empty."""
     for batch in batches:

@@ -13,6 +13,7 @@ last piece ends; a reader pads them to the window.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .encode import ByteLevel, chunks, with_end
+from .encode import ByteLevel, chunks, shared, with_end
 
 WINDOW = 2048
 OPEN = 64
@@ -42,23 +43,26 @@ class OpenWindows:
     def __init__(self, window: int = WINDOW, most: int = OPEN):
         self.window, self.most, self.next = window, most, 0
         self.room: dict[int, int] = {}
+        self.order: list[tuple[int, int]] = []  # (room, window), the fullest first
 
     def fresh(self) -> int:
         self.next += 1
         return self.next - 1
 
     def place(self, size: int) -> tuple[int, int]:
-        best = min((k for k, room in self.room.items() if room >= size), key=lambda k: (self.room[k], k), default=None)
-        if best is None:
-            if len(self.room) == self.most:
-                del self.room[min(self.room, key=lambda k: (self.room[k], k))]
-            best = self.fresh()
-            self.room[best] = self.window
-        at = self.window - self.room[best]
-        self.room[best] -= size
-        if not self.room[best]:
-            del self.room[best]
-        return best, at
+        at = bisect_left(self.order, (size, -1))
+        if at < len(self.order):
+            room, best = self.order.pop(at)
+        else:
+            if len(self.order) == self.most:
+                del self.room[self.order.pop(0)[1]]
+            room, best = self.window, self.fresh()
+        if room > size:
+            self.room[best] = room - size
+            insort(self.order, (room - size, best))
+        else:
+            self.room.pop(best, None)
+        return best, self.window - room
 
 
 def _pack_partition(path: str, window: int, most: int, what: str):
@@ -73,7 +77,7 @@ def _pack_partition(path: str, window: int, most: int, what: str):
         return pa.RecordBatch.from_arrays([pa.array(v, kinds[n]) for n, v in zip(names, values, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, windows = ByteLevel(path), OpenWindows(window, most)
+        encoder, windows = shared(ByteLevel, path), OpenWindows(window, most)
         waiting: dict[int, list[tuple]] = {}
         for batch, texts in chunks(batches):
             ids, sizes = with_end(*encoder.encode(texts))
