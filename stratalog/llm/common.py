@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word of the plain contracts: anything between ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
-#: A word of the decontamination contract, on text whose A-Z is lower case.
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

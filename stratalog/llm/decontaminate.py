@@ -19,7 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, ascii_lower, stored, table, words
+from .common import ascii_lower, stored, table, words
+
+#: The contract's words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+, on a text whose A-Z may not have been lowered. Said as what
+#: it holds, which Java tests faster than what it excludes.
+ANY_CASE_WORD = r"[\p{Alnum}\x{80}-\x{10FFFF}]++"
 
 WINDOW = 13
 #: A document is contaminated when at least this part of its words is hit.
@@ -29,7 +33,7 @@ BROADCAST_ROWS = 100_000
 
 
 def item_words(text: Column) -> Column:
-    return words(ascii_lower(text), ALNUM_WORD)
+    return words(ascii_lower(text), ANY_CASE_WORD)
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -44,29 +48,39 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def corpus_counts(docs: DataFrame, vocabulary: DataFrame, rows: int) -> DataFrame:
-    """(word, n): how often the corpus holds each word of the vocabulary."""
-    found = docs.select(F.explode(item_words(F.col("text"))).alias("word")).join(_small(vocabulary, rows), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n): how often the corpus holds each word of the vocabulary, in any case."""
+    found = docs.select(F.explode(words(F.col("text"), ANY_CASE_WORD)).alias("word")).select(F.lower("word").alias("word")).join(_small(vocabulary, rows), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     return vocabulary.join(found, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def prefixes(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(prefix, at, win, ids): each distinct window, its rarest word, that word's first place in it, its items."""
     wins = stored(item_windows(items, window).groupBy("win").agg(F.array_sort(F.collect_set("item_id")).alias("ids")), "windows")
-    vocabulary = wins.select(F.explode("win").alias("word")).distinct()
-    counts = corpus_counts(docs, vocabulary, wins.count() * window)
-    placed = wins.select("win", "ids", F.posexplode("win").alias("at", "word")).join(counts, "word")
+    placed = wins.select("win", F.posexplode("win").alias("at", "word")).withColumn("word", F.lower("word"))
+    counts = corpus_counts(docs, placed.select("word").distinct(), wins.count() * window)
+    placed = placed.join(counts, "word")
     rarest = placed.groupBy("win").agg(F.min(F.struct("n", "word", "at")).alias("r"))
     return stored(wins.join(rarest, "win").select(F.col("r.word").alias("prefix"), F.col("r.at").alias("at"), "win", "ids"), "prefixes")
 
 
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, length, ids) of every place where a document holds a window; start counts words from 0."""
-    pre = prefixes(docs, items, window)
-    w = docs.select("doc_id", item_words(F.col("text")).alias("w"), F.size(item_words(F.col("text"))).alias("n_words"))
-    each = w.select("doc_id", "w", "n_words", F.posexplode("w").alias("p", "prefix"))
-    start, size = F.col("p") - F.col("at"), F.size("win")
-    met = each.join(_small(pre, pre.count()), "prefix").where((start >= 0) & (start + size <= F.col("n_words")))
-    return met.where(F.slice("w", start + 1, size) == F.col("win")).select("doc_id", start.alias("start"), size.alias("length"), "ids")
+    pre = prefixes(docs, items, window).withColumn("text", F.array_join("win", " ")).withColumn("size", F.size("win")).drop("win")
+    # The prefix is met in Unicode lower case, which is cheap for one word and coarser than the contract's; the few
+    # words of a meeting are then compared in the contract's form.
+    w = docs.select("doc_id", words(F.col("text"), ANY_CASE_WORD).alias("w")).select("doc_id", "w", F.size("w").alias("n_words"))
+    start = F.col("p") - F.col("at")
+    inside = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
+    same = ascii_lower(F.array_join(F.slice("w", start + 1, F.col("size")), " ")) == F.col("text")
+    found = ["doc_id", start.alias("start"), F.col("size").alias("length"), "ids"]
+    rows = pre.count()
+    if rows <= BROADCAST_ROWS:
+        # Generate, join and filter are one code-generated stage: no row with the whole array is ever written.
+        each = w.select("doc_id", "w", "n_words", F.posexplode("w").alias("p", "word")).withColumn("prefix", F.lower("word"))
+        return each.join(_small(pre, rows), "prefix").where(inside & same).select(*found)
+    each = w.select("doc_id", "n_words", F.posexplode("w").alias("p", "word")).withColumn("prefix", F.lower("word"))
+    met = each.join(pre, "prefix").where(inside).drop("prefix", "word", "n_words")
+    return met.join(w.select("doc_id", "w"), "doc_id").where(same).select(*found).distinct()
 
 
 def _union_length(spans: Column) -> Column:
@@ -84,7 +98,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         F.array_sort(F.collect_set(F.struct(F.col("start"), (F.col("start") + F.col("length")).alias("end")))).alias("spans"),
         F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("ids"))), lambda x: x.cast("string"))).alias("item_ids"),
     )
-    n = docs.select("doc_id", F.regexp_count(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(ALNUM_WORD)).cast("long").alias("n_words"))
+    n = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"))
     out = n.join(hit, "doc_id", "left").select("doc_id", "n_words", F.coalesce(_union_length(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"), "spans", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= MIN_HIT_PERCENT * F.col("n_words")))
 

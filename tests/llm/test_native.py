@@ -118,6 +118,12 @@ def test_decontamination(spark):
         r = got[i]
         assert (r.n_words, r.n_hit, len(r.item_ids), hashlib.sha256(",".join(r.item_ids).encode()).hexdigest()) == (n, hit, k, sha), i
         assert r.contaminated == (hit > 0 and 20 * hit >= n)
+    small = {r.doc_id: (r.n_hit, r.item_ids) for r in got.values()}
+    old, dc.BROADCAST_ROWS = dc.BROADCAST_ROWS, 0
+    try:
+        assert {r.doc_id: (r.n_hit, r.item_ids) for r in dc.contamination(d, items).collect()} == small
+    finally:
+        dc.BROADCAST_ROWS = old
     kept = dc.decontaminate(d, items)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i in got if not got[i].contaminated}
     assert dc.contamination(d, items.limit(0)).where("n_hit > 0").count() == 0
