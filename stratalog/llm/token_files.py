@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, slices, stored, table
-from .encode import Spaced, chunks, with_end
+from .encode import Spaced, chunks, shared, with_end
 
 TOKENIZER = "word_bpe_49k.json"
 BLOCK = 1 << 16
@@ -132,7 +132,7 @@ class Reader:
 
 def _write(path: str, folder: str, planes: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, stream = Spaced(path), None, None
+        encoder, writer, stream = shared(Spaced, path), None, None
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
         name, draft = f"{root}/part-{part:06d}.tbp", f"{root}/draft-{part:06d}-{uuid.uuid4().hex}"
