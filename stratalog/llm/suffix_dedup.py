@@ -9,7 +9,11 @@
 3. Suffix array. Where an anchor has several different runs (at the edges of repeats), the first document's bytes
    of each are fetched and the windows compared: a two-stage suffix sort of the runs' bytes, adjacent common
    prefixes, and the least doc_id of each stretch of equal windows.
-4. Each document's removed windows are united and cut out.
+4. Hot anchors. Where texts differ around a gram that many share, the runs of one anchor grow with the documents.
+   Such anchors are found on a sample by hash; their runs are dealt by their own hash instead, and their windows one
+   by one by theirs, after each map task has kept the least doc_id of equal ones. Which anchors are hot says where
+   windows meet, never what is found.
+5. Each document's removed windows are united and cut out.
 
 Defined cases: null and empty texts and texts under ``LENGTH`` bytes lose nothing; strings inside one document or
 under one doc_id never remove each other; a row without doc_id loses nothing and removes nothing; rows that repeat
@@ -18,6 +22,7 @@ id and text are both kept; an empty table gives no row; other columns are not ca
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +42,13 @@ GRAM = 20
 BUCKETS = 8
 #: Bytes of runs that go into one suffix array, unless one anchor alone has more.
 ARRAY_BYTES = 2 << 20
+#: Different runs of one anchor that stay together; about SAMPLE_DOCS rows (never more than twice that on average, and
+#: all of fewer) show which anchors have more, and SEEN different runs among them are the least that count.
+MOST = 1024
+SAMPLE_DOCS = 8000
+SEEN = 8
+#: Windows of hot anchors that a map task holds at once.
+HELD_WINDOWS = 100_000
 
 
 # Anchors and runs
@@ -88,9 +100,36 @@ def unite(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], reach[np.concatenate([new[1:], [True]])]
 
 
+# Hot anchors
+
+
+def _sampled_runs(length: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in chunks(batches):
+            _, _, _, anchor, bytes_ = anchor_runs([x.encode("utf-8", "surrogatepass") for x in texts], length, gram)
+            pairs = np.unique(np.stack([anchor >> _LOW, bytes_ >> _LOW]), axis=1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["anchor", "run"])
+
+    return run
+
+
+def hot_anchors(known: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> np.ndarray:
+    """The anchors (without their low bits) that seem to have more than ``most`` different runs, sorted."""
+    step = max(1, known.count() // SAMPLE_DOCS)
+    sample = known.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(step)) == 0)
+    pairs = sample.select("text").mapInArrow(_sampled_runs(length, gram), "anchor long, run long").distinct()
+    # At most the sample's runs / SEEN rows.
+    found = pairs.groupBy("anchor").count().where(F.col("count") >= max(SEEN, most // step)).select("anchor").toArrow()
+    return np.sort(found.column("anchor").to_numpy()).astype(np.uint64)
+
+
 # Stage one: runs, packed by bucket of their anchors
 
 _PACKED = "bucket int, data binary"
+#: Packs hold six bytes of each hash; these are the bits that go.
+_LOW = np.uint64(16)
+#: What stands for every hot anchor; no packed anchor has such low bits.
+HOT = -1
 #: mark is the CRC of the text, which tells rows apart that share a doc_id.
 _ROWS = "doc_id long, mark long, start int, windows int, anchor long"
 _NAMES = ["doc_id", "mark", "start", "windows", "anchor"]
@@ -127,7 +166,7 @@ def _unpack(raw: bytes, zstd) -> tuple[np.ndarray, ...]:
     return doc, mark, start, np.frombuffer(rest, np.uint8, n, place + 8 * n).astype(np.int64), _from_six(raw[16:at], n), _from_six(raw[at : at + 6 * n], n)
 
 
-def _find_runs(buckets: int, length: int, gram: int):
+def _find_runs(buckets: int, length: int, gram: int, hot):
     """Packs with bucket >= 0, and what a batch settled by itself with bucket -1 - n, dealt like the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +186,8 @@ def _find_runs(buckets: int, length: int, gram: int):
                 out.append(_pack(doc[late], mark[late], start[late], windows[late], zero, zero, zstd))
             keep = ~late
             doc, mark, start, windows, anchor, bytes_ = (x[keep] for x in (doc, mark, start, windows, anchor, bytes_))
-            bucket = ((anchor >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+            dealt_by = np.where(np.isin(anchor >> _LOW, hot.value), bytes_, anchor) >> _LOW
+            bucket = (dealt_by % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                 if len(part):
@@ -175,7 +215,7 @@ def _rows(*cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], names=_NAMES)
 
 
-def _settle_runs():
+def _settle_runs(hot):
     """Rows with anchor 0 are removed windows; the others are runs whose windows a suffix array must compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +234,11 @@ def _settle_runs():
             edge = np.concatenate([[True], of[1:] != of[:-1]])
             at = np.flatnonzero(edge)
             several = (np.minimum.reduceat(first_doc, at) != np.maximum.reduceat(first_doc, at))[np.cumsum(edge) - 1][group]
-            mixed = several & ~late
+            hot_row = np.isin(anchor >> _LOW, hot.value)  # the anchor's other runs may be in other buckets
+            mixed = (several | hot_row) & ~late
+            kept = np.where(hot_row, HOT, np.where(anchor == 0, 1, anchor).astype(np.int64))
             yield _rows(doc[late], mark[late], start[late], windows[late], np.zeros(int(late.sum()), np.int64))
-            yield _rows(doc[mixed], mark[mixed], start[mixed], windows[mixed], np.where(anchor[mixed] == 0, 1, anchor[mixed]).astype(np.int64))
+            yield _rows(doc[mixed], mark[mixed], start[mixed], windows[mixed], kept[mixed])
 
     return run
 
@@ -281,16 +323,42 @@ def later_windows(doc: np.ndarray, runs: list[bytes], length: int = LENGTH) -> t
     return of[late], place[late]
 
 
+_DEALT = "key long, doc_id long, mark long, start int, windows int, run binary"
+_DEALT_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _DEALT_KINDS, strict=True)], names=["key", "doc_id", "mark", "start", "windows", "run"])
+
+
+def _by_window(found: list[tuple]) -> list[tuple]:
+    """Windows (bytes, doc, mark, start) by the hash of their bytes; without bytes those that a smaller doc here holds."""
+    least: dict[bytes, int] = {}
+    for w, doc, _, _ in found:
+        least[w] = min(doc, least.get(w, doc))
+    key = {w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True) for w in least}
+    return [(key[w], doc, mark, start, 1, w) if doc == least[w] else (doc, doc, mark, start, 1, None) for w, doc, mark, start in found]
+
+
 def _fetch(length: int):
+    """Runs by their anchors, and each window by itself where the anchor is hot."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, found = [], []
             for doc, mark, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text", "wanted")), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                rows += [(w["anchor"], doc, mark, w["start"], raw[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "doc_id", "mark", "start", "run"])
+                for w in wanted:
+                    start, n = w["start"], w["windows"]
+                    if w["anchor"] != HOT:
+                        rows.append((w["anchor"], doc, mark, start, n, raw[start : start + n + length - 1]))
+                        continue
+                    found += [(raw[i : i + length], doc, mark, i) for i in range(start, start + n)]
+                    if len(found) >= HELD_WINDOWS:
+                        yield _dealt(_by_window(found))
+                        found = []
+            yield _dealt(rows + _by_window(found))
 
     return run
 
@@ -299,7 +367,7 @@ def _compare(length: int):
     def windows(rows: list[tuple]) -> pa.RecordBatch:
         rows = list(dict.fromkeys(rows))
         doc, mark, start = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
-        which, at = later_windows(doc, [r[4] for r in rows], length)
+        which, at = later_windows(doc, [r[5] for r in rows], length)
         order = np.lexsort((at, which))
         which, at = which[order], at[order]
         new = np.concatenate([[True], (which[1:] != which[:-1]) | (at[1:] > at[:-1] + 1)]) if len(at) else np.zeros(0, bool)
@@ -311,12 +379,15 @@ def _compare(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "mark", "start", "run")), strict=True):
+            settled = batch.filter(batch.column("run").is_null())
+            yield pa.RecordBatch.from_arrays([*(settled.column(c) for c in _NAMES[:4]), pa.array(np.zeros(settled.num_rows, np.int64))], names=_NAMES)
+            batch = batch.filter(batch.column("run").is_valid())
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and size >= ARRAY_BYTES and row[0] != held[-1][0]:
                     yield windows(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if held:
             yield windows(held)
 
@@ -345,17 +416,24 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (start and end of the removed bytes), kept (the bytes that stay)."""
-    spark = docs.sparkSession
+def dealt_runs(known: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """What stage one settled, and the runs and windows that suffix arrays must compare, with the key that deals them."""
+    spark, row = known.sparkSession, ["doc_id", "mark"]
     n = slices(spark)
+    hot = spark.sparkContext.broadcast(hot_anchors(known, length, gram, most))
+    packed = known.select("doc_id", "text").mapInArrow(_find_runs(BUCKETS * n, length, gram, hot), _PACKED)
+    settled = stored(packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle_runs(hot), _ROWS), "runs")
+    wanted = settled.where("anchor <> 0").groupBy(*row).agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("wanted"))
+    return settled, known.join(wanted, row).select(*row, "text", "wanted").mapInArrow(_fetch(length), _DEALT)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans (start and end of the removed bytes), kept (the bytes that stay)."""
+    n = slices(docs.sparkSession)
     known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("mark"), "text")
     row = ["doc_id", "mark"]
-    packed = known.select("doc_id", "text").mapInArrow(_find_runs(BUCKETS * n, length, gram), _PACKED)
-    settled = stored(packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle_runs(), _ROWS), "runs")
-    wanted = settled.where("anchor <> 0").groupBy(*row).agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("wanted"))
-    fetched = known.join(wanted, row).select(*row, "text", "wanted").mapInArrow(_fetch(length), "anchor long, doc_id long, mark long, start int, run binary")
-    compared = fetched.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare(length), _ROWS)
+    settled, dealt = dealt_runs(known, length, gram, most)
+    compared = dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(length), _ROWS)
     found = settled.where("anchor = 0").unionByName(compared).groupBy(*row).agg(F.collect_list(F.struct("start", "windows")).alias("found"))
     nothing = F.array().cast("array<struct<start:int,windows:int>>")
     joined = known.join(found, row, "left").select("doc_id", "text", "found").unionByName(docs.select("doc_id", "text", nothing.alias("found")).where(F.col("doc_id").isNull()))
