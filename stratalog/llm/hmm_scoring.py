@@ -4,10 +4,11 @@ A word that makes up at least 1 / ``OWN_RATE`` of the training tokens is a symbo
 ``OWN_RATE`` of them); every other word belongs to one of ``CLASSES`` symbols by its last bytes, and has a smoothed
 share of its symbol. P(text) = P(symbols) * product of P(word | symbol): a proper distribution, as the base is.
 
-Training: words are counted over all training documents. Latent states start from a few rounds of Baum-Welch on
-about ``SEED_DOCS`` training documents (never more than twice as many); then each of ``ROUNDS`` rounds runs forward-backward over every training document,
-in pieces of at most ``PIECE`` tokens, and Spark adds up the expected counts. Scoring runs the scaled forward
-recursion over whole texts, so likelihoods are exact. Words that are rare meet their counts in a join.
+Training: words are counted over all training documents. Latent states start from these counts and seeded random
+weights; then each round runs forward-backward over every training document, whole texts at a time, and Spark adds up
+the expected counts, until a round raises the likelihood by less than ``SETTLED`` of it. Forward probabilities of long
+texts are kept piece by piece and carried across the cuts. Scoring runs the scaled forward recursion over whole texts,
+so likelihoods are exact. Words that are rare meet their counts in a join.
 
 Defined cases: a null or empty text is the end alone; a null doc_id counts as training; equal rows are counted and
 scored one by one; with no training document every count is 0 and the model is uniform; an empty table gives no
@@ -31,9 +32,9 @@ from .common import stored, table
 from .encode import chunks
 
 STATES = 12
-ROUNDS = 3
-SEED_DOCS = 400
-SEED_ROUNDS = 25
+#: Training ends with the first round that raises the log-likelihood by less than this share of it.
+SETTLED = 1e-4
+#: Tokens of each text whose forward probabilities are held at once, where those of all would be too many.
 PIECE = 1024
 CLASSES = 1024
 OWN_RATE = 20_000
@@ -134,26 +135,54 @@ class Hmm:
 
     def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Baum-Welch's expected counts of starts, moves and emissions."""
+        return self.forward_backward(texts)[:3]
+
+    def forward_backward(self, texts: list[np.ndarray], piece: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Baum-Welch's expected counts of starts, moves and emissions in whole texts, and their log10-likelihood.
+
+        Forward probabilities are held for ``piece`` tokens of each text; those before each cut are worked out first."""
         _, flat, begin = self._columns(texts)
         k, n = len(self.start), len(begin) - 1
-        move, emit = self.move.astype(np.float32), np.ascontiguousarray(self.emit.T.astype(np.float32))
-        alpha, scale = np.empty((len(flat), k), np.float32), np.empty((len(flat), 1), np.float32)
-        for t in range(n):
+        piece = piece or (n if len(flat) <= 2 * LANES else PIECE)
+        start, move, emit = self.start.astype(np.float32), self.move.astype(np.float32), np.ascontiguousarray(self.emit.T.astype(np.float32))
+
+        def ahead(before: np.ndarray | None, t: int) -> tuple[np.ndarray, np.ndarray]:
             at, to = begin[t], begin[t + 1]
-            a = (self.start.astype(np.float32) if t == 0 else alpha[begin[t - 1] : begin[t - 1] + to - at] @ move) * emit[flat[at:to]]
-            scale[at:to] = a.sum(1, keepdims=True)
-            alpha[at:to] = a / scale[at:to]
-        moves, beta = np.zeros((k, k)), np.ones((begin[1], k), np.float32)
-        for t in range(n - 2, -1, -1):
-            at, to = begin[t + 1], begin[t + 2]
-            lanes = to - at
-            back = emit[flat[at:to]] * beta[:lanes] / scale[at:to]
-            moves += alpha[begin[t] : begin[t] + lanes].T @ back
-            alpha[at:to] *= beta[:lanes]  # from here on the state's probability
-            beta[:lanes] = back @ move.T
-        alpha[: begin[1]] *= beta
-        emits = np.stack([np.bincount(flat, weights=alpha[:, s], minlength=self.emit.shape[1]) for s in range(k)])
-        return alpha[: begin[1]].sum(0, dtype=np.float64), moves * self.move, emits
+            a = (start if before is None else before[: to - at] @ move) * emit[flat[at:to]]
+            scale = a.sum(1, keepdims=True)
+            return a / scale, scale
+
+        cuts, held, a = range(0, n, piece), [None], None
+        for t in range(cuts[-1]):
+            a, _ = ahead(a, t)
+            if (t + 1) % piece == 0:
+                held.append(a)
+        moves, emits, log, beta = np.zeros((k, k)), np.zeros((k, self.emit.shape[1])), 0.0, np.ones((begin[1], k), np.float32)
+        for first in reversed(cuts):
+            last, base = min(first + piece, n), begin[first]
+            alpha, scale = np.empty((begin[last] - base, k), np.float32), np.empty((begin[last] - base, 1), np.float32)
+            before = a = held.pop()
+            for t in range(first, last):
+                at, to = begin[t] - base, begin[t + 1] - base
+                a, scale[at:to] = ahead(a, t)
+                alpha[at:to] = a
+            log += float(np.log10(scale.astype(np.float64)).sum())
+            for t in range(last - 1, first - 1, -1):
+                at, to = begin[t] - base, begin[t + 1] - base
+                now = beta[: to - at]
+                if t:
+                    back = emit[flat[begin[t] : begin[t + 1]]] * now / scale[at:to]
+                    behind = before if t == first else alpha[begin[t - 1] - base : at]
+                    moves += behind[: to - at].T @ back
+                alpha[at:to] *= now  # from here on the state's probability
+                if t:
+                    beta[: to - at] = back @ move.T
+            if first:  # rounding must not add up over long texts
+                now = beta[: begin[first + 1] - begin[first]]
+                now /= (before[: len(now)] * now).sum(1, keepdims=True)
+            for s in range(k):
+                emits[s] += np.bincount(flat[base : begin[last]], weights=alpha[:, s], minlength=emits.shape[1])
+        return alpha[: begin[1]].sum(0, dtype=np.float64), moves * self.move, emits, log
 
     @classmethod
     def fitted(cls, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, share: np.ndarray) -> Hmm:
@@ -255,33 +284,42 @@ def _lanes(batches: Iterator[pa.RecordBatch], column: str = "symbols") -> Iterat
         yield ids, held
 
 
-def _pieces(texts: list[np.ndarray]) -> list[np.ndarray]:
-    return [x[i : i + PIECE] for x in texts for i in range(0, len(x), PIECE)]
-
-
 def _expect(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for _, texts in _lanes(batches):
-            found = model.value.expected(_pieces(texts))
+            found = model.value.forward_backward(texts)
             total = found if total is None else tuple(a + b for a, b in zip(total, found, strict=True))
         if total is not None:
-            # One row for each state and column: starts, moves, then emissions.
-            flat = np.concatenate([total[0][:, None], *total[1:]], axis=1)
+            # One row for each state and column: starts, moves, emissions, and the likelihood in the first state's row.
+            log = np.zeros((len(total[0]), 1))
+            log[0] = total[3]
+            flat = np.concatenate([total[0][:, None], *total[1:3], log], axis=1)
             state, column = np.nonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(state, pa.int32()), pa.array(column, pa.int32()), pa.array(flat[state, column], pa.float64())], names=["state", "col", "n"])
 
     return run
 
 
-def baum_welch(encoded: DataFrame, model: Hmm, share: np.ndarray) -> Hmm:
-    """One round over all training documents; the sums have states * (1 + states + symbols) rows at most."""
+def baum_welch(encoded: DataFrame, model: Hmm, share: np.ndarray) -> tuple[Hmm, float]:
+    """One round over all training documents, and the log10-likelihood of the model that it started from; the sums have
+    states * (1 + states + symbols) + 1 rows at most."""
     spark, k = encoded.sparkSession, len(model.start)
     sent = spark.sparkContext.broadcast(model)
     rows = encoded.where("train").select("doc_id", "symbols").mapInArrow(_expect(sent), "state int, col int, n double").groupBy("state", "col").agg(F.sum("n").alias("n")).toArrow()
-    flat = np.zeros((k, 1 + k + len(share)))
+    flat = np.zeros((k, 2 + k + len(share)))
     flat[rows.column("state").to_numpy(), rows.column("col").to_numpy()] = rows.column("n").to_numpy()
-    return Hmm.fitted(flat[:, 0], flat[:, 1 : 1 + k], flat[:, 1 + k :], share)
+    return Hmm.fitted(flat[:, 0], flat[:, 1 : 1 + k], flat[:, 1 + k : -1], share), float(flat[0, -1])
+
+
+def train(encoded: DataFrame, model: Hmm, share: np.ndarray) -> Hmm:
+    """Rounds over all training documents until the likelihood settles."""
+    last = -np.inf
+    while True:
+        model, log = baum_welch(encoded, model, share)
+        if not log - last > SETTLED * abs(log):
+            return model
+        last = log
 
 
 def _score(model):
@@ -316,21 +354,16 @@ def build_lexicon(vocab: DataFrame, docs: int) -> Lexicon:
     return Lexicon([w for w, _ in order], [c for _, c in order], tokens, words, docs)
 
 
-def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, states: int = STATES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per document row."""
     context = docs.sparkSession.sparkContext
     vocab = vocabulary(docs)
     trained = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 1, F.lit(True))
     lex = build_lexicon(vocab, docs.where(trained).count())
     encoded = stored(docs.select("doc_id", "text").mapInArrow(_encode(context.broadcast(lex)), ENCODED), "encoded")
-    # About SEED_DOCS rows by the hash of their ids, never more than twice that.
-    total = max(1, encoded.count())
-    seed = encoded.where(F.col("train") & (F.pmod(F.xxhash64("doc_id"), F.lit(total)) < SEED_DOCS)).select("symbols").limit(2 * SEED_DOCS).collect()
-    model, pieces = Hmm.fresh(states, lex.share), _pieces([np.frombuffer(r["symbols"], "<u2")[: 4 * PIECE] for r in seed])
-    for _ in range(SEED_ROUNDS if pieces else 0):
-        model = Hmm.fitted(*model.expected(pieces), lex.share)
-    for _ in range(rounds if pieces else 0):
-        model = baum_welch(encoded, model, lex.share)
+    model = Hmm.fresh(states, lex.share)
+    if lex.end_count:
+        model = train(encoded, model, lex.share)
     scored = encoded.select("doc_id", "train", "n", "known", "base", "inner", "rare", "symbols").mapInArrow(_score(context.broadcast(model)), "doc_id long, train boolean, n long, known long, base double, inner double, rare array<struct<h:long,class:int,tf:int>>, symbol_score double")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*")
