@@ -1,8 +1,8 @@
 """Token ids of many texts: the tokenizers library on each distinct piece, a bounded cache for the rest.
 
 Pieces are cut only where the tokenizer's own pre-tokenizer must cut as well, so the ids are those of the
-whole text. The cache lives in one Python worker and is emptied when it holds ``entries`` pieces; its size
-never follows the corpus.
+whole text. The cache is bounded by bytes: pieces of more than ``LONG`` characters never enter it, and when it is full
+the pieces that came only once go first. It lives as long as a task: ``released`` empties it at the task's end.
 """
 
 from __future__ import annotations
@@ -10,14 +10,19 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
-CACHE_ENTRIES = 900_000
+CHUNK_BYTES = 1 << 20
+#: Bytes that a worker's cache may take: per piece about ENTRY_BYTES (key, number, slot of the table) and 8 for each id.
+CACHE_BYTES = 64 << 20
+ENTRY_BYTES = 200
+#: Longest piece that is kept, in characters.
+LONG = 64
 END_ID = 1
 
 _OTHER_SPACE = re.compile("[\x01\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -26,20 +31,37 @@ _OTHER_SPACE = re.compile("[\x01\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-
 class Encoder:
     """What both kinds share; a kind says how to cut texts and how to encode many pieces at once."""
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.entries = Tokenizer.from_file(path), entries
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.names = [""] * (1 + max(names.values()))
         for name, i in names.items():
             self.names[i] = name
-        self._empty()
+        self.empty()
 
-    def _empty(self) -> None:
+    def empty(self) -> None:
         self.known: dict[str, int] = {}
         self.first, self.size, self.pool = (np.zeros(0, np.int64) for _ in range(3))
+        self.again = np.zeros(0, bool)  # pieces that came up once more since the cache was last cut
+
+    def held_bytes(self) -> int:
+        return ENTRY_BYTES * len(self.known) + 8 * len(self.pool)
+
+    def _cut(self) -> None:
+        """Within the limit again: pieces that came only once go; all go where that isn't half of it, and long ones always."""
+        stays = self.again & (self.size <= LONG)
+        if ENTRY_BYTES * int(stays.sum()) + 8 * int(self.size[stays].sum()) > self.limit // 2:
+            stays[:] = False
+        number = np.cumsum(stays) - 1
+        kept = stays.tolist()
+        self.known = {p: int(number[i]) for p, i in self.known.items() if kept[i] and len(p) <= LONG}
+        first, size = self.first[stays], self.size[stays]
+        ends = np.cumsum(size)
+        self.pool = self.pool[np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self.first, self.size, self.again = ends - size, size, np.zeros(len(size), bool)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
@@ -63,6 +85,7 @@ class Encoder:
             self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
             first = len(self.pool) + np.cumsum(sizes) - sizes
             self.first, self.size, self.pool = (np.concatenate(x) for x in ((self.first, first), (self.size, sizes), (self.pool, ids)))
+            self.again = np.concatenate([self.again, np.zeros(len(pieces), bool)])
 
     def _find(self, pieces: list[str]) -> np.ndarray:
         return np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
@@ -75,11 +98,9 @@ class Encoder:
             every += self.pieces(x)
             ends_of[i] = len(every)
         at = self._find(every)
+        self.again[at[at >= 0]] = True
         missing = np.flatnonzero(at < 0)
         new = list({every[i] for i in missing.tolist()})
-        if len(self.known) + len(new) > self.entries or len(self.pool) > 8 * self.entries:
-            self._empty()
-            missing, new = np.arange(len(every)), list(set(every))
         if new:
             self._learn(new)
             at[missing] = self._find([every[i] for i in missing.tolist()])
@@ -87,14 +108,16 @@ class Encoder:
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(self.first[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
         total = np.concatenate([[0], ends])[np.concatenate([[0], ends_of])]
+        if self.held_bytes() > self.limit:
+            self._cut()
         return ids.astype(np.uint32), np.diff(total)
 
 
 class ByteLevel(Encoder):
     """A byte-level BPE whose pre-tokenizer joins one blank to the word after it."""
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        super().__init__(path, entries)
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
+        super().__init__(path, limit)
         self.width = np.array([len(x) for x in self.names], np.int64)  # a character of a name is a byte of text
         (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
@@ -128,8 +151,8 @@ class Spaced(Encoder):
 
     MARK = "\x02"
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        super().__init__(path, entries)
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
+        super().__init__(path, limit)
         self.ends = np.array([x.endswith("</w>") for x in self.names])
         (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
 
@@ -157,11 +180,15 @@ class Spaced(Encoder):
 _kept: dict[tuple[type, str], Encoder] = {}
 
 
-def shared(kind: type[Encoder], path: str) -> Encoder:
-    """The one encoder of this worker process: tasks that follow each other in it find the pieces already known."""
-    if (kind, path) not in _kept:
-        _kept[kind, path] = kind(path)
-    return _kept[kind, path]
+@contextmanager
+def released(kind: type[Encoder], path: str) -> Iterator[Encoder]:
+    """This worker's encoder, for one task: the tokenizer stays for the next one, the cache is emptied."""
+    encoder = _kept.setdefault((kind, path), None) or kind(path)
+    _kept[kind, path] = encoder
+    try:
+        yield encoder
+    finally:
+        encoder.empty()
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .encode import ByteLevel, chunks, shared, with_end
+from .encode import ByteLevel, Encoder, chunks, released, with_end
 
 WINDOW = 2048
 OPEN = 64
@@ -76,8 +76,8 @@ def _pack_partition(path: str, window: int, most: int, what: str):
         values = [*cols[:5], [part] * len(rows), cols[5], cols[6], fill, [closed] * len(rows)]
         return pa.RecordBatch.from_arrays([pa.array(v, kinds[n]) for n, v in zip(names, values, strict=True)], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, windows = shared(ByteLevel, path), OpenWindows(window, most)
+    def pieces(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[pa.RecordBatch]:
+        windows = OpenWindows(window, most)
         waiting: dict[int, list[tuple]] = {}
         for batch, texts in chunks(batches):
             ids, sizes = with_end(*encoder.encode(texts))
@@ -100,6 +100,10 @@ def _pack_partition(path: str, window: int, most: int, what: str):
         if waiting:
             yield out([x for v in waiting.values() for x in v], False, windows)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with released(ByteLevel, path) as encoder:
+            yield from pieces(batches, encoder)
+
     return run
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, slices, stored, table
-from .encode import Spaced, chunks, shared, with_end
+from .encode import Encoder, Spaced, chunks, released, with_end
 
 TOKENIZER = "word_bpe_49k.json"
 BLOCK = 1 << 16
@@ -118,21 +118,22 @@ class Reader:
         return from_planes([self.zstd.decompress(self.source.read(s)) for s in sizes], n, self.kind)
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
-        held, k = np.zeros(0, np.uint32), 0
+        held, at, k = np.zeros(0, np.uint32), 0, 0
         for doc, n in zip(self.doc_ids, self.sizes.tolist(), strict=True):
-            parts, have = [held], len(held)
-            while have < n:
-                parts.append(self.block(k))
-                have += len(parts[-1])
-                k += 1
-            held = np.concatenate(parts)
-            yield doc, held[:n]
-            held = held[n:]
+            if at + n > len(held):
+                parts, have = [held[at:]], len(held) - at
+                while have < n:
+                    parts.append(self.block(k))
+                    have += len(parts[-1])
+                    k += 1
+                held, at = np.concatenate(parts), 0
+            yield doc, held[at : at + n]
+            at += n
 
 
 def _write(path: str, folder: str, planes: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, stream = shared(Spaced, path), None, None
+    def files(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[pa.RecordBatch]:
+        writer, stream = None, None
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
         name, draft = f"{root}/part-{part:06d}.tbp", f"{root}/draft-{part:06d}-{uuid.uuid4().hex}"
@@ -153,6 +154,10 @@ def _write(path: str, folder: str, planes: str):
             kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["path", "part", "first_doc", "n_docs", "n_ids"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with released(Spaced, path) as encoder:
+            yield from files(batches, encoder)
+
     return run
 
 

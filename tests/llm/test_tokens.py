@@ -29,13 +29,23 @@ def texts(n=300):
 @pytest.mark.parametrize(("path", "kind"), [(BYTE, encode.ByteLevel), (WORD, encode.Spaced)])
 def test_ids_are_those_of_whole_texts(path, kind):
     plain, many = Tokenizer.from_file(path), texts()
-    for entries in (10**6, 50):
-        e = kind(path, entries)
+    for limit in (10**9, 20_000, 0):
+        e = kind(path, limit)
         for part in (many[:100], many[100:], many[50:150]):
             ids, sizes = e.encode(part)
             want = [x.ids for x in plain.encode_batch(part, add_special_tokens=False)]
             assert sizes.tolist() == [len(x) for x in want]
             assert ids.tolist() == [i for x in want for i in x]
+            assert e.held_bytes() <= limit and all(len(p) <= encode.LONG for p in e.known) or limit == 10**9
+
+
+def test_cache_is_emptied_at_a_tasks_end():
+    with encode.released(encode.ByteLevel, BYTE) as e:
+        e.encode(texts())
+        assert e.known and len(e.again) == len(e.known) == len(e.size)
+    assert not e.known and not len(e.pool)
+    with encode.released(encode.ByteLevel, BYTE) as again:
+        assert again is e
 
 
 def frame(spark, rows):
