@@ -1,43 +1,50 @@
 """Operator 9, secret scans: fixed shapes, and character Markov models for strings that have none.
 
-Three patterns give the base spans. Beyond them, every long run of key-like characters is scored by two
-first-order character models, one of random strings and one of ordinary identifiers; their log-likelihood
-ratio per character decides. Both models are trained on labelled samples out of the corpus itself: the
-values that the patterns found are the random ones, long words without any such value are the ordinary ones.
-The models are tables of (character class pair, log ratio); their size is fixed by the alphabet, so the
-table is broadcast.
+Three patterns give the base spans. Beyond them, what they leave of every run of key-like characters is scored by two
+first-order character models, one of random strings and one of ordinary identifiers; their mean log-likelihood ratio
+per character pair decides, whatever the run is made of. Both models are trained on labelled samples. Random ones are
+the long values that the patterns found and ``SEEDED`` keys made of digests, so that the model knows alphabets that no
+pattern has; ordinary ones are the other runs, without long ones that mix letters and digits, whose label is open. Only
+pairs are counted, and the finished table, fixed in size by the alphabet, is a literal of the plan: every row is scanned
+by itself, no row meets another.
 
 Offsets come from ``split`` and ``regexp_extract_all``, which alternate over the text; only texts that hold
-a match are cut up at all.
+a match are cut up at all, and long lists of matches are placed block by block.
 
 Defined cases: a null or empty text has no span; equal or overlapping spans of different kinds all stay;
-added spans that touch a base span are dropped; a corpus without samples of either kind gets no model and so no
-added span; repeated rows are scanned alike; other columns pass through ``mask_secrets``.
+added spans never touch a base span; a corpus without ordinary samples gets no model and so no added span; rows are
+scanned one by one, so repeated and null ids change nothing; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, stored, table
+from .common import let, table
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: At least 20 and 24 characters: such a match is the whole run, as one with + and a later test of its length.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 MIN_VALUE = 6
-#: What a key without a known shape looks like: long, with a digit and a letter.
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+#: Runs that the models are trained on, and the least length of a run that is scored.
+RUN = r"[A-Za-z0-9+/_-]{8,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
+MIN_RUN = 16
 MASK = "[SECRET]"
 #: Kinds in the order of listing.
 KINDS = ("assign", "access", "hex", "random")
 #: Mean log ratio per character pair from which a candidate counts as random, in nats.
-MIN_RATIO = 0.7
+MIN_RATIO = 1.0
+#: Keys made of digests that train the model of random strings besides those that the corpus holds.
+SEEDED = 2000
 #: Additive smoothing of single characters, the weight of a single character against pairs, and the symbols.
 SMOOTHING = 0.5
 BACKOFF = 5.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+#: Matches that are placed by one fold.
+BLOCK = 256
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -45,23 +52,38 @@ SPAN = "array<struct<start:int,end:int,value:string>>"
 def _placed(text: Column, pattern: str) -> Column:
     """(start, end, value) of each match, in code points."""
 
+    def step(pieces: Column, found: Column):
+        def run(acc: Column, i: Column) -> Column:
+            start = acc["at"] + F.length(F.get(pieces, i))
+            end = start + F.length(F.get(found, i))
+            return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("value"))).alias("out"))
+
+        return run
+
     def cut(pieces: Column, found: Column) -> Column:
-        step = lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get(pieces, i)) + F.length(F.get(found, i))).alias("at"),
-            F.array_append(
-                acc["out"],
-                F.struct(
-                    (acc["at"] + F.length(F.get(pieces, i))).alias("start"),
-                    (acc["at"] + F.length(F.get(pieces, i)) + F.length(F.get(found, i))).alias("end"),
-                    F.get(found, i).alias("value"),
-                ),
-            ).alias("out"),
+        size = F.size(found)
+        blocks = F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int"))
+        long = lambda x, b: F.aggregate(F.slice(x, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), lambda n, v: n + F.length(v))
+        # Where each block starts, then the places in each block.
+        lead = F.aggregate(
+            blocks,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, b: F.struct((acc["at"] + long(pieces, b) + long(found, b)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
+            lambda acc: acc["out"],
         )
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
+        inside = lambda b, at: F.aggregate(
+            F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, size) - 1),
+            F.struct(at.alias("at"), F.array().cast(SPAN).alias("out")),
+            step(pieces, found),
+            lambda acc: acc["out"],
+        )
+        return let(lead, lambda first: F.flatten(F.transform(blocks, lambda b: inside(b, F.get(first, b)))))
+
+    def whole(pieces: Column) -> Column:
+        # The piece behind the last match has no match of its own and must not be counted.
+        return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: cut(F.slice(pieces, F.lit(1), F.size(m)), m))
 
-    found = let(F.split(text, pattern), lambda p: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: cut(p, m)))
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), let(F.split(text, pattern), whole)).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -70,61 +92,114 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {"assign": assign, "access": _placed(text, ACCESS), "hex": _placed(text, HEX)}
 
 
+def united(spans: Column) -> Column:
+    """Sorted, disjoint (start, end) out of any spans."""
+
+    def step(acc: Column, m: Column) -> Column:
+        last = F.element_at(acc, -1)
+        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], m["end"]).alias("end"))))
+        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= m["start"]), grown).otherwise(F.array_append(acc, m))
+
+    bare = F.array_sort(F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))))
+    return F.aggregate(bare, F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
+def free_parts(runs: Column, base: Column, least: int = MIN_RUN) -> Column:
+    """What united base spans leave of each run, where that has ``least`` characters."""
+
+    def parts(m: Column) -> Column:
+        met = F.filter(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+        left = F.concat(F.array(m["start"]), F.transform(met, lambda b: b["end"]))
+        right = F.concat(F.transform(met, lambda b: b["start"]), F.array(m["end"]))
+        gaps = F.zip_with(left, right, lambda s, e: F.struct(s.alias("start"), e.alias("end"), F.substring(m["value"], s - m["start"] + 1, e - s).alias("value")))
+        return F.filter(gaps, lambda g: g["end"] - g["start"] >= least)
+
+    return F.when(F.size(base) == 0, runs).otherwise(F.flatten(F.transform(runs, parts)))
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """row (all columns), assign, access, hex, and free: what base spans leave of the candidates."""
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    found = rows.select("row", *(c.alias(k) for k, c in base_spans(text).items()), _placed(text, CANDIDATE).alias("runs"))
+    base = F.concat("assign", "access", "hex")
+    return found.select("row", "assign", "access", "hex", let(united(base), lambda b: free_parts(F.col("runs"), b, MIN_RUN)).alias("free"))
+
+
+# The models
+
+
 def _pairs(value: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(value) - 1), lambda i: F.substring(value, i, F.lit(2)))
+    """Every two neighbouring characters."""
+    return F.regexp_extract_all(value, F.lit("(?=(..))"), F.lit(1))
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """(value, random): the labelled samples of at least eight characters."""
+    text = F.coalesce("text", F.lit(""))
+    digit = lambda v: v.rlike("[0-9]")
+    held = F.concat(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), *(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (ACCESS, HEX)))
+    known = F.filter(F.transform(held, lambda v: F.regexp_extract(v, r"([A-Za-z0-9+/_-]+)$", 1)), lambda v: (F.length(v) >= MIN_RUN) & digit(v))
+    is_open = lambda v: (F.length(v) >= MIN_RUN) & digit(v) & v.rlike("[A-Za-z]")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), ACCESS, " "), HEX, " ")
+    ordinary = F.filter(F.regexp_extract_all(bare, F.lit(RUN), F.lit(0)), lambda v: ~is_open(v))
+    label = lambda values, x: F.transform(values, lambda v: F.struct(v.alias("value"), F.lit(x).alias("random")))
+    # One list for both kinds, so that each text is taken apart once; no filter that Spark would push below and repeat.
+    found = docs.select(F.explode(F.concat(label(known, True), label(ordinary, False))).alias("s")).select("s.*")
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    seeds = docs.sparkSession.range(SEEDED).select(F.when(F.col("id") % 2 == 0, F.translate(F.base64(F.unhex(digest)), "=", "")).otherwise(digest).alias("value"), F.lit(True).alias("random"))
+    return found.unionByName(seeds)
 
 
 def train(samples: DataFrame) -> DataFrame:
     """(pair, ratio) from rows (value, random): log P(b | a) under random minus under ordinary.
 
     A pair's probability leans on its second character's own where the first is rare; the table has one row
-    for each pair that either kind has.
+    for each pair that either kind has. Map tasks hand on one row for each pair and kind.
     """
     k = len(ALPHABET)
-    pairs = samples.groupBy("value", "random").agg(F.count("*").alias("n")).select("random", "n", F.explode(_pairs(F.col("value"))).alias("pair"))
-    counts = pairs.groupBy("pair").agg(*(F.sum(F.when(F.col("random") == x, F.col("n")).otherwise(0)).alias(c) for x, c in ((True, "r"), (False, "o"))))
+    pairs = samples.select("random", F.explode(_pairs(F.col("value"))).alias("pair"))
+    counts = pairs.groupBy("pair").agg(*(F.count_if(F.col("random") == x).alias(c) for x, c in ((True, "r"), (False, "o"))))
     counts = counts.select("pair", F.substring("pair", 1, 1).alias("a"), F.substring("pair", 2, 1).alias("b"), "r", "o")
-    # Both helpers have a row for each symbol of the alphabet at most.
-    first = counts.groupBy("a").agg(F.sum("r").alias("ra"), F.sum("o").alias("oa"))
-    second = counts.groupBy("b").agg(F.sum("r").alias("rb"), F.sum("o").alias("ob"))
-    whole = counts.agg(F.sum("r").alias("rn"), F.sum("o").alias("on")).withColumn("one", F.lit(1))
-    every = counts.withColumn("one", F.lit(1)).join(F.broadcast(first), "a").join(F.broadcast(second), "b").join(F.broadcast(whole), "one")
+
+    def over(column: str) -> Column:
+        # At most len(ALPHABET) ** 2 rows stand behind these windows.
+        return F.sum(column).over(Window.partitionBy(F.lit(0)))
 
     def logp(x: str) -> Column:
-        single = (F.col(f"{x}b") + SMOOTHING) / (F.col(f"{x}n") + SMOOTHING * k)
-        return F.log((F.col(x) + BACKOFF * single) / (F.col(f"{x}a") + BACKOFF))
+        of_a, of_b = (F.sum(x).over(Window.partitionBy(c)) for c in "ab")
+        single = (of_b + SMOOTHING) / (over(x) + SMOOTHING * k)
+        return F.log((F.col(x) + BACKOFF * single) / (of_a + BACKOFF))
+
+    return counts.select("pair", (logp("r") - logp("o")).alias("ratio"), over("o").alias("n_ordinary"))
+
 
-    return every.select("pair", (logp("r") - logp("o")).alias("ratio"))
+def weights(model: DataFrame) -> Column | None:
+    """The model as one literal array, by the codes of both characters; None where nothing ordinary trained it."""
+    rows = model.collect()  # at most len(ALPHABET) ** 2
+    if not rows or not rows[0]["n_ordinary"]:
+        return None
+    found = {r["pair"]: r["ratio"] for r in rows}
+    every = (found.get(chr(a) + chr(b), 0.0) for a in range(128) for b in range(128))
+    return F.split(F.lit(",".join(f"{x:.6g}" for x in every)), ",").cast("array<double>")
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """(doc_id, start, end, value) of runs that no base span touches and that mix letters and digits."""
-    free = lambda m: ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    mixed = lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]")
-    return rows.select("doc_id", F.explode(F.filter("runs", lambda m: free(m) & mixed(m))).alias("m")).select("doc_id", "m.start", "m.end", "m.value")
+def mean_ratio(value: Column, weight: Column) -> Column:
+    code = let(F.split(value, ""), lambda c: F.transform(c, F.ascii))
+
+    def mean(c: Column) -> Column:
+        last = F.length(value) - 1
+        total = F.aggregate(F.sequence(F.lit(1), last), F.lit(0.0), lambda t, i: t + F.get(weight, F.get(c, i - 1) * 128 + F.get(c, i)))
+        return total / last
+
+    return let(code, mean)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, assign, access, hex, random: arrays of (start, end, value); one row per document row."""
-    text = F.coalesce("text", F.lit(""))
-    base = base_spans(text)
-    bare = docs.select("doc_id", *(c.alias(k) for k, c in base.items()), _placed(text, CANDIDATE).alias("runs"))
-    rows = stored(bare.withColumn("base", F.concat("assign", "access", "hex")), "secret-spans")
-    cut = lambda c: F.explode(F.transform(c, lambda m: m["value"])).alias("value")
-    bare_value = F.regexp_extract("value", r"([A-Za-z0-9+/_-]+)$", 1)
-    random = rows.where(F.size("base") > 0).select(cut(F.col("base"))).select(bare_value.alias("value"), F.lit(True).alias("random"))
-    ordinary = rows.where(F.size("runs") > 0).select(cut(F.filter("runs", lambda m: ~m["value"].rlike("[0-9]")))).select("value", F.lit(False).alias("random"))
-    model = stored(train(random.unionByName(ordinary).where(F.length("value") >= 8)), "secret-model")
-    trained = model.limit(1).count() > 0 and not random.isEmpty() and not ordinary.isEmpty()
-    if not trained:
-        return rows.select("doc_id", "assign", "access", "hex", F.array().cast(SPAN).alias("random"))
-    values = _candidates(rows)
-    pairs = values.select("value").distinct().select("value", F.explode(_pairs(F.col("value"))).alias("pair"))
-    # At most len(ALPHABET) ** 2 rows.
-    scored = pairs.join(F.broadcast(model), "pair", "left").groupBy("value").agg(F.avg(F.coalesce("ratio", F.lit(0.0))).alias("ratio"))
-    found = values.join(scored.where(F.col("ratio") >= MIN_RATIO), "value", "left_semi")
-    added = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "value"))).alias("random"))
-    return rows.join(added, "doc_id", "left").select("doc_id", "assign", "access", "hex", F.coalesce("random", F.array().cast(SPAN)).alias("random"))
+    """row (all columns of the document), assign, access, hex, random: arrays of (start, end, value)."""
+    weight = weights(train(labelled(docs)))
+    random = F.array().cast(SPAN) if weight is None else F.filter("free", lambda m: mean_ratio(m["value"], weight) >= MIN_RATIO)
+    return located(docs).select("row", "assign", "access", "hex", random.alias("random"))
 
 
 def _listed(kinds: tuple[str, ...]) -> Column:
@@ -138,22 +213,20 @@ def _listed(kinds: tuple[str, ...]) -> Column:
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by ``MASK``; n_chars, where there is one, is counted anew."""
-    spans = scan(docs).select("doc_id", F.array_sort(F.concat(*(F.transform(k, lambda m: F.struct(m["start"], m["end"])) for k in KINDS))).alias("_spans")).where(F.size("_spans") > 0)
-    spans = spans.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_spans")))).alias("_spans"))
-    joined = docs.join(spans, "doc_id", "left")
-    step = lambda acc, m: F.struct(
-        F.when(m["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, m["start"] - acc["at"]), F.lit(MASK))).alias("out"),
-        F.greatest(acc["at"], m["end"]).alias("at"),
-    )
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    masked = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked))
+    text = F.col("row.text")
+    spans = scan(docs).select("row", united(F.concat(*KINDS)).alias("spans"))
+    # What stands between the spans, joined by the mask.
+    left = F.concat(F.array(F.lit(0)), F.transform("spans", lambda m: m["end"]))
+    right = F.concat(F.transform("spans", lambda m: m["start"]), F.array(F.length(text)))
+    masked = F.array_join(F.zip_with(left, right, lambda s, e: F.substring(text, s + 1, e - s)), MASK)
+    out = spans.select("row", F.when(F.size("spans") > 0, masked).otherwise(text).alias("text"), (F.size("spans") > 0).alias("changed"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scan(table(spark, sf_dir, "documents"))
+    s = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
-    return s.select("doc_id", *counts, F.sha2(_listed(KINDS[:3]), 256).alias("base_sha256"), _listed(KINDS).alias("spans"))
+    return s.select("row.doc_id", *counts, F.sha2(_listed(KINDS[:3]), 256).alias("base_sha256"), _listed(KINDS).alias("spans"))

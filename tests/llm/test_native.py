@@ -63,7 +63,7 @@ def brute_base(t):
 
 
 def test_secret_base_spans(docs):
-    rows = ss.scan(docs).select("doc_id", ss._listed(ss.KINDS[:3]).alias("b")).collect()
+    rows = ss.scan(docs).select("row.doc_id", ss._listed(ss.KINDS[:3]).alias("b")).collect()
     want = [(i, brute_base(t)) for i, t in enumerate(TEXTS)] + [(3, ""), (None, "")]
     assert sorted(map(str, ((r.doc_id, r.b) for r in rows))) == sorted(map(str, want))
 
@@ -77,7 +77,7 @@ def test_secret_model_adds_random_strings_only(spark):
     rows = [(i, f"{word()} {word()} token={key(40)} {word()}") for i in range(300)]
     hidden = key(40)
     rows += [(900, f"plain {hidden} text"), (901, "theingtionthean2tionestheingor plain"), (902, None)]
-    got = {x.doc_id: x for x in ss.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {x.row.doc_id: x for x in ss.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [m.value for m in got[900].random] == [hidden]
     assert got[901].random == [] and got[902].random == []
     assert sum(len(x.random) for x in got.values()) == 1
@@ -128,3 +128,51 @@ def test_decontamination(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i in got if not got[i].contaminated}
     assert dc.contamination(d, items.limit(0)).where("n_hit > 0").count() == 0
     assert dc.contamination(d.limit(0), items).count() == 0
+
+
+KEY = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+
+
+def test_secrets_are_found_row_by_row(spark):
+    """One id with two texts, null ids, repeated rows, clashing columns, long texts: each row has its own spans."""
+    rows = [(1, f'token = "{KEY}"'), (1, "plain words only and some more text here"), (None, f'token = "{KEY}"'), (None, "nothing"), (2, f"a {KEY}"), (2, f"a {KEY}"), (3, f"{KEY} " * 3000), (4, None)]
+    d = spark.createDataFrame([(i, t, "mine", 5, "r") for i, t in rows], "doc_id long, text string, spans string, `end` int, row string")
+    out = ss.mask_secrets(d)
+    assert out.columns == d.columns
+    got = sorted((str(r.doc_id), r.text or "", r.spans, r.end, r.row) for r in out.collect())
+    want = [(1, "[SECRET]\""), (1, rows[1][1]), (None, "[SECRET]\""), (None, "nothing"), (2, "a [SECRET]"), (2, "a [SECRET]"), (3, "[SECRET] " * 3000), (4, "")]
+    assert got == sorted((str(i), t, "mine", 5, "r") for i, t in want)
+    found = ss.scan(d).select("row.doc_id", "row.text", ss._listed(ss.KINDS[:3]).alias("b")).collect()
+    assert sorted((str(r.doc_id), r.b) for r in found) == sorted((str(i), brute_base(t)) for i, t in rows)
+    assert ss.mask_secrets(d.limit(0)).count() == 0
+
+
+def test_what_a_base_span_leaves_of_a_run(spark):
+    d = spark.range(1).selectExpr("array(struct(2 AS start, 40 AS end, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKL' AS value)) AS r", "array(struct(0 AS start, 4 AS end), struct(22 AS start, 30 AS end)) AS b")
+    got = d.select(ss.free_parts(d["r"], ss.united(d["b"]), 10).alias("x")).first().x
+    assert [tuple(g) for g in got] == [(4, 22, "cdefghijklmnopqrst"), (30, 40, "CDEFGHIJKL")]
+
+
+def test_added_spans_on_labelled_strings(spark):
+    """Held-out random strings of several alphabets against ordinary compounds and names, by the ratio alone."""
+    import random
+    import string
+
+    r = random.Random(8)
+    bits = ["tion", "ing", "the", "or", "an", "es", "er", "heit", "lich", "un"]
+    word = lambda: "".join(r.choice(bits) for _ in range(r.randint(2, 9)))
+    train = spark.createDataFrame([(i, " ".join(word() for _ in range(200)) + f" item_{i} 2024-01-{i % 28 + 1:02d}T10") for i in range(100)], "doc_id long, text string")
+    weight = ss.weights(ss.train(ss.labelled(train)))
+    ordinary = [w for w in (word() for _ in range(3000)) if len(w) >= ss.MIN_RUN]
+    secret = ["".join(r.choice(a) for _ in range(24)) for a in (string.ascii_letters, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, "0123456789abcdef") for _ in range(300)]
+    d = spark.createDataFrame([(w, False) for w in ordinary] + [(w, True) for w in secret], "v string, random boolean")
+    hit = d.select("random", (ss.mean_ratio(d["v"], weight) >= ss.MIN_RATIO).alias("hit")).groupBy("random", "hit").count().collect()
+    n = {(x.random, x.hit): x["count"] for x in hit}
+    right, wrong = n.get((True, True), 0), n.get((False, True), 0)
+    assert right / len(secret) >= 0.97 and right / (right + wrong) >= 0.97
+
+
+def test_many_matches_are_placed_like_few(spark):
+    text = " ".join(f"é{'abcdef12' * 2}{i:05d}" for i in range(3 * ss.BLOCK + 7))
+    got = spark.createDataFrame([(text,)], "text string").select(ss._placed(ss.F.col("text"), ss.RUN).alias("m")).first().m
+    assert [(m.start, m.end, m.value) for m in got] == [(*x.span(), x[0]) for x in re.finditer(ss.RUN, text)]
