@@ -7,11 +7,17 @@ words that are some window's prefix meet their windows. A meeting fixes where th
 start, the window must fit into the document there (length and place), and the words are then compared.
 
 Everything is DataFrame expressions. The prefix table is broadcast only while it is under
-``BROADCAST_ROWS`` rows, which bounds its size; beyond that Spark joins it by shuffle.
+``BROADCAST_ROWS`` rows, which bounds its size. Beyond that, words are counted before they are joined, a bitmap of fixed
+size keeps words that are no prefix inside their rows, what passes carries the words around it, and prefixes that the
+corpus holds often are dealt over several keys, so the shuffle join has neither whole texts nor hot words.
+
+Hits go back to their rows by doc_id, null or not, and by the text's length and two hashes of it, so a row gets the hits
+of its own text only.
 
 Defined cases: null and empty texts have no words and are never hit; an item without words has no window;
 an item under ``WINDOW`` words is one window; equal items count once each; repeated documents are judged
-alike; empty tables give no hits; other columns pass through where documents are filtered.
+alike, rows that share an id each by its own text, rows with null ids like others; empty tables give no hits; other
+columns pass through where documents are filtered, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +36,9 @@ WINDOW = 13
 MIN_HIT_PERCENT = 5
 #: Most rows of the window table (about 300 bytes each, so some 30 MB) that are sent to every executor.
 BROADCAST_ROWS = 100_000
+#: Bytes of the bitmap of prefixes beyond that, whatever their number, and the occurrences of a prefix that one key takes.
+BITMAP_BYTES = 1 << 22
+SALT_ROWS = 100_000
 
 
 def item_words(text: Column) -> Column:
@@ -43,44 +52,79 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return w.select("item_id", "w", F.explode(starts).alias("i")).select("item_id", F.slice("w", F.col("i"), F.lit(window)).alias("win"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def corpus_counts(docs: DataFrame, vocabulary: DataFrame, rows: int) -> DataFrame:
+def corpus_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, n): how often the corpus holds each word of the vocabulary, in any case."""
-    found = docs.select(F.explode(words(F.col("text"), ANY_CASE_WORD)).alias("word")).select(F.lower("word").alias("word")).join(_small(vocabulary, rows), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    each = docs.select(F.explode(words(F.col("text"), ANY_CASE_WORD)).alias("word")).select(F.lower("word").alias("word"))
+    if vocabulary.count() <= BROADCAST_ROWS:
+        found = each.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    else:  # a word is one row for each map task before any join
+        found = each.groupBy("word").agg(F.count("*").alias("n"))
     return vocabulary.join(found, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def prefixes(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(prefix, at, win, ids): each distinct window, its rarest word, that word's first place in it, its items."""
+    """(prefix, n, at, win, ids): each distinct window, its rarest word and the corpus' count of it, that word's first
+    place in the window, the window's items."""
     wins = stored(item_windows(items, window).groupBy("win").agg(F.array_sort(F.collect_set("item_id")).alias("ids")), "windows")
     placed = wins.select("win", F.posexplode("win").alias("at", "word")).withColumn("word", F.lower("word"))
-    counts = corpus_counts(docs, placed.select("word").distinct(), wins.count() * window)
+    counts = corpus_counts(docs, stored(placed.select("word").distinct(), "vocabulary"))
     placed = placed.join(counts, "word")
     rarest = placed.groupBy("win").agg(F.min(F.struct("n", "word", "at")).alias("r"))
-    return stored(wins.join(rarest, "win").select(F.col("r.word").alias("prefix"), F.col("r.at").alias("at"), "win", "ids"), "prefixes")
+    return stored(wins.join(rarest, "win").select(F.col("r.word").alias("prefix"), "r.n", "r.at", "win", "ids"), "prefixes")
+
+
+#: A row of documents: its id, and what tells its text from another with this id.
+ROW = ("doc_id", "_size", "_h1", "_h2")
+
+
+def _rows(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The four columns of ROW, text, and row (the columns to keep)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select("doc_id", F.length(text).alias("_size"), F.xxhash64(text).alias("_h1"), F.crc32(text).alias("_h2"), text.alias("text"), F.struct(*keep).alias("row"))
+
+
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    same = a["doc_id"].eqNullSafe(b["doc_id"])
+    for c in ROW[1:]:
+        same &= a[c] == b[c]
+    return same
+
+
+def _bitmap(pre: DataFrame) -> Column:
+    """A literal of BITMAP_BYTES bytes; a byte is 1 where a prefix falls into it."""
+    slot = F.pmod(F.xxhash64("prefix"), F.lit(BITMAP_BYTES)).cast("int")
+    found = {r[0] for r in pre.select(slot).distinct().collect()}  # at most BITMAP_BYTES numbers
+    return F.lit(bytes(i in found for i in range(BITMAP_BYTES)))
 
 
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, length, ids) of every place where a document holds a window; start counts words from 0."""
-    pre = prefixes(docs, items, window).withColumn("text", F.array_join("win", " ")).withColumn("size", F.size("win")).drop("win")
+    """ROW, start, length, ids of every place where a document holds a window; start counts words from 0."""
+    pre = prefixes(docs, items, window).withColumn("win_text", F.array_join("win", " ")).withColumn("size", F.size("win")).drop("win")
     # The prefix is met in Unicode lower case, which is cheap for one word and coarser than the contract's; the few
     # words of a meeting are then compared in the contract's form.
-    w = docs.select("doc_id", words(F.col("text"), ANY_CASE_WORD).alias("w")).select("doc_id", "w", F.size("w").alias("n_words"))
+    w = _rows(docs, ["doc_id"]).select(*ROW, words(F.col("text"), ANY_CASE_WORD).alias("w")).select(*ROW, "w", F.size("w").alias("n_words"))
     start = F.col("p") - F.col("at")
     inside = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
-    same = ascii_lower(F.array_join(F.slice("w", start + 1, F.col("size")), " ")) == F.col("text")
-    found = ["doc_id", start.alias("start"), F.col("size").alias("length"), "ids"]
-    rows = pre.count()
-    if rows <= BROADCAST_ROWS:
+    found = [*ROW, start.alias("start"), F.col("size").alias("length"), "ids"]
+    if pre.count() <= BROADCAST_ROWS:
+        same = ascii_lower(F.array_join(F.slice("w", start + 1, F.col("size")), " ")) == F.col("win_text")
         # Generate, join and filter are one code-generated stage: no row with the whole array is ever written.
-        each = w.select("doc_id", "w", "n_words", F.posexplode("w").alias("p", "word")).withColumn("prefix", F.lower("word"))
-        return each.join(_small(pre, rows), "prefix").where(inside & same).select(*found)
-    each = w.select("doc_id", "n_words", F.posexplode("w").alias("p", "word")).withColumn("prefix", F.lower("word"))
-    met = each.join(pre, "prefix").where(inside).drop("prefix", "word", "n_words")
-    return met.join(w.select("doc_id", "w"), "doc_id").where(same).select(*found).distinct()
+        each = w.select(*ROW, "w", "n_words", F.posexplode("w").alias("p", "word")).withColumn("prefix", F.lower("word"))
+        return each.join(F.broadcast(pre), "prefix").where(inside & same).select(*found)
+    # Places whose word may be a prefix, with the words around: ``lead`` of them stand before it.
+    bitmap = _bitmap(pre)
+    lower = F.transform("w", lambda x, i: F.struct(F.lower(x).alias("prefix"), i.alias("p")))
+    passes = lambda x: F.substring(bitmap, F.pmod(F.xxhash64(x["prefix"]), F.lit(BITMAP_BYTES)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+    each = w.select(*ROW, "w", "n_words", F.explode(F.filter(lower, passes)).alias("x")).select(*ROW, "n_words", "x.*", F.slice("w", F.greatest(F.col("x.p") - window + 2, F.lit(1)), F.lit(2 * window - 1)).alias("near"))
+    lead = F.least(F.col("p"), F.lit(window - 1))
+    # Counts add up to the corpus' words, so few prefixes are dealt over several keys, and only these come more than once.
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+    hot = pre.where(F.col("n") > SALT_ROWS).select("prefix", salts.alias("salts")).distinct()
+    keyed = pre.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(salts - 1, F.lit(0))))).drop("n")
+    each = each.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, "prefix", "left")
+    each = each.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("_h1", "p"), F.col("salts")).cast("int"), F.lit(0)))
+    same = ascii_lower(F.array_join(F.slice("near", lead - F.col("at") + 1, F.col("size")), " ")) == F.col("win_text")
+    return each.join(keyed, ["prefix", "salt"]).where(inside & same).select(*found)
 
 
 def _union_length(spans: Column) -> Column:
@@ -91,22 +135,27 @@ def _union_length(spans: Column) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda a: a["n"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, spans, item_ids (sorted as strings), contaminated; one row per document row's id."""
-    occ = occurrences(docs, items, window)
-    hit = occ.groupBy("doc_id").agg(
+def judged(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
+    """row (the columns to keep), n_words, n_hit, spans, item_ids (sorted as strings), contaminated; one row per document row."""
+    hit = occurrences(docs, items, window).groupBy(*ROW).agg(
         F.array_sort(F.collect_set(F.struct(F.col("start"), (F.col("start") + F.col("length")).alias("end")))).alias("spans"),
         F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("ids"))), lambda x: x.cast("string"))).alias("item_ids"),
     )
-    n = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"))
-    out = n.join(hit, "doc_id", "left").select("doc_id", "n_words", F.coalesce(_union_length(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"), "spans", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    n_words = F.regexp_count("text", F.lit(ANY_CASE_WORD)).cast("long")
+    rows = _rows(docs, keep).select(*ROW, n_words.alias("n_words"), "row")
+    n_hit = F.coalesce(_union_length(F.col("spans")), F.lit(0)).cast("long")
+    out = rows.join(hit, _same_row(rows, hit), "left").select("row", "n_words", n_hit.alias("n_hit"), "spans", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= MIN_HIT_PERCENT * F.col("n_words")))
 
 
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, spans, item_ids, contaminated; one row per document row."""
+    return judged(docs, items, ["doc_id"], window).select("row.doc_id", "n_words", "n_hit", "spans", "item_ids", "contaminated")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that aren't contaminated, all columns as they were; null ids stay."""
-    bad = contamination(docs, items, window).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that aren't contaminated, all columns as they were."""
+    return judged(docs, items, docs.columns, window).where(~F.col("contaminated")).select("row.*")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from stratalog.llm import decontaminate as dc
 from stratalog.llm import quality_rules as qr
 from stratalog.llm import secret_scan as ss
 
+qr.RUNS = 1  # the order of rules never changes what is kept
+
 TEXTS = [
     None, "", " \n\t", "one", "a b c a b c a b c", "x " * 400, "# % & word\nword\nword\n\nother line\nother line",
     'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and SECRET: \'abc\' then api_key=A1B2c3d4e5f6',
@@ -119,11 +121,11 @@ def test_decontamination(spark):
         assert (r.n_words, r.n_hit, len(r.item_ids), hashlib.sha256(",".join(r.item_ids).encode()).hexdigest()) == (n, hit, k, sha), i
         assert r.contaminated == (hit > 0 and 20 * hit >= n)
     small = {r.doc_id: (r.n_hit, r.item_ids) for r in got.values()}
-    old, dc.BROADCAST_ROWS = dc.BROADCAST_ROWS, 0
+    old, dc.BROADCAST_ROWS, dc.SALT_ROWS = (dc.BROADCAST_ROWS, dc.SALT_ROWS), 0, 3
     try:
         assert {r.doc_id: (r.n_hit, r.item_ids) for r in dc.contamination(d, items).collect()} == small
     finally:
-        dc.BROADCAST_ROWS = old
+        dc.BROADCAST_ROWS, dc.SALT_ROWS = old
     kept = dc.decontaminate(d, items)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i in got if not got[i].contaminated}
     assert dc.contamination(d, items.limit(0)).where("n_hit > 0").count() == 0
@@ -176,3 +178,17 @@ def test_many_matches_are_placed_like_few(spark):
     text = " ".join(f"é{'abcdef12' * 2}{i:05d}" for i in range(3 * ss.BLOCK + 7))
     got = spark.createDataFrame([(text,)], "text string").select(ss._placed(ss.F.col("text"), ss.RUN).alias("m")).first().m
     assert [(m.start, m.end, m.value) for m in got] == [(*x.span(), x[0]) for x in re.finditer(ss.RUN, text)]
+
+
+def test_each_row_gets_its_own_hits(spark):
+    """One id with two texts, null ids, repeated rows, clashing columns, a long text."""
+    passage = ITEMS[0][1]
+    rows = [(1, passage), (1, "two words"), (None, passage), (None, "nothing here"), (2, passage), (2, passage), (3, "filler word " * 20_000 + passage), (4, None)]
+    d = spark.createDataFrame([(i, t, "mine", "r", 7) for i, t in rows], "doc_id long, text string, spans string, row string, _size int")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.contaminated) for r in dc.contamination(d, items).collect())
+    want = [(i, *brute_hits(t, ITEMS)[:2]) for i, t in rows]
+    assert got == sorted((str(i), n, hit, hit > 0 and 20 * hit >= n) for i, n, hit in want)
+    kept = dc.decontaminate(d, items)
+    assert kept.columns == d.columns
+    assert sorted((str(r.doc_id), r.text or "", r.spans, r.row, r._size) for r in kept.collect()) == sorted((str(i), t or "", "mine", "r", 7) for i, t in rows if t != passage)

@@ -31,7 +31,7 @@ def test_pipeline(spark, tmp_path):
     def good(t):
         n, chars, symbols, dup, repeat = brute_quality(t)
         lines = len([x for x in (t or "").split("\n") if x.strip()])
-        return n >= 50 and 2 * repeat <= n and 10 * symbols <= 3 * n and 2 * dup <= lines and chars <= 40 * n
+        return n >= 50 and 2 * repeat <= n and 10 * symbols <= 3 * n and 2 * dup <= lines and chars <= 40 * n and 10 * sum(c in "0123456789" for c in t or "") <= 7 * chars
 
     kept = {}
     for i, t in rows:
