@@ -13,7 +13,7 @@ from .redact import Options, redact
 def instance_metadata(instances: DataFrame) -> DataFrame:
     """Instances that answer without a token; worse with a public address."""
     open_ = (F.col("imds_endpoint") != "disabled") & (F.coalesce("imds_tokens", F.lit("optional")) != "required")
-    return instances.where(open_).select("id", F.when(F.col("public_ip").isNotNull(), "medium").otherwise("low").alias("severity"))
+    return instances.where(open_).select("id", F.when(F.col("public_ip").isNotNull(), "high").otherwise("medium").alias("severity"))
 
 
 def instance_flags(instances: DataFrame, open_groups: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ _A = f"WITH a AS ({duck(ASSETS)}) "
 _AT = f"WITH r AS (SELECT *, CASE lower(protocol) WHEN '6' THEN 'tcp' WHEN 'all' THEN '-1' ELSE lower(protocol) END AS proto FROM ({duck(_ATOMS)})), t AS (SELECT grp, proto, CASE WHEN proto <> '-1' THEN from_port END AS from_port, CASE WHEN proto <> '-1' THEN to_port END AS to_port, 'cidr' AS kind, cidr AS source, k FROM r UNION ALL SELECT grp, proto, CASE WHEN proto <> '-1' THEN from_port END, CASE WHEN proto <> '-1' THEN to_port END, 'group', peer, k FROM r) "
 _six = "grp, proto, from_port, to_port, kind, source"
 ORACLES = {
-    "expo_imds": _A + "SELECT id, CASE WHEN public_ip IS NOT NULL THEN 'medium' ELSE 'low' END AS severity FROM a WHERE imds_endpoint <> 'disabled' AND coalesce(imds_tokens, 'optional') <> 'required'",
+    "expo_imds": _A + "SELECT id, CASE WHEN public_ip IS NOT NULL THEN 'high' ELSE 'medium' END AS severity FROM a WHERE imds_endpoint <> 'disabled' AND coalesce(imds_tokens, 'optional') <> 'required'",
     "net_instance_flags": _A + "SELECT id FROM a WHERE public_ip IS NOT NULL AND grp IN (SELECT grp FROM a WHERE k % 50 = 1)",
     "expo_encryption": _A + "SELECT account, count(*) FILTER (WHERE NOT encrypted) AS plain, count(*) AS volumes, NOT (account < 8 AND account % 2 = 0) AS default_off FROM a GROUP BY account",
     "expo_databases": _A + "SELECT id, 'high' AS severity, 'Public endpoint' AS risk FROM a WHERE public UNION ALL SELECT id, 'medium', 'Not encrypted' FROM a WHERE NOT encrypted UNION ALL SELECT id, 'critical', 'Public snapshot' FROM a WHERE shared_text = 'me,all'",

@@ -50,7 +50,7 @@ def whatif(requests: DataFrame, path: DataFrame, attached: DataFrame, stmts: Dat
     """Verdicts that change when a draft is attached too."""
     now = org.verdicts(requests, path, attached, stmts).select("id", "action", F.col("verdict").alias("before"))
     then = org.verdicts(requests, path, attached.unionByName(draft), stmts).select("id", "action", F.col("verdict").alias("after"))
-    return now.join(then, ["id", "action"]).where("before <> after")
+    return now.join(then, ["id", "action"]).where("before <> after")  # both have a row for every request
 
 
 def policy_problems(stmts: DataFrame) -> DataFrame:

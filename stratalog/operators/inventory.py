@@ -107,9 +107,11 @@ def match(state: DataFrame, live: DataFrame, read: DataFrame) -> DataFrame:
 
 
 def changed_settings(state: DataFrame, live: DataFrame) -> DataFrame:
-    """One row per setting that differs; absent and null are equal."""
-    long = lambda df, c: df.select("family", "id", F.explode(F.create_map(F.lit("size"), F.col("size").cast("string"), F.lit("flag"), F.col("flag").cast("string"))).alias("setting", c))
-    both = long(state, "declared").join(long(live, "found"), ["family", "id", "setting"])
+    """One row per entry of the map ``settings`` that differs; absent and null are equal, and only settings that were
+    declared are compared."""
+    long = lambda df, c: df.select("family", "id", F.explode("settings").alias("setting", c))
+    pair = state.select("family", "id").join(live.select("family", "id"), ["family", "id"])
+    both = long(state, "declared").join(pair, ["family", "id"], "left_semi").join(long(live, "found"), ["family", "id", "setting"], "left")
     return both.where(~F.col("declared").eqNullSafe(F.col("found")))
 
 
@@ -132,15 +134,17 @@ def owner(tags: Column) -> Column:
 
 
 def import_names(rows: DataFrame, taken: DataFrame) -> DataFrame:
-    """A valid, unique name per type for each row: the base name, then numbered, never one that is taken.
-
-    Numbered names hold the rank among all of their base, so no two bases can meet unless one ends in a number; those
-    that do meet keep the id's hash behind them."""
-    base = F.regexp_replace(F.regexp_replace(F.lower("name"), "[^a-z0-9_]+", "_"), "^([0-9])", "_$1")
-    r = rows.select("family", "id", base.alias("base"))
-    used = taken.select("family", F.col("name").alias("base")).distinct().withColumn("used", F.lit(1))
-    r = r.join(used, ["family", "base"], "left").withColumn("i", F.row_number().over(Window.partitionBy("family", "base").orderBy("id")) + F.coalesce("used", F.lit(0)))
-    return r.select("family", "id", F.when(F.col("i") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("i").cast("string"))).alias("name"))
+    """A valid, unique name per type for each row, never one that is taken. The first row of a base keeps it; the others
+    put two underscores and a hash of their id behind it, and no base holds two underscores in a row. A base starts with
+    a letter or underscore (``r_`` goes before digits) and comes from the id where there is no name."""
+    named = F.coalesce(F.when(F.trim("name") != "", F.col("name")), F.col("id"))
+    base = F.regexp_replace(F.regexp_replace(F.lower(named), "[^a-z0-9_]+", "_"), "_+", "_")
+    r = rows.select("family", "id", F.when(base.rlike("^[0-9]"), F.concat(F.lit("r_"), base)).otherwise(base).alias("base"))
+    used = taken.select("family", F.col("name").alias("base")).distinct().withColumn("used", F.lit(True))
+    first = r.groupBy("family", "base").agg(F.min("id").alias("first")).join(used, ["family", "base"], "left")
+    own = (F.col("id") == F.col("first")) & F.col("used").isNull()
+    late = F.concat(F.col("base"), F.lit("__"), F.substring(F.md5("id"), 1, 16))
+    return r.join(first, ["family", "base"]).select("family", "id", F.when(own, F.col("base")).otherwise(late).alias("name"))
 
 
 _TAGS = ["aws:cloudformation:stack-name", "pulumi:project", "kubernetes.io/cluster/x"]
@@ -210,7 +214,7 @@ QUERIES = {
     "cred_not_in_report": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("u")).join(derived(spark, sf_dir, _U).select("u"), "u", "left_anti"),
     "drift_gone": _drift(lambda s, v, r: match(s, v, r).where("status IN ('gone', 'not checked')").select("family", "id", "status")),
     "drift_unmanaged": _drift(lambda s, v, r: match(s, v, r).where("status IN ('unmanaged', 'other')").select("family", "id", "owner", "status")),
-    "drift_changed": _drift(lambda s, v, r: changed_settings(s, v)),
+    "drift_changed": _drift(lambda s, v, r: changed_settings(*(x.withColumn("settings", F.create_map(*(y for c in ("size", "flag", "team") for y in (F.lit(c), F.col(c).cast("string"))))) for x in (s, v)))),
     "drift_tags": _drift(lambda s, v, r: tag_changes(s, v)),
     "drift_owner": _drift(lambda s, v, r: v.groupBy("owner").agg(F.count("*").alias("resources"))),
     "drift_report": _drift(lambda s, v, r: match(s, v, r).groupBy("family", "status").agg(F.count("*").alias("resources"))),
@@ -250,12 +254,15 @@ ORACLES = {
     "cred_not_in_report": _CU + "SELECT c_custkey AS u FROM customer WHERE c_custkey NOT IN (SELECT u FROM u)",
     "drift_gone": _D + "SELECT family, id, status FROM m WHERE status IN ('gone', 'not checked')",
     "drift_unmanaged": _D + "SELECT family, id, owner, status FROM m WHERE status IN ('unmanaged', 'other')",
-    "drift_changed": _D + "SELECT s.family, s.id, 'size' AS setting, CAST(s.size AS VARCHAR) AS declared, CAST(v.size AS VARCHAR) AS found FROM s JOIN v USING (family, id) WHERE s.size <> v.size UNION ALL SELECT s.family, s.id, 'flag', CAST(s.flag AS VARCHAR), CAST(v.flag AS VARCHAR) FROM s JOIN v USING (family, id) WHERE s.flag <> v.flag",
+    "drift_changed": _D + "SELECT s.family, s.id, 'size' AS setting, CAST(s.size AS VARCHAR) AS declared, CAST(v.size AS VARCHAR) AS found FROM s JOIN v USING (family, id) WHERE s.size <> v.size UNION ALL SELECT s.family, s.id, 'flag', CAST(s.flag AS VARCHAR), CAST(v.flag AS VARCHAR) FROM s JOIN v USING (family, id) WHERE s.flag <> v.flag UNION ALL SELECT s.family, s.id, 'team', s.team, v.team FROM s JOIN v USING (family, id) WHERE s.team <> v.team",
     "drift_tags": _D + "SELECT s.family, s.id, 'team' AS tag, 'changed' AS change FROM s JOIN v USING (family, id) WHERE s.team <> v.team UNION ALL SELECT s.family, s.id, 'env', 'removed' FROM s JOIN v USING (family, id) WHERE v.env IS NULL UNION ALL SELECT s.family, s.id, v.owner_tag, 'added' FROM s JOIN v USING (family, id) WHERE v.owner_tag IS NOT NULL AND v.owner_tag NOT LIKE 'aws:%'",
     "drift_owner": _D + "SELECT owner, count(*) AS resources FROM v GROUP BY owner",
     "drift_report": _D + "SELECT family, status, count(*) AS resources FROM m GROUP BY ALL",
     "drift_not_checked": _D + "SELECT account, count(*) AS resources FROM s WHERE account >= 6 GROUP BY account",
-    "drift_import_names": _D + ", x AS (SELECT family, id, regexp_replace(lower(name), '[^a-z0-9_]+', '_', 'g') AS base FROM v WHERE (family, id) NOT IN (SELECT family, id FROM s)), t AS (SELECT DISTINCT family, regexp_replace(name, '[^a-z0-9_]+', '_', 'g') AS base, 1 AS used FROM s WHERE k % 40 = 1), y AS (SELECT family, id, base, row_number() OVER (PARTITION BY family, base ORDER BY id) + coalesce(used, 0) AS i FROM x LEFT JOIN t USING (family, base)) SELECT family, id, CASE WHEN i = 1 THEN base ELSE base || '_' || i END AS name FROM y",
+    "drift_import_names": _D
+    + """, x AS (SELECT family, id, regexp_replace(regexp_replace(lower(coalesce(nullif(trim(name), ''), id)), '[^a-z0-9_]+', '_', 'g'), '_+', '_', 'g') AS b FROM v WHERE (family, id) NOT IN (SELECT family, id FROM s)),
+y AS (SELECT family, id, CASE WHEN regexp_matches(b, '^[0-9]') THEN 'r_' || b ELSE b END AS base FROM x), t AS (SELECT DISTINCT family, regexp_replace(name, '[^a-z0-9_]+', '_', 'g') AS base FROM s WHERE k % 40 = 1)
+SELECT family, id, CASE WHEN row_number() OVER (PARTITION BY family, base ORDER BY id) = 1 AND (family, base) NOT IN (SELECT family, base FROM t) THEN base ELSE base || '__' || md5(id)[1:16] END AS name FROM y""",
     "plan_action": _P + "SELECT address, action FROM c",
     "plan_counts": _P + 'SELECT plan_id, count(*) FILTER (WHERE action = \'create\') AS "create", count(*) FILTER (WHERE action = \'update\') AS "update", count(*) FILTER (WHERE action = \'replace\') AS "replace", count(*) FILTER (WHERE action = \'delete\') AS "delete", count(*) FILTER (WHERE action = \'read\') AS "read", count(*) FILTER (WHERE action = \'no-op\') AS no_op FROM c GROUP BY plan_id',
     "plan_changes": _P + "SELECT plan_id, address, action, CAST(list_position(['delete', 'replace', 'update', 'create', 'forget'], action) AS BIGINT) AS rank FROM c WHERE action IN ('delete', 'replace', 'update', 'create', 'forget')",

@@ -42,7 +42,7 @@ def allowed(found: DataFrame, hashes: DataFrame) -> DataFrame:
 
 def shown(value: Column, label: Column) -> Column:
     """Both ends of a token; of a password only its length."""
-    return F.when(label == "Secret", F.format_string("(%d characters)", F.length(value))).otherwise(masked(value))
+    return F.when(label == "setting", F.format_string("(%d characters)", F.length(value))).otherwise(masked(value))
 
 
 def history(found: DataFrame, current: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ QUERIES = {
     "secrets_history": _history,
 }
 _F = r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM documents),
-f AS (SELECT doc_id, line_no, line, regexp_extract(m, '[:=][ \t]*"?(.*)$', 1) AS value FROM (SELECT *, unnest(regexp_extract_all(line, '(?i)(?:password|passwd|secret|token|api_?key|private_?key|credentials?)["'']?[ \t]*[:=][ \t]*(?:"[^"\n]{1,500}|[^\s"''{\[(]{6,})')) AS m FROM l)) """
+f AS (SELECT doc_id, line_no, line, regexp_extract(m, '[:=][ \t]*["'']?(.*)$', 1) AS value FROM (SELECT *, unnest(regexp_extract_all(line, '(?i)(?:api_key|apikey|credential|passphrase|passwd|password|private_key|privatekey|secret|token)s?["'']?[ \t]*[:=][ \t]*(?:"[^"\n]+|''[^''\n]+|[^\s"''&{\[(][^\s"''&]{5,})')) AS m FROM l)) """
 ORACLES = {
     "secrets_find": _F + "SELECT doc_id, line_no, 'block' AS action, count(*) AS hits FROM f GROUP BY ALL",
     "secrets_placeholders": _F + "SELECT CASE WHEN doc_id % 2 = 0 THEN 'warn' ELSE 'block' END AS action, count(*) AS hits FROM f GROUP BY ALL",

@@ -1,5 +1,6 @@
 """Odd rows by hand: nulls, broken texts, ties, loops."""
 
+import math
 import re
 
 from pyspark.sql import functions as F
@@ -51,16 +52,72 @@ def test_redact_agrees_with_python(spark):
     assert got[4].redacted == "card [REDACTED] but not 4111 1111 1111 1112" and got[5].redacted == "key [REDACTED] end"
     assert got[6].redacted == 'password = "[REDACTED]" token: ${var.x}' and got[7].redacted == "call [REDACTED] or [REDACTED]"
     assert got[8].redacted == "red /home/[REDACTED]/x" and got[9].redacted == "arn:aws:iam::[REDACTED]:user/[REDACTED] and [REDACTED]" and got[10].redacted == "[REDACTED]"
-    for _, _, pattern, side, _ in redact.RULES:
-        if side == "all":
-            for i, t in enumerate(texts):
-                want = [m.span() for m in re.finditer(pattern, t or "")]
-                assert [(s.start, s.end) for s in df.where(F.col("i") == i).select(tx.spans(F.coalesce("text", F.lit("")), pattern).alias("s")).first().s] == want if want else True
+
+
+#: Texts and what of them is covered.
+COVERED = [
+    ('password = "' + "s" * 800 + '" z', ["s" * 800]), ("api_key: 'abc def'", ["abc def"]), ("-----BEGIN RSA PRIVATE KEY-----\n" + "QUJD" * 16 + "\nplain", ["-----BEGIN RSA PRIVATE KEY-----\n" + "QUJD" * 16]),
+    ("PuTTY-User-Key-File-2: ssh-rsa\nx\nPrivate-MAC: 00ff", ["PuTTY-User-Key-File-2: ssh-rsa\nx\nPrivate-MAC: 00ff"]), ("at 2001:db8::1 now", ["2001:db8::1"]), ("C:\\Users\\jane\\x", ["jane"]), ("mysql -u root -phunter2 db", ["hunter2"]),
+    ("docker login -p s3cr3t host", ["s3cr3t"]), ("run --password abc123", ["abc123"]), ("0011.2233.4455", ["0011.2233.4455"]), ("https://abcdefghijklmnopqrst1.lambda-url.eu-west-1.on.aws/", ["abcdefghijklmnopqrst1"]), ("https://corp1.awsapps.com/start", ["corp1"]),
+    ("db1.abcdefghijk1.eu-west-1.rds.amazonaws.com", ["db1.abcdefghijk1"]), ("https://my-logs.s3.amazonaws.com/x", ["my-logs"]), ("s3://my-logs/x", ["my-logs"]), ("X-Amz-Credential=AKQ/2024&x", ["AKQ/2024"]), ("AROA" + "A1" * 8 + ":jo@x", ["AROA" + "A1" * 8, "jo@x"]),
+    ("root r-ab12 and ou-ab12-abcdefgh1", ["r-ab12", "ou-ab12-abcdefgh1"]), ("o-abcdefghi1", ["o-abcdefghi1"]), ("prx-" + "A1" * 10, ["prx-" + "A1" * 10]), ("i-0123456789abcdef0 sg-12345678", ["i-0123456789abcdef0", "sg-12345678"]), ("ghp_" + "a1" * 18, ["ghp_" + "a1" * 18]),
+    ("Authorization: Bearer abc.def", ["abc.def"]), ("postgres://me:pw@db/x", ["me:pw"]), ("nothing here, at 10:30", []), ("time 12:30:45 ok", []),
+]
+
+
+def test_each_shape_covers_what_it_should(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(COVERED)], "i int, text string")
+    got = {r.i: [COVERED[r.i][0][s.start : s.end] for s in r.spans] for r in redact.redact(df).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(COVERED)}
+
+
+def _passes(kind, v):
+    mixed = all(re.search(p, v) for p in ("[A-Z]", "[a-z]", "[0-9]"))
+    bits = -sum(v.count(c) / len(v) * math.log2(v.count(c) / len(v)) for c in set(v))
+    if kind in ("long", "secret40"):
+        return mixed and bits >= (4.8 if kind == "long" else 4.2)
+    if kind == "url":
+        return not re.match(r"[^:]*:\d{1,5}(?:[/?#]|$)", v)
+    if kind == "email":
+        return not re.search(r"(?i)^git@|openssh\.com$", v)
+    if kind == "ipv4":
+        return all(len(p) <= 3 and int(p) <= 255 and not re.match(r"0\d", p) for p in v.split(".")) and v.split(".")[0] not in ("0", "255", "127")
+    if kind == "luhn":
+        d = [int(c) for c in v if c.isdigit()]
+        return 13 <= len(d) <= 19 and len(set(d)) > 1 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0
+    if kind == "value":
+        return not re.match(r"(?i)\$\{|\$\(|var\.|local\.|data\.|<|changeme|example|null|none|true|false|\*+$|x+$", v)
+    return True
+
+
+def test_redaction_of_whole_documents_by_brute_force(spark):
+    """The four redaction queries' operators on every given document, with the shapes run one by one by another engine."""
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    compiled = [(i, x, regex.compile(x.pattern(), regex.ASCII | regex.VERSION1)) for i, x in enumerate(redact.SHAPES)]
+    found = {d: [(m.start(1), m.end(1), i, x.label) for i, x, p in compiled for m in p.finditer(t) if _passes(x.check, m[1])] for d, t in texts.items()}
+    got = docs.select("doc_id", F.explode(redact.find(F.coalesce("text", F.lit("")))).alias("s")).select("doc_id", "s.*").collect()
+    assert sorted((r.doc_id, r.start, r.end, r.prio, r.label) for r in got) == sorted((d, *x) for d, v in found.items() for x in v)
+    assert got
+    total = {}
+    for r in redact.redact(docs).collect():
+        at, out, spans = 0, "", []
+        for s, e, _, label in sorted(found[r.doc_id], key=lambda x: (x[0], -x[1], x[2])):
+            if s >= at:
+                out += texts[r.doc_id][at:s] + "[REDACTED]"
+                at = e
+                spans.append((s, e, label))
+                total[label] = total.get(label, 0) + 1
+        assert [tuple(x) for x in r.spans] == spans
+        assert r.redacted == re.sub(redact.ANSI, "", out + texts[r.doc_id][at:])
+    assert {r.label: r.hits for r in redact.counts(redact.redact(docs)).collect()} == total
 
 
 def test_numbered_placeholders_repeat_for_equal_values(spark):
     df = spark.createDataFrame([("x@a.example.com y@a.example.com X@a.example.com",)], "text string")
-    assert redact.redact(df, options=redact.Options(numbered=True)).first().redacted == "[REDACTED-Email-1] [REDACTED-Email-2] [REDACTED-Email-1]"
+    assert redact.redact(df, options=redact.Options(numbered=True)).first().redacted == "[REDACTED-email-1] [REDACTED-email-2] [REDACTED-email-1]"
 
 
 def test_hmac(spark):

@@ -41,6 +41,6 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
-def test_query_runs(spark, name):
-    assert plans.QUERIES[name](spark, SF).count() >= 0
+def test_queries_without_sql_have_a_brute_force_test():
+    """tests/test_operators.py holds these against another engine on whole documents."""
+    assert set(plans.QUERIES) - set(plans.ORACLES) == {"redact_find", "redact_resolve", "redact_apply", "redact_counts"}
