@@ -110,7 +110,8 @@ QUERIES = {
     "drift_ignore": inventory._drift(lambda s, v, r: ignored(v, v.where("k % 23 = 0").select(F.col("id").alias("key")).unionByName(v.where("k % 31 = 0").select(F.concat_ws("/", "family", "id").alias("key"))), "team", "Brand#2").groupBy("family").agg(F.count("*").alias("resources"))),
     "drift_import_blocks": inventory._drift(lambda s, v, r: import_blocks(inventory.import_names(v.join(s.select("family", "id"), ["family", "id"], "left_anti"), s.where("k < 0").select("family", "name")))),
 }
-_names = "x AS (SELECT family, id, regexp_replace(lower(name), '[^a-z0-9_]+', '_', 'g') AS base FROM v WHERE (family, id) NOT IN (SELECT family, id FROM s)), y AS (SELECT family, id, base, row_number() OVER (PARTITION BY family, base ORDER BY id) AS i FROM x)"
+_names = """x AS (SELECT family, id, regexp_replace(regexp_replace(lower(coalesce(nullif(trim(name), ''), id)), '[^a-z0-9_]+', '_', 'g'), '_+', '_', 'g') AS b FROM v WHERE (family, id) NOT IN (SELECT family, id FROM s)),
+y AS (SELECT family, id, CASE WHEN regexp_matches(b, '^[0-9]') THEN 'r_' || b ELSE b END AS base FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY family, base ORDER BY id) AS i FROM y)"""
 ORACLES = {
     "cred_key_use": inventory._CU + f", {inventory._KEYS}, o AS ({duck(USES)}), j AS (SELECT k.user_, use_id, slot, last_use FROM k JOIN o ON k.user_ = 'user' || o.u AND abs(epoch(rotated) - epoch(made)) < 2 WHERE active IS NOT NULL), g AS (SELECT user_, use_id, count(DISTINCT slot) AS n, min(slot) AS slot, max(last_use) AS last_use FROM j GROUP BY ALL) SELECT user_ AS user, slot, last_use FROM g WHERE n = 1",
     "cred_policy_sources": "SELECT 'u' || c_custkey AS user, 'direct' AS policy, 'own' AS through FROM customer WHERE c_custkey % 9 = 0 UNION ALL SELECT 'u' || c_custkey, 'p' || s_suppkey, 'group ' || (c_nationkey % 6) FROM customer JOIN supplier ON s_suppkey < 12 AND s_suppkey % 6 = c_nationkey % 6 WHERE c_custkey % 9 > 1",
@@ -119,5 +120,5 @@ ORACLES = {
     "scp_draft_whatif": org._O + f", d AS (SELECT p.id FROM p WHERE node LIKE 'ou4%') SELECT id, action, {org._V} AS before, 'denied' AS after FROM w WHERE id IN (SELECT id FROM d) AND lower(action) GLOB 'iam:create*' AND {org._V} <> 'denied'",
     "scp_problems": f"WITH s AS (SELECT *, coalesce(actions, '') <> '' AS a, not_actions IS NOT NULL AS n FROM ({duck(POLICY)})) SELECT policy_id, stmt, 'Effect must be Allow or Deny' AS problem FROM s WHERE lower(effect) NOT IN ('allow', 'deny') UNION ALL SELECT policy_id, stmt, 'No action' FROM s WHERE NOT a AND NOT n UNION ALL SELECT policy_id, stmt, 'Action and NotAction' FROM s WHERE a AND n UNION ALL SELECT policy_id, stmt, 'Principal isn''t allowed here' FROM s WHERE has_principal",
     "drift_ignore": inventory._D + "SELECT family, count(*) AS resources FROM v WHERE k % 23 <> 0 AND k % 31 <> 0 AND team <> 'Brand#2' GROUP BY family",
-    "drift_import_blocks": inventory._D + f", {_names} SELECT family, id, 'import {{' || chr(10) || '  to = ' || family || '.' || base || CASE WHEN i > 1 THEN '_' || i ELSE '' END || chr(10) || '  id = \"' || id || '\"' || chr(10) || '}}' || chr(10) AS block FROM y",
+    "drift_import_blocks": inventory._D + f", {_names} SELECT family, id, 'import {{' || chr(10) || '  to = ' || family || '.' || base || CASE WHEN i > 1 THEN '__' || md5(id)[1:16] ELSE '' END || chr(10) || '  id = \"' || id || '\"' || chr(10) || '}}' || chr(10) AS block FROM z",
 }
