@@ -172,9 +172,18 @@ def failed_rule(order: list[Rule], feature: Callable[[str], Column]) -> Column:
 
 
 def quality_filter(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows that no rule rejects, all columns as they were."""
+    """The rows that no rule rejects, all columns as they were. Words are split once; the cascade works out the rest."""
     order = [rule for rule, _, _ in plan_cascade(docs, text=text, rows=rows)]
-    return docs.where(failed_rule(order, _of(F.col(text), {})).isNull())
+    return docs.where(let(words(F.col(text)), lambda w: failed_rule(order, _of(F.col(text), _of_words(w)))).isNull())
+
+
+def _of_words(w: Column) -> dict[str, Column]:
+    """The features that an array of words gives."""
+    return {
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
+        "n_repeat_words": let(let(_windows(w), _repeated), _covered),
+    }
 
 
 #: Features that the report has of every text; the others are worked out by the cascade where it gets so far.
