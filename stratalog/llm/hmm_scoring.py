@@ -6,7 +6,8 @@ share of its symbol. P(text) = P(symbols) * product of P(word | symbol): a prope
 
 Training: words are counted over all training documents. Latent states start from these counts and seeded random
 weights; then each round runs forward-backward over every training document, whole texts at a time, and Spark adds up
-the expected counts, until a round raises the likelihood by less than ``SETTLED`` of it. Forward probabilities of long
+the expected counts, until a round raises the likelihood by less than ``SETTLED`` of it. A round takes the documents in
+``TURNS`` parts and fits the model after each, so that fewer rounds are needed. Forward probabilities of long
 texts are kept piece by piece and carried across the cuts. Scoring runs the scaled forward recursion over whole texts,
 so likelihoods are exact. Words that are rare meet their counts in a join.
 
@@ -34,6 +35,8 @@ from .encode import chunks
 STATES = 12
 #: Training ends with the first round that raises the log-likelihood by less than this share of it.
 SETTLED = 1e-4
+#: Parts of the documents that training takes by turns; the model is fitted anew after each.
+TURNS = 8
 #: Tokens of each text whose forward probabilities are held at once, where those of all would be too many.
 PIECE = 1024
 CLASSES = 1024
@@ -42,6 +45,8 @@ OWN_RATE = 20_000
 KNOWN_RATE = 400_000
 #: Tokens that forward-backward handles at once; its memory is this times states.
 LANES = 1 << 20
+#: Tokens whose moves are added up in one product.
+STRIDE = 1 << 16
 SUFFIX = 3
 #: Weight of the symbols' overall shares in each state's emissions, in tokens.
 PRIOR = 50.0
@@ -145,43 +150,55 @@ class Hmm:
         k, n = len(self.start), len(begin) - 1
         piece = piece or (n if len(flat) <= 2 * LANES else PIECE)
         start, move, emit = self.start.astype(np.float32), self.move.astype(np.float32), np.ascontiguousarray(self.emit.T.astype(np.float32))
-
-        def ahead(before: np.ndarray | None, t: int) -> tuple[np.ndarray, np.ndarray]:
-            at, to = begin[t], begin[t + 1]
-            a = (start if before is None else before[: to - at] @ move) * emit[flat[at:to]]
-            scale = a.sum(1, keepdims=True)
-            return a / scale, scale
+        back_move, ones = np.ascontiguousarray(move.T), np.ones((k, 1), np.float32)
+
+        def forward(before: np.ndarray | None, e: np.ndarray, a: np.ndarray, scale: np.ndarray) -> np.ndarray:
+            """One time for all texts that last: into ``a`` and ``scale``."""
+            if before is None:
+                a[:] = start
+            else:
+                np.matmul(before[: len(a)], move, out=a)
+            a *= e
+            np.matmul(a, ones, out=scale)
+            a /= scale
+            return a
 
         cuts, held, a = range(0, n, piece), [None], None
         for t in range(cuts[-1]):
-            a, _ = ahead(a, t)
+            e = emit[flat[begin[t] : begin[t + 1]]]
+            a = forward(a, e, np.empty_like(e), np.empty((len(e), 1), np.float32))
             if (t + 1) % piece == 0:
                 held.append(a)
-        moves, emits, log, beta = np.zeros((k, k)), np.zeros((k, self.emit.shape[1])), 0.0, np.ones((begin[1], k), np.float32)
+        moves, emits, log, later = np.zeros((k, k)), np.zeros((k, self.emit.shape[1])), 0.0, None
         for first in reversed(cuts):
-            last, base = min(first + piece, n), begin[first]
-            alpha, scale = np.empty((begin[last] - base, k), np.float32), np.empty((begin[last] - base, 1), np.float32)
+            at = begin[first : min(first + piece, n) + 1] - begin[first]
+            seen = flat[begin[first] : begin[first] + at[-1]]
+            e = emit[seen]
+            alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((len(e), 1), np.float32)
             before = a = held.pop()
-            for t in range(first, last):
-                at, to = begin[t] - base, begin[t + 1] - base
-                a, scale[at:to] = ahead(a, t)
-                alpha[at:to] = a
+            for lo, hi in zip(at, at[1:], strict=False):
+                a = forward(a, e[lo:hi], alpha[lo:hi], scale[lo:hi])
             log += float(np.log10(scale.astype(np.float64)).sum())
-            for t in range(last - 1, first - 1, -1):
-                at, to = begin[t] - base, begin[t + 1] - base
-                now = beta[: to - at]
-                if t:
-                    back = emit[flat[begin[t] : begin[t + 1]]] * now / scale[at:to]
-                    behind = before if t == first else alpha[begin[t - 1] - base : at]
-                    moves += behind[: to - at].T @ back
-                alpha[at:to] *= now  # from here on the state's probability
-                if t:
-                    beta[: to - at] = back @ move.T
+            e /= scale
+            if later is not None:
+                beta[at[-2] : at[-2] + len(later)] = later
+            for t in range(len(at) - 2, 0, -1):
+                lo, hi = at[t], at[t + 1]
+                e[lo:hi] *= beta[lo:hi]
+                np.matmul(e[lo:hi], back_move, out=beta[at[t - 1] : at[t - 1] + hi - lo])
             if first:  # rounding must not add up over long texts
-                now = beta[: begin[first + 1] - begin[first]]
-                now /= (before[: len(now)] * now).sum(1, keepdims=True)
+                e[: at[1]] *= beta[: at[1]]
+                later, before = e[: at[1]] @ back_move, before[: at[1]]
+                later /= (before * later).sum(1, keepdims=True)
+                moves += before.T @ e[: at[1]]
+            lanes = np.diff(at)
+            behind = np.arange(at[1], at[-1]) - np.repeat(lanes[:-1], lanes[1:])
+            for lo in range(0, len(behind), STRIDE):
+                one = behind[lo : lo + STRIDE]
+                moves += alpha[one].T @ e[at[1] + lo : at[1] + lo + len(one)]
+            alpha *= beta  # from here on the state's probability
             for s in range(k):
-                emits[s] += np.bincount(flat[base : begin[last]], weights=alpha[:, s], minlength=emits.shape[1])
+                emits[s] += np.bincount(seen, weights=alpha[:, s], minlength=emits.shape[1])
         return alpha[: begin[1]].sum(0, dtype=np.float64), moves * self.move, emits, log
 
     @classmethod
@@ -301,22 +318,37 @@ def _expect(model):
     return run
 
 
-def baum_welch(encoded: DataFrame, model: Hmm, share: np.ndarray) -> tuple[Hmm, float]:
-    """One round over all training documents, and the log10-likelihood of the model that it started from; the sums have
-    states * (1 + states + symbols) + 1 rows at most."""
-    spark, k = encoded.sparkSession, len(model.start)
-    sent = spark.sparkContext.broadcast(model)
+def expectation(encoded: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts, moves and emissions over all training documents of ``encoded``, and their
+    log10-likelihood; what reaches the driver has states * (1 + states + symbols) + 1 rows at most."""
+    sent = encoded.sparkSession.sparkContext.broadcast(model)
     rows = encoded.where("train").select("doc_id", "symbols").mapInArrow(_expect(sent), "state int, col int, n double").groupBy("state", "col").agg(F.sum("n").alias("n")).toArrow()
-    flat = np.zeros((k, 2 + k + len(share)))
+    k, symbols = model.emit.shape
+    flat = np.zeros((k, 2 + k + symbols))
     flat[rows.column("state").to_numpy(), rows.column("col").to_numpy()] = rows.column("n").to_numpy()
-    return Hmm.fitted(flat[:, 0], flat[:, 1 : 1 + k], flat[:, 1 + k : -1], share), float(flat[0, -1])
+    return flat[:, 0], flat[:, 1 : 1 + k], flat[:, 1 + k : -1], float(flat[0, -1])
+
+
+def baum_welch(encoded: DataFrame, model: Hmm, share: np.ndarray) -> tuple[Hmm, float]:
+    """One plain round over all training documents, and the log10-likelihood of the model that it started from."""
+    starts, moves, emits, log = expectation(encoded, model)
+    return Hmm.fitted(starts, moves, emits, share), log
 
 
 def train(encoded: DataFrame, model: Hmm, share: np.ndarray) -> Hmm:
-    """Rounds over all training documents until the likelihood settles."""
+    """Rounds over all training documents until the likelihood settles. In a round the ``TURNS`` parts of the documents
+    come one by one; each part's expected counts take the place of those it gave the round before, and the model is
+    fitted to the counts of all parts at once (incremental Baum-Welch)."""
+    parts: dict[int, tuple[np.ndarray, ...]] = {}
     last = -np.inf
     while True:
-        model, log = baum_welch(encoded, model, share)
+        log = 0.0
+        for turn in range(TURNS):
+            *parts[turn], found = expectation(encoded.where(F.col("turn") == turn), model)
+            log += found
+            sums = [sum(x) for x in zip(*parts.values(), strict=True)]
+            if sums[0].any():  # else no document has come yet
+                model = Hmm.fitted(*sums, share)
         if not log - last > SETTLED * abs(log):
             return model
         last = log
@@ -360,7 +392,8 @@ def score(docs: DataFrame, states: int = STATES) -> DataFrame:
     vocab = vocabulary(docs)
     trained = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 1, F.lit(True))
     lex = build_lexicon(vocab, docs.where(trained).count())
-    encoded = stored(docs.select("doc_id", "text").mapInArrow(_encode(context.broadcast(lex)), ENCODED), "encoded")
+    encoded = docs.select("doc_id", "text").mapInArrow(_encode(context.broadcast(lex)), ENCODED)
+    encoded = stored(encoded.withColumn("turn", F.pmod(F.monotonically_increasing_id(), F.lit(TURNS)).cast("int")), "encoded", by="turn")
     model = Hmm.fresh(states, lex.share)
     if lex.end_count:
         model = train(encoded, model, lex.share)

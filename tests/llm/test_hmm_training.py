@@ -38,8 +38,8 @@ def test_all_rounds_see_all_documents_until_they_settle(spark):
     r, rows = np.random.default_rng(6), []
     for i in range(300):  # what tells the symbols apart lies behind the 4096th token
         late = np.tile([1, 2] if i % 2 else [3, 4], 200)
-        rows.append((i, True, np.concatenate([np.zeros(4200 if i < 20 else 3, int), late, [0]]).astype("<u2").tobytes()))
-    encoded = spark.createDataFrame([*rows, (999, False, r.integers(0, 5, 50).astype("<u2").tobytes())], "doc_id long, train boolean, symbols binary")
+        rows.append((i, True, np.concatenate([np.zeros(4200 if i < 20 else 3, int), late, [0]]).astype("<u2").tobytes(), i % hm.TURNS))
+    encoded = spark.createDataFrame([*rows, (999, False, r.integers(0, 5, 50).astype("<u2").tobytes(), 0)], "doc_id long, train boolean, symbols binary, turn int")
     share = np.full(5, 0.2)
     fresh = hm.Hmm.fresh(4, share)
     model = hm.train(encoded, fresh, share)
@@ -48,3 +48,11 @@ def test_all_rounds_see_all_documents_until_they_settle(spark):
     assert hm.baum_welch(encoded, again, share)[1] - log < 2 * hm.SETTLED * abs(log)
     texts = [np.frombuffer(x[2], "<u2") for x in rows]
     assert log == pytest.approx(model.log10(texts).sum(), rel=1e-4)
+
+
+def test_parts_without_training_documents_change_nothing(spark):
+    raw = np.array([1, 2, 1, 2, 0]).astype("<u2").tobytes()
+    encoded = spark.createDataFrame([(1, False, raw, 0), (2, True, raw, hm.TURNS - 1)], "doc_id long, train boolean, symbols binary, turn int")
+    share = np.full(5, 0.2)
+    model = hm.train(encoded, hm.Hmm.fresh(4, share), share)
+    assert np.ptp(model.move) > 0 and np.ptp(model.emit[:, 1]) > 0
