@@ -7,8 +7,8 @@ share of its symbol. P(text) = P(symbols) * product of P(word | symbol): a prope
 Training: words are counted over all training documents. Latent states start from these counts and seeded random
 weights; then each round runs forward-backward over every training document, whole texts at a time, and Spark adds up
 the expected counts, until a round raises the likelihood by less than ``SETTLED`` of it. A round takes the documents in
-``TURNS`` parts and fits the model after each, so that fewer rounds are needed. Forward probabilities of long
-texts are kept piece by piece and carried across the cuts. Scoring runs the scaled forward recursion over whole texts,
+``TURNS`` parts and fits the model after each, so that fewer rounds are needed. Long texts are cut into
+pieces, with what comes before and after each carried across the cuts. Scoring runs the scaled forward recursion over whole texts,
 so likelihoods are exact. Words that are rare meet their counts in a join.
 
 Defined cases: a null or empty text is the end alone; a null doc_id counts as training; equal rows are counted and
@@ -37,8 +37,8 @@ STATES = 12
 SETTLED = 1e-4
 #: Parts of the documents that training takes by turns; the model is fitted anew after each.
 TURNS = 8
-#: Tokens of each text whose forward probabilities are held at once, where those of all would be too many.
-PIECE = 1024
+#: Tokens of a piece; the pieces of a long text are handled side by side.
+PIECE = 2048
 CLASSES = 1024
 OWN_RATE = 20_000
 #: Words that make up at least 1 / KNOWN_RATE of the training tokens go to every executor with their counts.
@@ -145,61 +145,83 @@ class Hmm:
     def forward_backward(self, texts: list[np.ndarray], piece: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Baum-Welch's expected counts of starts, moves and emissions in whole texts, and their log10-likelihood.
 
-        Forward probabilities are held for ``piece`` tokens of each text; those before each cut are worked out first."""
-        _, flat, begin = self._columns(texts)
-        k, n = len(self.start), len(begin) - 1
-        piece = piece or (n if len(flat) <= 2 * LANES else PIECE)
-        start, move, emit = self.start.astype(np.float32), self.move.astype(np.float32), np.ascontiguousarray(self.emit.T.astype(np.float32))
-        back_move, ones = np.ascontiguousarray(move.T), np.ones((k, 1), np.float32)
+        Texts are cut into pieces of ``piece`` tokens with the probabilities on either side of each cut worked out
+        first, so that pieces of one text are handled side by side."""
+        pieces, opens, before, later = self._cut(texts, piece or PIECE)
+        group = np.cumsum([len(x) for x in pieces]) // LANES
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(pieces)]
+        parts = [self._pieces(pieces[i:j], opens[i:j], before[i:j], later[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+        starts, moves, emits, log = (sum(x) for x in zip(*parts, strict=True))
+        return starts, moves, emits, log
+
+    def _cut(self, texts: list[np.ndarray], piece: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces in order; whether each opens its text; the states' probabilities before it, given the text so far (0
+        where it opens one); and at its end those of the rest of the text, to a factor with which both give 1."""
+        pieces = [x[i : i + piece] for x in texts for i in range(0, len(x), piece)]
+        opens = np.concatenate([np.arange(0, len(x), piece) == 0 for x in texts])
+        last = np.append(opens[1:], True)
+        before, later = np.zeros((len(pieces), len(self.start))), np.ones((len(pieces), len(self.start)))
+        long = np.flatnonzero(~(opens & last))
+        if len(long):
+            across = dict(zip(long.tolist(), self._products([pieces[i] for i in long], opens[long]), strict=True))
+            for i in long.tolist():
+                if not last[i]:
+                    a = (self.start if opens[i] else before[i]) @ across[i]
+                    before[i + 1] = a / a.sum()
+            for i in reversed(long.tolist()):
+                if not opens[i]:
+                    b = across[i] @ later[i]
+                    later[i - 1] = b / (before[i] @ b)
+        return pieces, opens, before.astype(np.float32), later.astype(np.float32)
+
+    def _products(self, pieces: list[np.ndarray], opens: np.ndarray) -> np.ndarray:
+        """For each piece the matrix, to a factor, that leads from the probabilities before it to those at its end."""
+        order, flat, begin = self._columns(pieces)
+        k, lanes = len(self.start), np.append(np.diff(begin), 0)
+        move, emit, ones = self.move.astype(np.float32), np.ascontiguousarray(self.emit.T.astype(np.float32)), np.ones((k * k, 1), np.float32)
+        a = np.where(opens[order][:, None, None], np.eye(k, dtype=np.float32), move)
+        out = np.empty((len(pieces), k, k))
+        for t in range(len(begin) - 1):
+            if t:
+                a = (a[: lanes[t]].reshape(-1, k) @ move).reshape(-1, k, k)
+            a *= emit[flat[begin[t] : begin[t + 1]]][:, None, :]
+            a /= (a.reshape(-1, k * k) @ ones)[:, :, None]
+            if lanes[t + 1] < lanes[t]:
+                out[order[lanes[t + 1] : lanes[t]]] = a[lanes[t + 1] :]
+        return out
 
-        def forward(before: np.ndarray | None, e: np.ndarray, a: np.ndarray, scale: np.ndarray) -> np.ndarray:
-            """One time for all texts that last: into ``a`` and ``scale``."""
-            if before is None:
-                a[:] = start
+    def _pieces(self, pieces: list[np.ndarray], opens: np.ndarray, before: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        order, flat, begin = self._columns(pieces)
+        opens, before = opens[order], before[order]
+        k, lanes = len(self.start), np.diff(begin)
+        move, emit = self.move.astype(np.float32), np.ascontiguousarray(self.emit.T.astype(np.float32))
+        back_move, ones = np.ascontiguousarray(move.T), np.ones((k, 1), np.float32)
+        e = emit.take(flat, axis=0)
+        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((len(e), 1), np.float32)
+        for t, (lo, hi) in enumerate(zip(begin, begin[1:], strict=False)):
+            now = alpha[lo:hi]
+            if t:
+                np.matmul(alpha[begin[t - 1] : begin[t - 1] + hi - lo], move, out=now)
             else:
-                np.matmul(before[: len(a)], move, out=a)
-            a *= e
-            np.matmul(a, ones, out=scale)
-            a /= scale
-            return a
-
-        cuts, held, a = range(0, n, piece), [None], None
-        for t in range(cuts[-1]):
-            e = emit[flat[begin[t] : begin[t + 1]]]
-            a = forward(a, e, np.empty_like(e), np.empty((len(e), 1), np.float32))
-            if (t + 1) % piece == 0:
-                held.append(a)
-        moves, emits, log, later = np.zeros((k, k)), np.zeros((k, self.emit.shape[1])), 0.0, None
-        for first in reversed(cuts):
-            at = begin[first : min(first + piece, n) + 1] - begin[first]
-            seen = flat[begin[first] : begin[first] + at[-1]]
-            e = emit[seen]
-            alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((len(e), 1), np.float32)
-            before = a = held.pop()
-            for lo, hi in zip(at, at[1:], strict=False):
-                a = forward(a, e[lo:hi], alpha[lo:hi], scale[lo:hi])
-            log += float(np.log10(scale.astype(np.float64)).sum())
-            e /= scale
-            if later is not None:
-                beta[at[-2] : at[-2] + len(later)] = later
-            for t in range(len(at) - 2, 0, -1):
-                lo, hi = at[t], at[t + 1]
-                e[lo:hi] *= beta[lo:hi]
-                np.matmul(e[lo:hi], back_move, out=beta[at[t - 1] : at[t - 1] + hi - lo])
-            if first:  # rounding must not add up over long texts
-                e[: at[1]] *= beta[: at[1]]
-                later, before = e[: at[1]] @ back_move, before[: at[1]]
-                later /= (before * later).sum(1, keepdims=True)
-                moves += before.T @ e[: at[1]]
-            lanes = np.diff(at)
-            behind = np.arange(at[1], at[-1]) - np.repeat(lanes[:-1], lanes[1:])
-            for lo in range(0, len(behind), STRIDE):
-                one = behind[lo : lo + STRIDE]
-                moves += alpha[one].T @ e[at[1] + lo : at[1] + lo + len(one)]
-            alpha *= beta  # from here on the state's probability
-            for s in range(k):
-                emits[s] += np.bincount(seen, weights=alpha[:, s], minlength=emits.shape[1])
-        return alpha[: begin[1]].sum(0, dtype=np.float64), moves * self.move, emits, log
+                now[:] = np.where(opens[:, None], self.start, before @ move)
+            now *= e[lo:hi]
+            np.matmul(now, ones, out=scale[lo:hi])
+            now /= scale[lo:hi]
+        e /= scale
+        beta[begin[[len(pieces[i]) - 1 for i in order]] + np.arange(len(order))] = later[order]
+        for t in range(len(lanes) - 1, 0, -1):
+            lo, hi = begin[t], begin[t + 1]
+            e[lo:hi] *= beta[lo:hi]
+            np.matmul(e[lo:hi], back_move, out=beta[begin[t - 1] : begin[t - 1] + hi - lo])
+        e[: lanes[0]] *= beta[: lanes[0]]
+        moves = (before.T @ e[: lanes[0]]).astype(np.float64)
+        behind = np.arange(begin[1], begin[-1]) - np.repeat(lanes[:-1], lanes[1:])
+        for lo in range(0, len(behind), STRIDE):
+            one = behind[lo : lo + STRIDE]
+            moves += alpha.take(one, axis=0).T @ e[begin[1] + lo : begin[1] + lo + len(one)]
+        alpha *= beta  # from here on the state's probability
+        emits = np.stack([np.bincount(flat, weights=alpha[:, s], minlength=self.emit.shape[1]) for s in range(k)])
+        return alpha[: lanes[0]][opens].sum(0, dtype=np.float64), moves * self.move, emits, float(np.log10(scale.astype(np.float64)).sum())
 
     @classmethod
     def fitted(cls, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, share: np.ndarray) -> Hmm:
