@@ -1,5 +1,8 @@
 """Operator 8: every training document shapes the states, whole and until the likelihood settles."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -56,3 +59,43 @@ def test_parts_without_training_documents_change_nothing(spark):
     share = np.full(5, 0.2)
     model = hm.train(encoded, hm.Hmm.fresh(4, share), share)
     assert np.ptp(model.move) > 0 and np.ptp(model.emit[:, 1]) > 0
+
+
+def test_scores_are_those_of_the_fitted_model_by_hand(spark, monkeypatch):
+    seen = {}
+    fit, build = hm.train, hm.build_lexicon
+    monkeypatch.setattr(hm, "train", lambda *a: seen.setdefault("model", fit(*a)))
+    monkeypatch.setattr(hm, "build_lexicon", lambda *a: seen.setdefault("lexicon", build(*a)))
+    monkeypatch.setattr(hm, "KNOWN_RATE", 30)  # so that many words go through the join
+    monkeypatch.setattr(hm, "OWN_RATE", 20)
+    monkeypatch.setattr(hm, "SETTLED", 1e-2)  # any fitted model will do
+    r = np.random.default_rng(8)
+    pool = [f"w{i}ing" for i in range(40)] + ["the", "of", "\u00e9"]
+    rows = [(i, " ".join(pool[min(int(x), 42)] for x in r.exponential(9, int(r.integers(0, 30))))) for i in range(80)]
+    rows += [(7, rows[7][1]), (None, "the of the"), (200, None), (201, "never seen before")]
+    got = hm.score(spark.createDataFrame(rows, "doc_id long, text string"), states=3).collect()
+    count = Counter(w for i, t in rows if hm.trains(i) for w in (t or "").encode().split())
+    own = {w for w in count if count[w] * 20 >= seen["lexicon"].tokens}
+    model, lex = seen["model"], seen["lexicon"]
+    assert own and any(w not in lex.index for w in count)
+    tokens, distinct = Counter(), Counter()
+    for w in count.keys() - own:
+        tokens[hm.word_class(w)] += count[w]
+        distinct[hm.word_class(w)] += 1
+
+    def by_hand(text):
+        log, at = 0.0, []
+        for w in (text or "").encode().split():
+            c = hm.word_class(w)
+            at.append(int(lex.symbol[lex.index[w]]) if w in own else c)
+            if w not in own:
+                log += math.log10((count[w] + 0.5) / (tokens[c] + 0.5 * (distinct[c] + 1)))
+        at.append(lex.end)
+        a = [float(s * e) for s, e in zip(model.start, model.emit[:, at[0]], strict=True)]
+        for x in at[1:]:
+            total = sum(a)
+            log += math.log10(total)
+            a = [sum(a[i] / total * model.move[i, j] for i in range(3)) * model.emit[j, x] for j in range(3)]
+        return log + math.log10(sum(a))
+
+    assert sorted((str(x.doc_id), round(x.score, 6)) for x in got) == sorted((str(i), round(by_hand(t), 6)) for i, t in rows)
