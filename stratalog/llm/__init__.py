@@ -14,6 +14,11 @@ from .sharding import ORACLE as _O3
 from .sharding import op3_sharding
 from .suffix_dedup import op2_suffix_dedup
 from .token_files import op6_token_files
+from .whitening import op12_embedding_whitening
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_sharding, op4_html_extraction, op5_packing, op6_token_files, op7_decontamination, op8_lm_scoring, op9_secret_scan, op10_quality_rules)}
+_OPERATORS = (
+    op1_ngram_join, op2_suffix_dedup, op3_sharding, op4_html_extraction, op5_packing, op6_token_files, op7_decontamination, op8_lm_scoring, op9_secret_scan, op10_quality_rules,
+    op12_embedding_whitening,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLES = {"op1_ngram_join": _O1, "op3_sharding": _O3, "op7_decontamination": _O7, "op10_quality_rules": _O10}
