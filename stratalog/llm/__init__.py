@@ -1,5 +1,6 @@
 """Operations of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
+from .alignment import op11_alignment
 from .decontaminate import ORACLE as _O7
 from .decontaminate import op7_decontamination
 from .hmm_scoring import op8_lm_scoring
@@ -18,7 +19,7 @@ from .whitening import op12_embedding_whitening
 
 _OPERATORS = (
     op1_ngram_join, op2_suffix_dedup, op3_sharding, op4_html_extraction, op5_packing, op6_token_files, op7_decontamination, op8_lm_scoring, op9_secret_scan, op10_quality_rules,
-    op12_embedding_whitening,
+    op11_alignment, op12_embedding_whitening,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLES = {"op1_ngram_join": _O1, "op3_sharding": _O3, "op7_decontamination": _O7, "op10_quality_rules": _O10}
