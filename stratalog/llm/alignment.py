@@ -4,8 +4,9 @@ Both tokenizers cut the same bytes, so each token is an interval and its end say
 ends is a path through a grid; every diagonal of the grid is crossed once, and a binary search on it finds where. Diagonals
 ``PIECE`` ends apart so cut the merging into pieces of equal work that need nothing of each other but the token that is
 still open at their end. Pieces are rows: tokenizing writes them, and tasks that read them back merge whatever pieces they
-get. A piece emits its overlaps (one for each distinct end) and its groups; the groups that its borders cut are stitched
-from their fragments, document by document.
+get, once to count pairs and once to score them, since merging costs less than keeping overlaps would. A piece emits its
+overlaps (one for each distinct end) and its groups; the groups that its borders cut are stitched from their fragments,
+document by document.
 
 Counts of id pairs are summed over the corpus. Pairs that make up at least 1 / ``KNOWN_RATE`` of all links are at most
 ``KNOWN_RATE`` and go to every executor, as does the highest count of each B id, whose number the vocabulary bounds; other
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import pairwise
 
 import numpy as np
@@ -34,9 +36,11 @@ from .encode import CACHE_BYTES, ByteLevel, Encoder, chunks, released
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Ends that a piece merges, and tokens that a task merges at once.
-PIECE, AT_ONCE = 8192, 1 << 20
-#: Pairs that make up at least this share of all links are known to every executor.
-KNOWN_RATE = 400_000
+PIECE, AT_ONCE = 8192, 1 << 18
+#: Links that a task gathers before it counts their pairs.
+GATHERED = 1 << 21
+#: Pairs that make up at least 1 / KNOWN_RATE of all links are known to every executor: 12 bytes each, 24 MB at most.
+KNOWN_RATE = 2_000_000
 #: A pair is one number: the A id's 16 bits before the B id's.
 B_BITS = 16
 BREAK = re.compile(r"(?<=[^ ]) (?= *[^ ])")
@@ -152,7 +156,7 @@ def _tokenize(path_a: str, path_b: str, piece: int):
 
 def tokenized(docs: DataFrame, path_a: str, path_b: str, piece: int = PIECE) -> DataFrame:
     numbered = docs.select(F.monotonically_increasing_id().alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(numbered.mapInArrow(_tokenize(path_a, path_b, piece), TOKENS), "tokens")
+    return stored(numbered.mapInArrow(_tokenize(path_a, path_b, piece), TOKENS), "tokens", codec="zstd")
 
 
 # Merging
@@ -161,8 +165,14 @@ def tokenized(docs: DataFrame, path_a: str, path_b: str, piece: int = PIECE) ->
 class Widths:
     """Bytes of each token, by id."""
 
-    def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = (np.resize(x, 1 << 16) for x in (Led(path_a).width, Pieces(path_b).width))
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b = a, b
+
+
+@cache
+def widths_of(path_a: str, path_b: str) -> Widths:
+    """Read once a worker."""
+    return Widths(Led(path_a).width, Pieces(path_b).width)
 
 
 class Merged:
@@ -191,23 +201,16 @@ class Merged:
         self.edge_alone = np.concatenate([[0], np.cumsum(alone)])[self.edge_b]
         self.groups = np.diff(np.concatenate([[0], np.cumsum(self.cut_a)])[self.edge_a])
 
-    def links(self, k: int) -> bytes:
-        return self.links_a[self.edge_a[k] : self.edge_a[k + 1]].tobytes() + self.links_b[self.edge_alone[k] : self.edge_alone[k + 1]].tobytes()
-
     def tokens(self, k: int) -> tuple[np.ndarray, ...]:
         """A ids, B ids, and where each closes a group."""
         i, j = slice(*self.edge_a[k : k + 2]), slice(*self.edge_b[k : k + 2])
         return self.a[i], self.b[j], self.cut_a[i], self.cut_b[j]
 
 
-_shown: list[np.ndarray] = []
-
-
+@cache
 def shown() -> np.ndarray:
     """Ids as text behind nothing, a comma, a bar and a semicolon."""
-    if not _shown:
-        _shown.append(np.array([f"{s}{i}" for s in ("", ",", "|", ";") for i in range(1 << 16)], object))
-    return _shown[0]
+    return np.array([f"{s}{i}" for s in ("", ",", "|", ";") for i in range(1 << 16)], object)
 
 
 def listed(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> np.ndarray:
@@ -222,7 +225,6 @@ def listed(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -
 
 
 FRAGMENT = "head_a string, head_b string, body string, tail_a string, tail_b string"
-ALIGNED = f"doc long, doc_id long, piece int, pieces int, n_a long, n_b long, n_groups long, n_links long, links binary, groups_sha256 string, {FRAGMENT}"
 
 
 def fragments(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[str, ...]:
@@ -247,30 +249,15 @@ def _digests(m: Merged, single: list[int]) -> dict[int, str]:
     return {k: hashlib.sha256("".join(text[lo:hi])[1:].encode()).hexdigest() if hi > lo else "" for k, lo, hi in zip(single, [0, *ends], ends, strict=False)}
 
 
-def _merge(path_a: str, path_b: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        widths = Widths(path_a, path_b)
-        for batch in batches:
-            sizes = np.cumsum([len(x) for x in batch.column("a").to_pylist()])
-            edges = [0, *(np.flatnonzero(np.diff(sizes // (2 * AT_ONCE))) + 1).tolist(), batch.num_rows]
-            for lo, hi in pairwise(edges):
-                part = batch.slice(lo, hi - lo)
-                number = lambda c: part.column(c).to_numpy().astype(np.int64)  # noqa: E731, B023
-                n_a, n_b, pieces = number("n_a"), number("n_b"), number("pieces").tolist()
-                m = Merged(widths, n_a, n_b, number("lead"), part.column("a").to_pylist(), part.column("b").to_pylist())
-                digest = _digests(m, [k for k, n in enumerate(pieces) if n == 1])
-                links = [m.links(k) for k in range(len(pieces))]
-                cut = [fragments(*m.tokens(k)) if n > 1 else (None,) * 5 for k, n in enumerate(pieces)]
-                columns = [n_a, n_b, m.groups, [len(x) // 4 for x in links], links, [digest.get(k) for k in range(len(pieces))], *zip(*cut, strict=True)]
-                kinds = [*[pa.int64()] * 4, pa.binary(), *[pa.string()] * 6]
-                kept = [part.column(c) for c in ("doc", "doc_id", "piece", "pieces")]
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[x.split()[0] for x in ALIGNED.split(", ")])
-
-    return run
-
-
-def merged(tokens: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    return stored(tokens.mapInArrow(_merge(path_a, path_b), ALIGNED), "aligned")
+def _merge(batches: Iterator[pa.RecordBatch], widths: Widths) -> Iterator[tuple[pa.RecordBatch, Merged]]:
+    """Rows of pieces in runs of about AT_ONCE tokens, and what merging gives."""
+    for batch in batches:
+        sizes = np.cumsum(batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy())
+        edges = [0, *(np.flatnonzero(np.diff(sizes // AT_ONCE)) + 1).tolist(), batch.num_rows]
+        for lo, hi in pairwise(edges):
+            part = batch.slice(lo, hi - lo)
+            n_a, n_b, lead = (part.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b", "lead"))
+            yield part, Merged(widths, n_a, n_b, lead, part.column("a").to_pylist(), part.column("b").to_pylist())
 
 
 def _stitch(pieces: pa.Table) -> pa.Table:
@@ -296,23 +283,21 @@ def _stitch(pieces: pa.Table) -> pa.Table:
 # Counts
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[bytes] = []
-
-    def out() -> pa.RecordBatch:
-        link, c = np.unique(np.frombuffer(b"".join(held), "<u4"), return_counts=True)
+def _pairs(path_a: str, path_b: str):
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        link, c = np.unique(np.concatenate([np.zeros(0, "<u4"), *held]), return_counts=True)
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(link.astype(np.int64)), pa.array(c.astype(np.int64))], names=["link", "c"])
 
-    size = 0
-    for batch in batches:
-        for x in batch.column(0).to_pylist():
-            held.append(x)
-            size += len(x)
-            if size > 16 * AT_ONCE:
-                yield out()
-                size = 0
-    yield out()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for _, m in _merge(batches, widths_of(path_a, path_b)):
+            held += [m.links_a, m.links_b]
+            if sum(map(len, held)) > GATHERED:
+                yield out(held)
+        yield out(held)
+
+    return run
 
 
 class Known:
@@ -333,29 +318,36 @@ class Known:
 
 
 PARTS = "doc long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-SCORED = f"{PARTS}, rare array<struct<link:long,tf:int>>"
+SCORED = f"{PARTS}, rare array<struct<link:long,tf:int>>, piece int, pieces int, {FRAGMENT}"
 
 
-def _score(known):
+def _score(path_a: str, path_b: str, known):
     struct = pa.struct([("link", pa.int64()), ("tf", pa.int32())])
 
+    def rated(m: Merged, of: Known, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """For each piece its links, how many are best among the known ones, their counts' sum, and what isn't known."""
+        many, best_of, sum_of, rare = 0, 0, 0, []
+        for links, edges in ((m.links_a, m.edge_a), (m.links_b, m.edge_alone)):
+            there, count, best = of.find(links)
+            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[edges])  # noqa: E731, B023
+            many, best_of, sum_of = many + np.diff(edges), best_of + total(best.astype(np.int64)), sum_of + total(count)
+            rare.append(np.repeat(np.arange(n), np.diff(edges))[~there] << 32 | links[~there].astype(np.int64))
+        pair, tf = np.unique(np.concatenate(rare), return_counts=True)
+        bounds = np.searchsorted(pair >> 32, np.arange(n + 1)).astype(np.int32)
+        fields = [pa.array(pair & 0xFFFFFFFF, pa.int64()), pa.array(tf, pa.int32())]
+        return many, best_of, sum_of, pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(fields, fields=list(struct)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of: Known = known.value
-        for batch in batches:
-            all_sizes = np.cumsum(batch.column("n_links").to_numpy())
-            edges = [0, *(np.flatnonzero(np.diff(all_sizes // AT_ONCE)) + 1).tolist(), batch.num_rows]
-            for lo, hi in pairwise(edges):
-                part = batch.slice(lo, hi - lo)
-                links = np.frombuffer(b"".join(part.column("links").to_pylist()), "<u4")
-                ends = np.concatenate([[0], np.cumsum(part.column("n_links").to_numpy())])
-                there, count, best = of.find(links)
-                total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[ends])  # noqa: E731, B023
-                owner = np.repeat(np.arange(hi - lo), np.diff(ends))[~there]
-                pair, tf = np.unique(owner << 32 | links[~there].astype(np.int64), return_counts=True)
-                bounds = np.searchsorted(pair >> 32, np.arange(hi - lo + 1)).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(pair & 0xFFFFFFFF, pa.int64()), pa.array(tf, pa.int32())], fields=list(struct)))
-                kept = [part.column(c) for c in ("doc", "doc_id", "n_a", "n_b", "n_groups", "n_links")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(total(best.astype(np.int64))), pa.array(total(count)), part.column("groups_sha256"), rare], names=[x.split()[0] for x in PARTS.split(", ")] + ["rare"])
+        names = [x.split()[0] for x in f"{PARTS}, rare, piece, pieces, {FRAGMENT}".split(", ")]
+        for part, m in _merge(batches, widths_of(path_a, path_b)):
+            pieces = part.column("pieces").to_pylist()
+            digest = _digests(m, [k for k, n in enumerate(pieces) if n == 1])
+            cut = [fragments(*m.tokens(k)) if n > 1 else (None,) * 5 for k, n in enumerate(pieces)]
+            many, best, total, rare = rated(m, known.value, len(pieces))
+            numbers = [*(part.column(c).cast(pa.int64()) for c in ("n_a", "n_b")), *(pa.array(x, pa.int64()) for x in (m.groups, many, best, total))]
+            texts = [pa.array(x, pa.string()) for x in zip(*cut, strict=True)]
+            columns = [part.column("doc"), part.column("doc_id"), *numbers, pa.array([digest.get(k) for k in range(len(pieces))], pa.string()), rare, part.column("piece"), part.column("pieces"), *texts]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -364,21 +356,21 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; one row per document row."""
     path_a, path_b = path_a or public_tokenizers.path(TOKENIZER_A), path_b or public_tokenizers.path(TOKENIZER_B)
     spark = docs.sparkSession
-    aligned = merged(tokenized(docs, path_a, path_b, piece), path_a, path_b)
-    counts = stored(aligned.select("links").mapInArrow(_pairs, "link long, c long").groupBy("link").agg(F.sum("c").alias("c")), "pairs")
+    tokens = tokenized(docs, path_a, path_b, piece)
+    counts = stored(tokens.mapInArrow(_pairs(path_a, path_b), "link long, c long").groupBy("link").agg(F.sum("c").alias("c")), "pairs")
     b_id = F.col("link").bitwiseAND((1 << B_BITS) - 1).cast("int").alias("b")
     best = counts.groupBy(b_id).agg(F.max("c").alias("best"), F.sum("c").alias("total")).toArrow()  # a row for each B id
     total, highest = sum(best.column("total").to_pylist()), np.zeros(1 << B_BITS, np.int64)
     highest[best.column("b").to_numpy()] = best.column("best").to_numpy()
     often = counts.where(F.col("c") * known_rate >= total).toArrow()  # counts add up to the total: known_rate rows at most
     known = spark.sparkContext.broadcast(Known(often.column("link").to_numpy(), often.column("c").to_numpy(), highest))
-    scored = stored(aligned.select("doc", "doc_id", "n_a", "n_b", "n_groups", "n_links", "links", "groups_sha256").mapInArrow(_score(known), SCORED), "scored")
+    scored = stored(tokens.mapInArrow(_score(path_a, path_b, known), SCORED), "scored", codec="zstd")
     rare = scored.select("doc", F.explode("rare").alias("r")).select("doc", "r.*").join(counts, "link")
     tops = spark.createDataFrame(best.select(["b", "best"]))
     rare = rare.withColumn("b", b_id).join(F.broadcast(tops), "b")
     more = rare.select("doc", F.when(F.col("c") == F.col("best"), F.col("tf")).otherwise(0).cast("long").alias("n_best"), (F.col("tf") * F.col("c")).alias("count_sum"))
-    long = aligned.where("pieces > 1").select("doc", "piece", "n_groups", *(x.split()[0] for x in FRAGMENT.split(", "))).groupBy("doc").applyInArrow(_stitch, "doc long, groups_sha256 string")
-    parts = scored.drop("rare").unionByName(more, allowMissingColumns=True).unionByName(long, allowMissingColumns=True)
+    long = scored.where("pieces > 1").select("doc", "piece", "n_groups", *(x.split()[0] for x in FRAGMENT.split(", "))).groupBy("doc").applyInArrow(_stitch, "doc long, groups_sha256 string")
+    parts = scored.select(*(x.split()[0] for x in PARTS.split(", "))).unionByName(more, allowMissingColumns=True).unionByName(long, allowMissingColumns=True)
     sums = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
     whole = parts.groupBy("doc").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in sums), F.max("groups_sha256").alias("groups_sha256"))
     return whole.drop("doc")

@@ -44,13 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None, codec: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here and lost executors cost nothing.
 
     With ``by``, a last column with few values, each value has a folder of its own and filters on it read no other."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path, partitionBy=by)
+    df.write.parquet(path, partitionBy=by, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
