@@ -1,4 +1,4 @@
-"""Reachability of pairs: group rules by address or by the peer's group, hops with three values, verdicts."""
+"""Groups on their own: rules by address or by the peer's group, references, ranges as blocks. Whole ways are in ``paths``."""
 
 from __future__ import annotations
 
@@ -28,12 +28,6 @@ def allowed_by_groups(pairs: DataFrame, membership: DataFrame, rules: DataFrame)
     return pairs.select("pair").join(any_hit, "pair", "left").select("pair", state.alias("state"))
 
 
-def verdict(hops: DataFrame) -> DataFrame:
-    """Per pair: blocked if a hop blocks, else unknown if one is, else reachable; with the first blocking hop."""
-    v = F.when(F.bool_or(F.col("state") == "block"), "blocked").when(F.bool_or(F.col("state") == "unknown"), "unknown").otherwise("reachable")
-    return hops.groupBy("pair").agg(v.alias("verdict"), F.min(F.when(F.col("state") == "block", F.col("hop"))).alias("first_block"))
-
-
 def to_blocks(ranges: DataFrame) -> DataFrame:
     """Each range as the fewest aligned blocks: at each step the largest that starts here and fits."""
 
@@ -64,14 +58,8 @@ def _groups(spark, sf_dir):
     return allowed_by_groups(derived(spark, sf_dir, PAIRS), derived(spark, sf_dir, HOSTS), derived(spark, sf_dir, RULES))
 
 
-def _verdicts(spark, sf_dir):
-    route = derived(spark, sf_dir, PAIRS).select("pair", F.lit(1).alias("hop"), F.when(F.col("ip") % 9 == 0, "unknown").when(F.col("ip") % 7 == 0, "block").otherwise("allow").alias("state"))
-    return verdict(_groups(spark, sf_dir).select("pair", F.lit(2).alias("hop"), "state").unionByName(route))
-
-
 QUERIES = {
     "reach_sg": _groups,
-    "reach_verdict": _verdicts,
     "cidr_to_blocks": lambda spark, sf_dir: to_blocks(derived(spark, sf_dir, SPANS)).groupBy("id").agg(F.count("*").alias("blocks"), F.sum(F.pow(F.lit(2), 32 - F.col("len")).cast("bigint")).alias("addresses"), F.min("lo").alias("lo"), F.max(F.expr("lo % cast(pow(2, 32 - len) as bigint)")).alias("misaligned")),
     "net_sg_edges": lambda spark, sf_dir: group_edges(derived(spark, sf_dir, RULES)),
 }
@@ -80,7 +68,6 @@ x AS (SELECT w.pair, true AS v FROM w JOIN r ON r.grp = w.grp AND kind = 'cidr'
 g AS (SELECT pair, bool_or(v) AS yes, bool_or(v IS NULL) AS maybe FROM x GROUP BY pair), s AS (SELECT p.pair, CASE WHEN yes THEN 'allow' WHEN maybe THEN 'unknown' ELSE 'block' END AS state, ip FROM p LEFT JOIN g USING (pair)) """
 ORACLES = {
     "reach_sg": _G + "SELECT pair, state FROM s",
-    "reach_verdict": _G + ", q AS (SELECT pair, state, CASE WHEN ip % 9 = 0 THEN 'unknown' WHEN ip % 7 = 0 THEN 'block' ELSE 'allow' END AS r FROM s) SELECT pair, CASE WHEN 'block' IN (state, r) THEN 'blocked' WHEN 'unknown' IN (state, r) THEN 'unknown' ELSE 'reachable' END AS verdict, CASE WHEN r = 'block' THEN 1 WHEN state = 'block' THEN 2 END AS first_block FROM q",
     "cidr_to_blocks": f"""WITH RECURSIVE s AS ({duck(SPANS)}), b(id, pos, hi, size) AS (SELECT id, lo, hi, (SELECT max(1::BIGINT << k) FROM range(0, 33) t(k) WHERE lo % (1::BIGINT << k) = 0 AND (1::BIGINT << k) <= hi - lo + 1) FROM s UNION ALL SELECT id, pos + size, hi, (SELECT max(1::BIGINT << k) FROM range(0, 33) t(k) WHERE (pos + size) % (1::BIGINT << k) = 0 AND (1::BIGINT << k) <= hi - (pos + size) + 1) FROM b WHERE pos + size <= hi)
 SELECT id, count(*) AS blocks, CAST(sum(size) AS BIGINT) AS addresses, min(pos) AS lo, max(pos % size) AS misaligned FROM b GROUP BY id""",
     "net_sg_edges": f"SELECT peer AS src, grp AS dst, string_agg(DISTINCT CASE WHEN from_port = to_port THEN CAST(from_port AS VARCHAR) ELSE from_port || '-' || to_port END, ',' ORDER BY CASE WHEN from_port = to_port THEN CAST(from_port AS VARCHAR) ELSE from_port || '-' || to_port END) AS ports FROM ({duck(RULES)}) WHERE kind = 'group' AND peer <> grp GROUP BY ALL",

@@ -1,9 +1,9 @@
 """All registered queries of the library, and their SQL."""
 
-from ..operators import checks, cost, evaluate, exposure, graph, identity, inventory, leastpriv, network, org, policy, reach, redact, secrets, trail
+from ..operators import checks, cost, evaluate, exposure, graph, identity, inventory, leastpriv, network, org, paths, policy, reach, redact, secrets, trail
 from ..sources import readers
 from ..streaming import trail_streams
 
-_AREAS = (trail, policy, redact, cost, inventory, leastpriv, network, org, exposure, graph, secrets, reach, identity, checks, evaluate, readers, trail_streams)
+_AREAS = (trail, policy, redact, cost, inventory, leastpriv, network, org, exposure, graph, secrets, reach, paths, identity, checks, evaluate, readers, trail_streams)
 QUERIES = {k: v for area in _AREAS for k, v in area.QUERIES.items()}
 ORACLES = {k: v for area in _AREAS for k, v in area.ORACLES.items()}
