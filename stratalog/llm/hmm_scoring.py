@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import slices, stored, table
 from .encode import chunks
 
 STATES = 12
@@ -38,7 +39,7 @@ SETTLED = 1e-4
 #: Parts of the documents that training takes by turns; the model is fitted anew after each.
 TURNS = 8
 #: Tokens of a piece; the pieces of a long text are handled side by side.
-PIECE = 2048
+PIECE = 4096
 CLASSES = 1024
 OWN_RATE = 20_000
 #: Words that make up at least 1 / KNOWN_RATE of the training tokens go to every executor with their counts.
@@ -324,31 +325,46 @@ def _lanes(batches: Iterator[pa.RecordBatch], column: str = "symbols") -> Iterat
 
 
 def _expect(model):
+    """One row a task: its expected counts of starts, moves and emissions, state by state, and the likelihood behind them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for _, texts in _lanes(batches):
-            found = model.value.forward_backward(texts)
-            total = found if total is None else tuple(a + b for a, b in zip(total, found, strict=True))
+            *counts, log = model.value.forward_backward(texts)
+            flat = np.append(np.concatenate([counts[0][:, None], *counts[1:]], axis=1).reshape(-1), log)
+            total = flat if total is None else total + flat
         if total is not None:
-            # One row for each state and column: starts, moves, emissions, and the likelihood in the first state's row.
-            log = np.zeros((len(total[0]), 1))
-            log[0] = total[3]
-            flat = np.concatenate([total[0][:, None], *total[1:3], log], axis=1)
-            state, column = np.nonzero(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(state, pa.int32()), pa.array(column, pa.int32()), pa.array(flat[state, column], pa.float64())], names=["state", "col", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            total = np.frombuffer(raw) if total is None else total + np.frombuffer(raw)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+
 def expectation(encoded: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected counts of starts, moves and emissions over all training documents of ``encoded``, and their
-    log10-likelihood; what reaches the driver has states * (1 + states + symbols) + 1 rows at most."""
-    sent = encoded.sparkSession.sparkContext.broadcast(model)
-    rows = encoded.where("train").select("doc_id", "symbols").mapInArrow(_expect(sent), "state int, col int, n double").groupBy("state", "col").agg(F.sum("n").alias("n")).toArrow()
+    log10-likelihood. Tasks' sums are added up in two levels, as many groups as groups have members; one row of
+    states * (1 + states + symbols) + 1 numbers, whose count the model fixes, reaches the driver."""
+    spark = encoded.sparkSession
+    sent = spark.sparkContext.broadcast(model)
+    parts = encoded.where("train").select("doc_id", "symbols").mapInArrow(_expect(sent), "sums binary")
+    for groups in (max(1, isqrt(slices(spark))), 1):
+        parts = parts.repartition(groups).mapInArrow(_added, "sums binary")
     k, symbols = model.emit.shape
-    flat = np.zeros((k, 2 + k + symbols))
-    flat[rows.column("state").to_numpy(), rows.column("col").to_numpy()] = rows.column("n").to_numpy()
-    return flat[:, 0], flat[:, 1 : 1 + k], flat[:, 1 + k : -1], float(flat[0, -1])
+    flat = np.zeros((k, 1 + k + symbols))
+    found = parts.first()
+    if found is None:
+        return flat[:, 0], flat[:, 1 : 1 + k], flat[:, 1 + k :], 0.0
+    *counts, log = np.frombuffer(found["sums"])
+    flat[:] = np.reshape(counts, flat.shape)
+    return flat[:, 0], flat[:, 1 : 1 + k], flat[:, 1 + k :], float(log)
 
 
 def baum_welch(encoded: DataFrame, model: Hmm, share: np.ndarray) -> tuple[Hmm, float]:
