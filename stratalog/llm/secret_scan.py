@@ -18,6 +18,8 @@ scanned one by one, so repeated and null ids change nothing; other columns pass
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,8 @@ BACKOFF = 5.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 #: Matches that are placed by one fold.
 BLOCK = 256
+#: Up to so many spans a text is masked by substrings.
+FEW = 64
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -81,7 +85,8 @@ def _placed(text: Column, pattern: str) -> Column:
 
     def whole(pieces: Column) -> Column:
         # The piece behind the last match has no match of its own and must not be counted.
-        return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: cut(F.slice(pieces, F.lit(1), F.size(m)), m))
+        matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return let(matches, lambda m: let(F.slice(pieces, F.lit(1), F.size(m)), lambda before: cut(before, m)))
 
     return F.when(text.rlike(pattern), let(F.split(text, pattern), whole)).otherwise(F.array().cast(SPAN))
 
@@ -92,29 +97,81 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {"assign": assign, "access": _placed(text, ACCESS), "hex": _placed(text, HEX)}
 
 
+def running(values: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What ``step`` makes of all elements up to each one, in blocks so that no fold appends to a long array. ``step`` is
+    associative, as a sum or a maximum, and ``zero`` changes nothing."""
+    kind = lambda: F.slice(F.array(zero), F.lit(1), F.lit(0))
+
+    def all_of(x: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int"))
+        part = lambda b: F.slice(x, b * BLOCK + 1, F.lit(BLOCK))
+        lead = F.aggregate(
+            blocks,
+            F.struct(zero.alias("at"), kind().alias("out")),
+            lambda acc, b: F.struct(F.aggregate(part(b), acc["at"], step).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
+            lambda acc: acc["out"],
+        )
+
+        def inside(b: Column, first: Column) -> Column:
+            def put(acc: Column, v: Column) -> Column:
+                return let(step(acc["at"], v), lambda now: F.struct(now.alias("at"), F.array_append(acc["out"], now).alias("out")))
+
+            return F.aggregate(part(b), F.struct(first.alias("at"), kind().alias("out")), put, lambda acc: acc["out"])
+
+        return let(lead, lambda firsts: F.flatten(F.transform(blocks, lambda b: inside(b, F.get(firsts, b)))))
+
+    return let(values, lambda x: F.when(F.size(x) == 0, kind()).otherwise(all_of(x)))
+
+
 def united(spans: Column) -> Column:
-    """Sorted, disjoint (start, end) out of any spans."""
+    """Sorted, disjoint (start, end) out of any spans: a union begins where a start lies behind every end before it, and
+    ends with the furthest end before the next one begins."""
 
-    def step(acc: Column, m: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], m["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= m["start"]), grown).otherwise(F.array_append(acc, m))
+    def swept(x: Column, far: Column) -> Column:
+        last = F.size(x) - 1
+        heads = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get(x, i)["start"] > F.get(far, i - 1)))
+        until = lambda h: F.concat(F.transform(F.slice(h, F.lit(2), F.size(h)), lambda i: i - 1), F.array(last))
+        return let(heads, lambda h: F.zip_with(h, until(h), lambda i, j: F.struct(F.get(x, i)["start"].alias("start"), F.get(far, j).alias("end"))))
 
     bare = F.array_sort(F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))))
-    return F.aggregate(bare, F.array().cast("array<struct<start:int,end:int>>"), step)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    far = lambda x: running(F.transform(x, lambda m: m["end"]), F.lit(-1), lambda a, b: F.greatest(a, b))
+    return let(bare, lambda x: F.when(F.size(x) == 0, none).otherwise(let(far(x), lambda f: swept(x, f))))
 
 
 def free_parts(runs: Column, base: Column, least: int = MIN_RUN) -> Column:
-    """What united base spans leave of each run, where that has ``least`` characters."""
+    """What united base spans leave of each run, where that has ``least`` characters.
 
-    def parts(m: Column) -> Column:
-        met = F.filter(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    Runs and base spans are sorted and disjoint. Sorted into one list, a running count tells how many base spans begin
+    before each run; those that can meet it lie between the last of them and the first behind the next run."""
+
+    def parts(m: Column, near: Column) -> Column:
+        met = F.filter(near, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
         left = F.concat(F.array(m["start"]), F.transform(met, lambda b: b["end"]))
         right = F.concat(F.transform(met, lambda b: b["start"]), F.array(m["end"]))
         gaps = F.zip_with(left, right, lambda s, e: F.struct(s.alias("start"), e.alias("end"), F.substring(m["value"], s - m["start"] + 1, e - s).alias("value")))
         return F.filter(gaps, lambda g: g["end"] - g["start"] >= least)
 
-    return F.when(F.size(base) == 0, runs).otherwise(F.flatten(F.transform(runs, parts)))
+    marked = lambda x, flag: F.transform(x, lambda m: F.struct(m["start"].alias("start"), F.lit(flag).alias("base")))
+
+    def before(both: Column) -> Column:
+        """How many base spans come before each run."""
+        counted = running(F.transform(both, lambda m: m["base"]), F.lit(0), lambda a, b: a + b)
+        at_runs = lambda n: F.filter(F.zip_with(both, n, lambda m, c: F.when(m["base"] == 0, c)), lambda c: c.isNotNull())
+        return let(counted, at_runs)
+
+    def cut(r: Column, b: Column) -> Column:
+        def each(n: Column) -> Column:
+            def one(m: Column, k: Column) -> Column:
+                first = F.greatest(F.get(n, k), F.lit(1))
+                until = F.coalesce(F.get(n, k + 1), F.size(b))
+                return parts(m, F.slice(b, first, F.greatest(until - first + 1, F.lit(0))))
+
+            return F.flatten(F.transform(r, one))
+
+        return let(before(F.array_sort(F.concat(marked(r, 0), marked(b, 1)))), each)
+
+    return F.when((F.size(base) == 0) | (F.size(runs) == 0), runs).otherwise(let(runs, lambda r: let(base, lambda b: cut(r, b))))
 
 
 def located(docs: DataFrame) -> DataFrame:
@@ -215,10 +272,14 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by ``MASK``; n_chars, where there is one, is counted anew."""
     text = F.col("row.text")
     spans = scan(docs).select("row", united(F.concat(*KINDS)).alias("spans"))
-    # What stands between the spans, joined by the mask.
+    # What stands between the spans, joined by the mask. A substring is looked for from the text's start, so texts with many
+    # spans are taken apart into characters once.
     left = F.concat(F.array(F.lit(0)), F.transform("spans", lambda m: m["end"]))
     right = F.concat(F.transform("spans", lambda m: m["start"]), F.array(F.length(text)))
-    masked = F.array_join(F.zip_with(left, right, lambda s, e: F.substring(text, s + 1, e - s)), MASK)
+    joined = lambda part: F.array_join(F.zip_with(left, right, part), MASK)
+    few = joined(lambda s, e: F.substring(text, s + 1, e - s))
+    many = let(F.split(text, ""), lambda chars: joined(lambda s, e: F.array_join(F.slice(chars, s + 1, e - s), "")))
+    masked = F.when(F.size("spans") <= FEW, few).otherwise(many)
     out = spans.select("row", F.when(F.size("spans") > 0, masked).otherwise(text).alias("text"), (F.size("spans") > 0).alias("changed"))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
