@@ -9,67 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..adapters import derived, duck
-from .policy import glob
-
-VERSION = "2012-10-17"
-#: Stand for a star and a question mark that came out of a variable and are no wildcards.
-STAR, QUESTION = "\x01", "\x02"
-VARIABLE = r"\$\{([^}]*)\}"
-
-
-def arn_pattern(pattern: Column, expand: bool = True) -> Column:
-    """An anchored regular expression. In the first five parts wildcards stay inside their part; with ``expand``
-    (resources) a star that ends a part may run past its colon. From the sixth part on they match anything."""
-    plain = F.regexp_replace(pattern, r"([\\.^$|()\[\]{}+])", r"\\$1")
-
-    def part(x: Column, i: Column) -> Column:
-        inside = F.regexp_replace(F.replace(x, F.lit("?"), F.lit("[^:]")), r"\*", "[^:]*")
-        ends = F.regexp_replace(x, r"\*+$", "")
-        ends = F.concat(F.regexp_replace(F.replace(ends, F.lit("?"), F.lit("[^:]")), r"\*", "[^:]*"), F.lit(".*"))
-        last = i == F.size(parts) - 1
-        runs_on = x.endswith("*") & (last | F.lit(expand))
-        free = F.regexp_replace(F.replace(x, F.lit("?"), F.lit(".")), r"\*+", ".*")
-        return F.when(i >= 5, free).when(runs_on, ends).otherwise(inside)
-
-    parts = F.split(plain, ":", 6)
-    made = F.array_join(F.transform(parts, part), ":")
-    literal = F.replace(F.replace(made, F.lit(STAR), F.lit(r"\*")), F.lit(QUESTION), F.lit(r"\?"))
-    return F.concat(F.lit("^(?s:"), literal, F.lit(")$"))
-
-
-def arn_match(pattern: Column, value: Column, expand: bool = True) -> Column:
-    return F.when(pattern.rlike(r"^\**$"), True).when(pattern.startswith("arn:"), F.rlike(value, arn_pattern(pattern, expand))).otherwise(F.rlike(value, _plain_glob(pattern)))
-
-
-def _plain_glob(pattern: Column) -> Column:
-    plain = F.regexp_replace(pattern, r"([\\.^$|()\[\]{}+])", r"\\$1")
-    made = F.regexp_replace(F.replace(plain, F.lit("?"), F.lit(".")), r"\*+", ".*")
-    return F.concat(F.lit("^(?s:"), F.replace(F.replace(made, F.lit(STAR), F.lit(r"\*")), F.lit(QUESTION), F.lit(r"\?")), F.lit(")$"))
+from ..functions.wild import STAR, arn_match, wild_match
+from .conditions import CONDITION, VERSION, all_of, condition, filled
+from .conditions import any_of as three
 
 
 def substitute(text: Column, context: Column, version: Column) -> Column:
-    """The text with ``${key}``, ``${key, 'default'}`` and ``${*}`` filled in; null where a key has no value and no
-    default. Other versions take the text as it is."""
-
-    def fill(inner: Column) -> Column:
-        name = F.trim(F.substring_index(inner, ",", 1))
-        default = F.regexp_replace(F.regexp_extract(inner, r",(.*)$", 1), r"^[ '\"]+|[ '\"]+$", "")
-        got = F.get(F.element_at(context, F.lower(name)), 0)
-        safe = F.replace(F.replace(got, F.lit("*"), F.lit(STAR)), F.lit("?"), F.lit(QUESTION))
-        own = F.when(name == "*", STAR).when(name == "?", QUESTION).when(name == "$", "$")
-        return F.coalesce(own, safe, F.when(inner.contains(","), default))
-
-    names = F.regexp_extract_all(text, F.lit(VARIABLE), F.lit(1))
-    values = F.transform(names, lambda n: fill(F.trim(n)))
-    pieces = F.split(text, VARIABLE)
-    filled = F.array_join(F.zip_with(pieces, values, lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
-    whole = F.when(F.exists(values, lambda v: v.isNull()), None).otherwise(filled)
-    return F.when((version == VERSION) & text.contains("${"), whole).otherwise(text)
-
-
-def three(values: Column) -> Column:
-    """Kleene OR of an array."""
-    return F.when(F.exists(values, lambda v: F.coalesce(v, F.lit(False))), True).when(F.exists(values, lambda v: v.isNull()), None).otherwise(False)
+    """The text with its variables filled in; null where a key has no value and no default."""
+    return filled(text, context, version)["text"]
 
 
 def both(*values: Column) -> Column:
@@ -92,67 +39,58 @@ def pattern_request(pattern: Column, request: Column) -> Column:
 
 
 def resource_match(patterns: Column, resource: Column, context: Column, version: Column) -> Column:
-    def one(p: Column) -> Column:
-        filled = substitute(F.trim(p), context, version)
-        exact = arn_match(filled, resource)
-        return F.when(filled.rlike(r"^\*+$"), True).when(filled.isNull() | resource.isNull(), None).when(resource.rlike(r"[*?]"), pattern_request(filled, resource)).otherwise(exact)
+    def one(f: Column) -> Column:
+        p = f["text"]
+        return (
+            F.when(f["absent"], False).when(f["unknown"], None).when(p.rlike(r"^\*+$"), True).when(resource.isNull(), None)
+            .when(resource.rlike(r"[*?]"), pattern_request(p, resource)).otherwise(arn_match(p, resource))
+        )
 
-    return three(F.transform(patterns, one))
+    return three(F.transform(F.transform(patterns, lambda p: filled(F.trim(p), context, version)), one))
 
 
 def principal_match(principals: Column, context: Column) -> Column:
-    """Account numbers and root ARNs stand for their account; a caller that isn't told is unknown."""
-    arn, account = (F.get(F.element_at(context, k), 0) for k in ("aws:principalarn", "aws:principalaccount"))
+    """Principals are (type, who). Account numbers and root ARNs stand for their account; a caller that isn't told is
+    unknown, and a told caller that isn't a service is none."""
+    arn, account, service = (F.get(F.element_at(context, k), 0) for k in ("aws:principalarn", "aws:principalaccount", "aws:principalservicename"))
 
     def one(p: Column) -> Column:
-        of = F.when(p.rlike(r"^\d{12}$"), p).when(p.endswith(":root"), F.get(F.split(p, ":"), 4))
-        return F.when(p == "*", True).when(of.isNotNull(), of == account).otherwise(p == arn)
+        who = p["who"]
+        of = F.when(who.rlike(r"^\d{12}$"), who).when(who.endswith(":root"), F.get(F.split(who, ":"), 4))
+        named = F.when(p["type"] == "Service", F.when(service.isNotNull(), who == service).when(arn.isNotNull(), False))
+        return named.when(p["type"] == "Service", None).when((p["type"] == "AWS") & of.isNotNull(), of == account).otherwise(who == arn)
 
-    return three(F.transform(principals, one))
+    anyone = F.exists(principals, lambda p: (p["type"] == "AWS") & (p["who"] == "*"))
+    return F.when(anyone, True).otherwise(three(F.transform(principals, one)))
 
 
-def condition_match(op: Column, key: Column, wanted: Column, context: Column) -> Column:
-    """String operators, Bool and Null, with IfExists. A missing key is unknown, an absent one fails all but Null,
-    IfExists and negated operators."""
-    low = F.lower(op)
-    name, optional = F.regexp_replace(low, "ifexists$", ""), low.endswith("ifexists")
-    got = F.element_at(context, F.lower(key))
-    negated = name.startswith("stringnot")
-
-    def same(w: Column, g: Column) -> Column:
-        return (
-            F.when(name.isin("stringlike", "stringnotlike"), F.rlike(g, _plain_glob(w)))
-            .when(name.isin("stringequalsignorecase", "stringnotequalsignorecase", "bool"), F.lower(g) == F.lower(w))
-            .otherwise(g == w)
-        )
-
-    hit = F.exists(wanted, lambda w: F.exists(got, lambda g: same(w, g)))
-    absent = F.size(got) == 0
-    null_op = F.exists(wanted, lambda w: (F.lower(w) == "true") == absent)
-    told = F.when(name == "null", null_op).when(absent, optional | negated).otherwise(hit != negated)
-    return F.when(op.isNull(), True).when(got.isNull(), None).otherwise(told)
+#: An element that is left out is null, an empty list is there and matches nothing.
+STATEMENT = f"policy, stmt, effect, version, actions, not_actions, resources, not_resources array<string>, principals, not_principals array<struct<type:string,who:string>>, conditions array<{CONDITION}>"
 
 
 def evaluate(requests: DataFrame, statements: DataFrame) -> DataFrame:
-    """Each request (request, policy, action, resource, context) against the statements of its policy: the result and its
-    parts. A statement with neither Action nor NotAction has an error and no result."""
-    hit = lambda c: F.exists(c, lambda p: F.rlike(F.lower("action"), glob(F.trim(p))))
+    """Each request (request, policy, action, resource, context) against the statements of its policy (``STATEMENT``): the
+    result, its parts, and what a null result depends on. A statement whose effect is neither Allow nor Deny, that has
+    neither Action nor NotAction, or a condition with an unknown operator, has an error and applies to nothing."""
     j = requests.join(statements, "policy")
     context, version = F.col("context"), F.col("version")
-    action = F.when(F.size("actions") > 0, hit("actions")).when(F.size("not_actions") > 0, ~hit("not_actions"))
-    resource = (
-        F.when(F.size("resources") > 0, resource_match(F.col("resources"), F.col("resource"), context, version))
-        .when(F.size("not_resources") > 0, ~resource_match(F.col("not_resources"), F.col("resource"), context, version))
-        .otherwise(True)
-    )
-    principal = F.when(F.size("principals") > 0, principal_match(F.col("principals"), context)).otherwise(True)
-    parts = j.select(
-        "request", "policy", "stmt", F.initcap(F.trim("effect")).alias("effect"), action.alias("action_match"), resource.alias("resource_match"), principal.alias("principal_match"),
-        condition_match(F.col("cond_op"), F.col("cond_key"), F.col("cond_values"), context).alias("condition_match"),
-    )
-    error = F.when(~F.col("effect").isin("Allow", "Deny"), "effect").when(F.col("action_match").isNull(), "action")
+    hit = lambda c: F.exists(c, lambda p: wild_match(F.lower(F.trim(p)), F.lower("action")))
+    action = F.when(F.col("actions").isNotNull(), hit("actions")).when(F.col("not_actions").isNotNull(), ~hit("not_actions"))
+    meets = lambda c: resource_match(F.col(c), F.col("resource"), context, version)
+    resource = F.when(F.col("resources").isNotNull(), meets("resources")).when(F.col("not_resources").isNotNull(), ~meets("not_resources")).otherwise(True)
+    who = F.when(F.col("principals").isNotNull(), principal_match(F.col("principals"), context)).when(F.col("not_principals").isNotNull(), ~principal_match(F.col("not_principals"), context)).otherwise(True)
+    told = F.transform(F.coalesce("conditions", F.array().cast(f"array<{CONDITION}>")), lambda c: F.struct(F.lower(c["key"]).alias("key"), condition(c["op"], c["key"], c["values"], context, version).alias("is")))
+    parts = j.select("request", "policy", "stmt", F.initcap(F.trim("effect")).alias("effect"), action.alias("action_match"), resource.alias("resource_match"), who.alias("principal_match"), told.alias("told"))
+    wrong = F.get(F.filter(F.transform("told", lambda c: c["is"]["error"]), lambda e: e.isNotNull()), 0)
+    error = F.when(~F.col("effect").isin("Allow", "Deny"), "effect").when(F.col("action_match").isNull(), "action").otherwise(wrong)
+    parts = parts.withColumn("error", error).withColumn("condition_match", all_of(F.transform("told", lambda c: c["is"]["result"])))
     result = both(F.col("action_match"), F.col("resource_match"), F.col("principal_match"), F.col("condition_match"))
-    return parts.withColumn("error", error).withColumn("result", F.when(F.col("error").isNull(), result).otherwise(False))
+    parts = parts.withColumn("result", F.when(F.col("error").isNull(), result).otherwise(False))
+    open_ = F.concat(
+        F.when(F.col("resource_match").isNull(), F.array(F.lit("resource"))).otherwise(F.array().cast("array<string>")), F.when(F.col("principal_match").isNull(), F.array(F.lit("aws:principalarn"))).otherwise(F.array().cast("array<string>")),
+        F.transform(F.filter("told", lambda c: c["is"]["result"].isNull()), lambda c: c["key"]),
+    )
+    return parts.withColumn("depends_on", F.when(F.col("result").isNull(), F.array_join(F.array_sort(F.array_distinct(open_)), ","))).drop("told")
 
 
 # Queries and their SQL
@@ -169,35 +107,65 @@ def _pick(expr: str, options: list[str | None]) -> str:
     return f"CASE {expr} % {len(options)} " + " ".join(f"WHEN {i} THEN {cell(x)}" for i, x in enumerate(options)) + " END"
 
 
-_STATEMENTS = f"""SELECT CAST(p_partkey % 40 AS BIGINT) AS policy, CAST(p_partkey AS BIGINT) AS stmt, {_pick('p_size', ['Allow', 'Deny', 'allow', 'Permit'])} AS effect,
-{_pick('p_partkey', ['s3:*', '*', 'iam:PassRole', 'ec2:Start?nstances', ''])} AS action, {_pick('p_partkey', ['', '', '', '', 'ec2:*'])} AS not_action, {_pick('p_size', _PATTERNS)} AS resource_pattern, p_size % 7 = 3 AS negated,
-{_pick('p_partkey', ['', '*', '111122223333', 'arn:aws:iam::111122223333:user/u1', '', '', ''])} AS principal,
-{_pick('p_size', [None, 'StringEquals', 'StringNotEquals', 'StringLikeIfExists', 'Bool', 'Null', None])} AS cond_op, {_pick('p_partkey', ['aws:username', 'aws:mfa', 'aws:absent', 'aws:unknown'])} AS cond_key, {_pick('p_partkey', ['u1', 'true', 'u*'])} AS cond_value,
-CASE WHEN p_size % 11 = 1 THEN '2008-10-17' ELSE '2012-10-17' END AS version FROM $part WHERE p_partkey <= 400"""
-_REQUESTS = f"""SELECT DISTINCT CAST(s_suppkey AS BIGINT) AS request, CAST(s_suppkey % 40 AS BIGINT) AS policy, {_pick('s_suppkey', ['s3:GetObject', 'IAM:passrole', 'ec2:StartInstances'])} AS action, {_pick('s_suppkey', _RESOURCES)} AS resource,
-{_pick('s_nationkey', ['u1', 'u*', None])} AS username, {_pick('s_nationkey', ['true', 'false'])} AS mfa, {_pick('s_nationkey', ['arn:aws:iam::111122223333:user/u1', None, 'arn:aws:iam::444455556666:role/r'])} AS caller FROM $supplier"""
+#: (operator, key, values, the result in SQL: 2 true, 1 unknown, 0 false): each is worked out from the rule by hand.
+_TAGS = "CASE WHEN tags IS NULL THEN 1 WHEN tags = '' THEN {absent} WHEN {test} THEN 2 ELSE 0 END"
+_ONE_KEY = "CASE WHEN {col} IS NULL THEN 1 WHEN {test} THEN 2 ELSE 0 END"
+_IP = "coalesce(ip LIKE '10.%' AND TRY_CAST(split_part(ip, '.', 2) AS INT) < 16, false)"
+_CONDITIONS = [
+    ("StringEquals", "aws:username", "u1", _ONE_KEY.format(col="username", test="username = 'u1'")), ("StringNotEqualsIgnoreCase", "aws:UserName", "U1,x", _ONE_KEY.format(col="username", test="username <> 'u1'")), ("StringLike", "aws:username", "u?,*z", _ONE_KEY.format(col="username", test="username IN ('u1', 'u*')")),
+    ("StringEquals", "aws:username", "${aws:username}", _ONE_KEY.format(col="username", test="version = '2012-10-17'")), ("StringLike", "aws:mfa", "${aws:username}", "CASE WHEN mfa IS NULL OR username IS NULL AND version = '2012-10-17' THEN 1 ELSE 0 END"), ("StringNotEquals", "aws:mfa", "${aws:absent},zz", _ONE_KEY.format(col="mfa", test="true")),
+    ("ForAllValues:StringEquals", "aws:TagKeys", "a,b", _TAGS.format(absent=2, test="tags IN ('a,b', 'a')")), ("ForAnyValue:StringEquals", "aws:tagkeys", "c", _TAGS.format(absent=0, test="tags = 'a,c'")), ("ForAnyValue:StringNotEquals", "aws:tagkeys", "a", _TAGS.format(absent=0, test="tags <> 'a'")),
+    ("StringEquals", "aws:tagkeys", "c", _TAGS.format(absent=0, test="tags = 'a,c'")), ("StringNotLike", "aws:tagkeys", "c*", _TAGS.format(absent=2, test="tags <> 'a,c'")), ("StringEqualsIfExists", "aws:tagkeys", "b", _TAGS.format(absent=2, test="tags = 'a,b'")), ("Null", "aws:tagkeys", "true", _TAGS.format(absent=2, test="false")), ("Null", "aws:absent", "false", "0"),
+    ("IpAddress", "aws:SourceIp", "10.0.0.0/12,2001:db8::/32", _ONE_KEY.format(col="ip", test=f"{_IP} OR ip LIKE '2001:db8:%'")), ("NotIpAddress", "aws:sourceip", "10.0.0.0/12", _ONE_KEY.format(col="ip", test=f"NOT {_IP}")), ("NumericLessThan", "aws:age", "100", "CASE WHEN TRY_CAST(age AS DOUBLE) < 100 THEN 2 ELSE 0 END"), ("NumericNotEquals", "aws:age", "99.0", "CASE WHEN TRY_CAST(age AS DOUBLE) = 99 THEN 0 ELSE 2 END"),
+    ("NumericGreaterThanEquals", "aws:age", "99,500", "CASE WHEN TRY_CAST(age AS DOUBLE) >= 99 THEN 2 ELSE 0 END"), ("DateGreaterThan", "aws:CurrentTime", "2020-06-01T00:00:00Z", "CASE WHEN moment > TIMESTAMP '2020-06-01 00:00:00' THEN 2 ELSE 0 END"), ("DateLessThanEquals", "aws:currenttime", "1590969600", "CASE WHEN moment <= TIMESTAMP '2020-06-01 00:00:00' THEN 2 ELSE 0 END"),
+    ("Bool", "aws:mfa", "TRUE", _ONE_KEY.format(col="mfa", test="mfa = 'true'")), ("ArnLike", "aws:PrincipalArn", "arn:aws:iam::*:user/*", _ONE_KEY.format(col="caller", test="caller LIKE '%:user/%'")), ("ArnNotEquals", "aws:principalarn", "arn:aws:iam::*", _ONE_KEY.format(col="caller", test="false")), ("ArnEquals", "aws:principalarn", "arn:aws:*:user/u1", _ONE_KEY.format(col="caller", test="false")),
+    ("BinaryEquals", "aws:mfa", "dHJ1ZQ==", _ONE_KEY.format(col="mfa", test="false")), ("StringEqualz", "aws:mfa", "true", "NULL"), ("NullIfExists", "aws:mfa", "true", "NULL"),
+]
+#: Statements of four to a policy, all parts; orders ask one policy each.
+_POLICIES = "(SELECT CAST(floor(count(*) / 4) AS BIGINT) FROM $part)"
+_STATEMENTS = f"""SELECT CAST(floor(p_partkey / 4) AS BIGINT) AS policy, CAST(p_partkey AS BIGINT) AS stmt, {_pick('p_size', ['Allow', 'Deny', 'allow', 'Deny', 'Permit'])} AS effect,
+{_pick('p_partkey', ['s3:*', '*', 'iam:PassRole', 'ec2:Start?nstances', '', 's3:*,iam:*', '*'])} AS action, {_pick('p_partkey', ['', '', '', '', 'ec2:*', '', ''])} AS not_action, {_pick('p_size', [*_PATTERNS, '*', '*'])} AS resource_pattern, p_size % 7 = 3 AS negated,
+{_pick('p_partkey', ['', 'AWS *', 'AWS 111122223333', 'AWS arn:aws:iam::111122223333:user/u1', '', 'Service ec2.amazonaws.com', 'Federated arn:aws:iam::111122223333:user/u1', ''])} AS principal, p_size % 9 = 4 AS not_principal,
+CAST(p_partkey * 5 % {len(_CONDITIONS) + 6} AS BIGINT) AS c1, CAST(p_size * 7 % {len(_CONDITIONS) + 20} AS BIGINT) AS c2, CASE WHEN p_size % 11 = 1 THEN '2008-10-17' ELSE '2012-10-17' END AS version FROM $part"""
+_REQUESTS = f"""SELECT CAST(o_orderkey AS BIGINT) AS request, CAST(o_orderkey % {_POLICIES} AS BIGINT) AS policy, {_pick('o_orderkey', ['s3:GetObject', 'IAM:passrole', 'ec2:StartInstances'])} AS action, {_pick('o_orderkey', _RESOURCES)} AS resource,
+{_pick('o_custkey', ['u1', 'u*', None])} AS username, {_pick('o_custkey', ['true', 'false', None, 'true'])} AS mfa, {_pick('o_orderkey', ['arn:aws:iam::111122223333:user/u1', None, 'arn:aws:iam::444455556666:role/r', 'arn:aws:iam::111122223333:user/u2'])} AS caller,
+{_pick('o_custkey', ['a,b', 'a,c', 'a', '', None])} AS tags, {_pick('o_custkey', ['10.1.2.3', '10.200.0.1', '2001:db8:0:5::1', None, 'x'])} AS ip, {_pick('o_orderkey', ['99', '100.5', 'x', '7'])} AS age, o_orderdate AS moment FROM $orders"""
 
 
-def _list(c: str) -> Column:
-    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(c))
+def _split(c: str) -> Column:
+    return F.when(F.coalesce(c, F.lit("")) != "", F.split(c, ","))
 
 
 def _context() -> Column:
-    pairs = [("aws:username", F.col("username")), ("aws:mfa", F.col("mfa")), ("aws:principalarn", F.col("caller")), ("aws:principalaccount", F.get(F.split("caller", ":"), 4))]
-    told = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("v")) for k, v in pairs)), lambda x: x["v"].isNotNull())
-    known = F.map_from_entries(F.transform(told, lambda x: F.struct(x["key"], F.array(x["v"]))))
-    return F.map_concat(known, F.create_map(F.lit("aws:absent"), F.array().cast("array<string>")))
+    pairs = [("aws:username", F.array("username")), ("aws:mfa", F.array("mfa")), ("aws:principalarn", F.array("caller")), ("aws:principalaccount", F.array(F.get(F.split("caller", ":"), 4))), ("aws:sourceip", F.array("ip")), ("aws:age", F.array("age")), ("aws:currenttime", F.array(F.date_format("moment", "yyyy-MM-dd'T'HH:mm:ss'Z'")))]
+    told = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("v")) for k, v in pairs)), lambda x: F.get(x["v"], 0).isNotNull())
+    none = F.array().cast("array<string>")
+    tags = F.when(F.col("tags").isNull(), F.create_map().cast("map<string,array<string>>")).otherwise(F.create_map(F.lit("aws:tagkeys"), F.when(F.col("tags") == "", none).otherwise(F.split("tags", ","))))
+    return F.map_concat(F.map_from_entries(told), F.create_map(F.lit("aws:absent"), none), tags)
 
 
 def _evaluated(spark, sf_dir):
-    empty = F.array().cast("array<string>")
     s = derived(spark, sf_dir, _STATEMENTS)
+    named = F.when(F.col("principal") != "", F.array(F.struct(F.substring_index("principal", " ", 1).alias("type"), F.substring_index("principal", " ", -1).alias("who"))))
     pattern = F.array("resource_pattern")
-    s = s.select("policy", "stmt", "effect", "version", "cond_op", "cond_key", F.array("cond_value").alias("cond_values"), _list("action").alias("actions"), _list("not_action").alias("not_actions"), _list("principal").alias("principals"), F.when(F.col("negated"), empty).otherwise(pattern).alias("resources"), F.when(F.col("negated"), pattern).otherwise(empty).alias("not_resources"))
+    every = F.array(*(F.struct(F.lit(op).alias("op"), F.lit(key).alias("key"), F.split(F.lit(values), ",").alias("values")) for op, key, values, _ in _CONDITIONS))
+    one = lambda c: F.get(every, F.col(c).cast("int"))
+    s = s.select(
+        "policy", "stmt", "effect", "version", _split("action").alias("actions"), _split("not_action").alias("not_actions"), F.when(~F.col("negated"), pattern).alias("resources"), F.when(F.col("negated"), pattern).alias("not_resources"),
+        F.when(~F.col("not_principal"), named).alias("principals"), F.when(F.col("not_principal"), named).alias("not_principals"), F.filter(F.array(one("c1"), one("c2")), lambda c: c.isNotNull()).alias("conditions"),
+    )
     r = derived(spark, sf_dir, _REQUESTS).select("request", "policy", "action", "resource", _context().alias("context"))
     return evaluate(r, s)
 
 
+def _conditions(spark, sf_dir):
+    """Every condition against every order's context."""
+    r = derived(spark, sf_dir, _REQUESTS).select("request", _context().alias("context"))
+    rows = F.array(*(F.struct(F.lit(i).cast("bigint").alias("n"), F.lit(op).alias("op"), F.lit(key).alias("key"), F.split(F.lit(values), ",").alias("values")) for i, (op, key, values, _) in enumerate(_CONDITIONS)))
+    each = r.select("request", "context", F.get(rows, (F.col("request") % len(_CONDITIONS)).cast("int")).alias("c"))
+    return each.select("request", F.col("c.n").alias("n"), condition(F.col("c.op"), F.col("c.key"), F.col("c.values"), F.col("context"), F.lit(VERSION)).alias("r")).select("request", "n", "r.result", "r.error")
+
+
 _PAIRS = f"SELECT DISTINCT {_pick('l_partkey', _PATTERNS)} AS pattern, {_pick('l_suppkey', _RESOURCES)} AS resource, {_pick('l_linenumber', ['u1', 'u*', None])} AS username FROM $lineitem"
 
 
@@ -211,6 +179,7 @@ QUERIES = {
     "eval_arn": lambda spark, sf_dir: derived(spark, sf_dir, _PAIRS).where("resource IS NOT NULL").select("pattern", "resource", arn_match(F.col("pattern"), F.col("resource")).alias("as_resource"), arn_match(F.col("pattern"), F.col("resource"), False).alias("as_condition")).distinct(),
     "eval_pattern_request": lambda spark, sf_dir: derived(spark, sf_dir, _PAIRS).where("resource LIKE '%*'").select("pattern", "resource", pattern_request(F.col("pattern"), F.col("resource")).alias("covered")).distinct(),
     "eval_statement": lambda spark, sf_dir: _evaluated(spark, sf_dir).select("request", "policy", "stmt", "effect", "error", "result"),
+    "eval_condition": _conditions,
 }
 _FILL = "replace(replace(replace(pattern, '${aws:missing, ''shared''}', 'shared'), '${aws:username}', coalesce(replace(username, '*', chr(1)), chr(3))), '${aws:missing}', chr(3))"
 
@@ -235,20 +204,20 @@ def _arn(pattern: str, value: str, expand: bool = True) -> str:
 
 
 _COVER = "CASE WHEN p = '*' THEN 2 WHEN rtrim(p, '*') LIKE '%*%' OR p LIKE '%?%' THEN 1 WHEN p LIKE '%*' AND starts_with(rtrim(resource, '*'), rtrim(p, '*')) THEN 2 WHEN NOT starts_with(rtrim(resource, '*'), rtrim(p, '*')) AND NOT starts_with(rtrim(p, '*'), rtrim(resource, '*')) THEN 0 WHEN p NOT LIKE '%*' AND NOT starts_with(p, rtrim(resource, '*')) THEN 0 ELSE 1 END"
-_NAMED = "CASE lower({k}) WHEN 'aws:username' THEN username WHEN 'aws:mfa' THEN mfa END"
+_CASE = "CASE {c} " + " ".join(f"WHEN {i} THEN {sql}" for i, (_, _, _, sql) in enumerate(_CONDITIONS)) + " ELSE 2 END"
+_ERROR = "CASE {c} " + " ".join(f"WHEN {i} THEN 'operator {op}'" for i, (op, _, _, sql) in enumerate(_CONDITIONS) if sql == "NULL") + " END"
 ORACLES = {
     "eval_variables": f"SELECT DISTINCT pattern, username, CASE WHEN f NOT LIKE '%' || chr(3) || '%' THEN replace(f, chr(1), '<star>') END AS filled FROM (SELECT pattern, username, {_FILL} AS f FROM ({duck(_PAIRS)}))",
     "eval_arn": f"SELECT DISTINCT pattern, resource, {_arn('pattern', 'resource')} AS as_resource, {_arn('pattern', 'resource', False)} AS as_condition FROM ({duck(_PAIRS)}) WHERE resource IS NOT NULL",
     "eval_pattern_request": f"SELECT pattern, resource, CASE c WHEN 2 THEN true WHEN 0 THEN false END AS covered FROM (SELECT DISTINCT pattern, resource, {_COVER} AS c FROM (SELECT *, pattern AS p FROM ({duck(_PAIRS)})) WHERE resource LIKE '%*')",
-    # 2 is true, 1 unknown, 0 false; AND is the least, NOT is 2 minus.
+    # 2 is true, 1 unknown, 0 false, null an error; AND is the least, NOT is 2 minus.
+    "eval_condition": f"SELECT request, n, CASE r WHEN 2 THEN true WHEN 1 THEN NULL ELSE false END AS result, {_ERROR.format(c='n')} AS error FROM (SELECT *, request % {len(_CONDITIONS)} AS n, {_CASE.format(c=f'request % {len(_CONDITIONS)}')} AS r FROM (SELECT *, '2012-10-17' AS version FROM ({duck(_REQUESTS)})))",
     "eval_statement": f"""WITH j AS (SELECT *, resource_pattern AS pattern FROM ({duck(_REQUESTS)}) r JOIN ({duck(_STATEMENTS)}) s USING (policy)),
-f AS (SELECT *, CASE WHEN version = '2012-10-17' THEN {_FILL} ELSE pattern END AS p, {_NAMED.format(k='cond_key')} AS got, lower(j.action) AS asked FROM (SELECT * EXCLUDE (action, action_1), action, action_1 AS wanted FROM j) j),
-m AS (SELECT *, CASE WHEN wanted <> '' THEN CASE WHEN asked GLOB lower(wanted) THEN 2 ELSE 0 END WHEN not_action <> '' THEN CASE WHEN asked GLOB not_action THEN 0 ELSE 2 END END AS a,
+f AS (SELECT *, CASE WHEN version = '2012-10-17' THEN {_FILL} ELSE pattern END AS p, lower(j.action) AS asked FROM (SELECT * EXCLUDE (action, action_1), action, action_1 AS wanted FROM j) j),
+m AS (SELECT *, CASE WHEN wanted <> '' THEN CASE WHEN len(list_filter(string_split(lower(wanted), ','), lambda x: asked GLOB x)) > 0 THEN 2 ELSE 0 END ELSE CASE WHEN asked GLOB not_action THEN 0 ELSE 2 END END AS a,
 CASE WHEN p = '*' THEN 2 WHEN p LIKE '%' || chr(3) || '%' OR resource IS NULL THEN 1 WHEN resource LIKE '%*' THEN {_COVER} WHEN {_arn('p', 'resource')} THEN 2 ELSE 0 END AS r,
-CASE WHEN principal IN ('', '*') THEN 2 WHEN caller IS NULL THEN 1 WHEN principal = '111122223333' THEN CASE WHEN split_part(caller, ':', 5) = principal THEN 2 ELSE 0 END WHEN principal = caller THEN 2 ELSE 0 END AS w,
-CASE WHEN cond_op IS NULL THEN 2 WHEN cond_key = 'aws:absent' THEN CASE WHEN cond_op IN ('StringNotEquals', 'StringLikeIfExists') OR cond_op = 'Null' AND cond_value = 'true' THEN 2 ELSE 0 END WHEN got IS NULL THEN 1
-WHEN cond_op = 'Null' THEN CASE WHEN cond_value <> 'true' THEN 2 ELSE 0 END WHEN cond_op = 'StringNotEquals' THEN CASE WHEN got = cond_value THEN 0 ELSE 2 END WHEN cond_op LIKE 'StringLike%' THEN CASE WHEN got GLOB cond_value THEN 2 ELSE 0 END WHEN lower(got) = lower(cond_value) THEN 2 ELSE 0 END AS c,
-CASE WHEN lower(effect) NOT IN ('allow', 'deny') THEN 'effect' END AS e FROM f),
-x AS (SELECT *, CASE WHEN e IS NOT NULL OR a IS NULL THEN 0 ELSE least(a, CASE WHEN negated THEN 2 - r ELSE r END, w, c) END AS out FROM m)
-SELECT request, policy, stmt, upper(effect[1]) || lower(effect[2:]) AS effect, coalesce(e, CASE WHEN a IS NULL THEN 'action' END) AS error, CASE out WHEN 2 THEN true WHEN 0 THEN false END AS result FROM x""",
+CASE WHEN principal IN ('', 'AWS *') THEN 2 WHEN caller IS NULL THEN 1 WHEN principal LIKE 'Service%' THEN 0 WHEN principal = 'AWS 111122223333' THEN CASE WHEN split_part(caller, ':', 5) = '111122223333' THEN 2 ELSE 0 END WHEN split_part(principal, ' ', 2) = caller THEN 2 ELSE 0 END AS w0,
+{_CASE.format(c='c1')} AS x1, {_CASE.format(c='c2')} AS x2, CASE WHEN lower(effect) NOT IN ('allow', 'deny') THEN 'effect' ELSE coalesce({_ERROR.format(c='c1')}, {_ERROR.format(c='c2')}) END AS error FROM f),
+x AS (SELECT *, CASE WHEN error IS NOT NULL THEN 0 ELSE least(a, CASE WHEN negated THEN 2 - r ELSE r END, CASE WHEN not_principal AND principal <> '' THEN 2 - w0 ELSE w0 END, x1, x2) END AS out FROM m)
+SELECT request, policy, stmt, upper(effect[1]) || lower(effect[2:]) AS effect, error, CASE out WHEN 2 THEN true WHEN 0 THEN false END AS result FROM x""",
 }

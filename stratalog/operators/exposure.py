@@ -74,28 +74,6 @@ def gate(findings: DataFrame, limit: str) -> DataFrame:
     return findings.agg(F.coalesce(F.bool_or(F.col("severity").isin(*bad)), F.lit(False)).alias("fails"))
 
 
-def condition(op: Column, given: Column, wanted: Column) -> Column:
-    """Does a request's value meet a condition's list. A negated operator means none of them; a missing value is true
-    for negated and ...IfExists operators and false for the others; a value of the wrong kind never matches."""
-    base = F.regexp_replace(F.regexp_replace(F.lower(op), "ifexists$", ""), "^for(all|any)values?:", "")
-    positive = F.regexp_replace(base, "not", "")
-    number = lambda v: v.try_cast("double")
-
-    def one(v: Column) -> Column:
-        a, b = number(given), number(v)
-        return F.coalesce(
-            F.when(positive == "stringequals", given == v).when(positive == "stringequalsignorecase", F.lower(given) == F.lower(v)).when(positive.isin("stringlike", "arnlike", "arnequals"), F.rlike(F.lower(given), glob(v)))
-            .when(positive == "numericequals", a == b).when(positive == "numericlessthan", a < b).when(positive == "numericlessthanequals", a <= b).when(positive == "numericgreaterthan", a > b).when(positive == "numericgreaterthanequals", a >= b)
-            .when(positive == "bool", F.lower(given) == F.lower(v)), F.lit(False),
-        )
-
-    met = F.exists(wanted, one)
-    negated = base.contains("not")
-    absent = negated | F.lower(op).endswith("ifexists") | F.lower(op).startswith("forallvalues:")
-    is_null = F.exists(wanted, lambda v: F.lower(v) == "true")
-    return F.when(base == "null", F.when(given.isNull(), is_null).otherwise(~is_null)).when(given.isNull(), absent).when(negated, ~met).otherwise(met)
-
-
 def trust_edges(stmts: DataFrame, inside: list[str]) -> DataFrame:
     """Who a role or resource trusts: public, same organisation, outside account, service or provider."""
     s = kinds(stmts).where("has_principal AND effect = 'Allow'")
@@ -109,8 +87,6 @@ def trust_edges(stmts: DataFrame, inside: list[str]) -> DataFrame:
 RULES = "SELECT CAST(s_suppkey AS BIGINT) AS rule, CAST(s_suppkey % 17 AS BIGINT) AS grp, CASE s_suppkey % 6 WHEN 0 THEN '-1' WHEN 1 THEN 'icmp' WHEN 2 THEN 'udp' ELSE 'tcp' END AS protocol, CASE s_suppkey % 7 WHEN 0 THEN 22 WHEN 1 THEN 443 WHEN 2 THEN 0 WHEN 3 THEN 8000 WHEN 4 THEN 20 WHEN 5 THEN 9999 END AS from_port, CASE s_suppkey % 7 WHEN 0 THEN 22 WHEN 1 THEN 443 WHEN 2 THEN 65535 WHEN 3 THEN 8100 WHEN 4 THEN 500 WHEN 5 THEN 9999 END AS to_port FROM $supplier"
 SOURCES = "SELECT CAST(s_suppkey AS BIGINT) AS rule, CAST(0 AS BIGINT) AS lo, CASE s_suppkey % 4 WHEN 0 THEN 4294967295 WHEN 1 THEN 2147483647 ELSE 255 END AS hi FROM $supplier UNION ALL SELECT CAST(s_suppkey AS BIGINT), CASE s_suppkey % 3 WHEN 0 THEN 2147483648 ELSE 167772160 END, CASE s_suppkey % 3 WHEN 0 THEN 4294967295 ELSE 184549375 END FROM $supplier"
 USED = "SELECT CAST(c_nationkey AS BIGINT) AS grp FROM $customer WHERE c_nationkey < 11"
-_OPS = ["StringEquals", "StringNotEquals", "StringLike", "NumericLessThan", "NumericGreaterThanEquals", "StringEqualsIfExists", "Null", "Bool"]
-GIVEN = "SELECT CAST(o_orderkey AS BIGINT) AS id, CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN '{o}'" for i, o in enumerate(_OPS)) + " END AS op, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 8 IN (3, 4) THEN CAST(o_custkey % 50 AS VARCHAR(9)) WHEN o_orderkey % 8 = 7 THEN 'True' ELSE o_orderpriority END AS given, CASE o_orderkey % 8 WHEN 3 THEN '25' WHEN 4 THEN '25,x' WHEN 6 THEN 'true' WHEN 7 THEN 'true' WHEN 2 THEN '2-*,?-low' ELSE '5-LOW,1-URGENT' END AS wanted FROM $orders"
 INSIDE = ["111122223333"]
 
 
@@ -124,7 +100,6 @@ QUERIES = {
     "expo_open_sg": _open,
     "expo_counts": lambda spark, sf_dir: severity_counts(_open(spark, sf_dir)),
     "findings_gate": lambda spark, sf_dir: gate(_open(spark, sf_dir), "high"),
-    "eval_condition": lambda spark, sf_dir: derived(spark, sf_dir, GIVEN).select("id", condition(F.col("op"), F.col("given"), F.split("wanted", ",")).alias("met")),
     "trust_edges": lambda spark, sf_dir: trust_edges(statements(derived(spark, sf_dir, POLICY)), INSIDE),
     "trust_principals": lambda spark, sf_dir: trust_edges(statements(derived(spark, sf_dir, POLICY)), INSIDE).groupBy("class").agg(F.count("*").alias("edges"), F.countDistinct("policy_id").alias("policies")),
 }
@@ -144,8 +119,6 @@ ORACLES = {
     "expo_open_sg": _R + "SELECT * FROM z",
     "expo_counts": _R + "SELECT v.severity, count(z.rule) AS findings FROM (VALUES ('critical'), ('high'), ('medium'), ('low'), ('info')) AS v(severity) LEFT JOIN z USING (severity) GROUP BY v.severity",
     "findings_gate": _R + "SELECT bool_or(severity IN ('critical', 'high')) AS fails FROM z",
-    "eval_condition": f"""WITH g AS (SELECT *, string_split(wanted, ',') AS w FROM ({duck(GIVEN)})) SELECT id, CASE op WHEN 'Null' THEN given IS NULL WHEN 'StringEquals' THEN given IS NOT NULL AND list_contains(w, given) WHEN 'StringNotEquals' THEN given IS NULL OR NOT list_contains(w, given) WHEN 'StringEqualsIfExists' THEN given IS NULL OR list_contains(w, given)
- WHEN 'StringLike' THEN given IS NOT NULL AND (lower(given) GLOB '2-*' OR lower(given) GLOB '?-low') WHEN 'Bool' THEN given IS NOT NULL WHEN 'NumericLessThan' THEN coalesce(TRY_CAST(given AS DOUBLE) < 25, false) ELSE coalesce(TRY_CAST(given AS DOUBLE) >= 25, false) END AS met FROM g""",
     "trust_edges": _TRUST + "SELECT policy_id, who, class FROM e",
     "trust_principals": _TRUST + "SELECT class, count(*) AS edges, count(DISTINCT policy_id) AS policies FROM e GROUP BY class",
 }
