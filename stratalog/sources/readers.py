@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..adapters import CHANGES_SQL, TRAIL, derived, duck
+from ..functions.rounds import settled
 
 RECORD = "eventID string, eventTime string, eventName string, eventSource string, awsRegion string, errorCode string, userIdentity struct<type:string,arn:string,accountId:string,userName:string,invokedBy:string>"
 
@@ -39,22 +40,39 @@ def policy_document(text: Column) -> Column:
     return F.when(inner.rlike(r"^%7[Bb]"), F.try_url_decode(inner)).otherwise(inner)
 
 
-def state_resources(files: DataFrame, text: str = "text", depth: int = 4) -> DataFrame:
-    """address, type, name, values of each resource: raw state (version 4) or shown state with modules nested to ``depth``."""
+RESOURCE = "array<struct<address:string,mode:string,type:string,name:string,values:string>>"
+INSTANCES = "array<struct<mode:string,type:string,name:string,module:string,instances:array<struct<index_key:string,attributes:string>>>>"
+
+
+def _managed(rows: DataFrame, at: str) -> DataFrame:
+    """Resources listed under a path of a module's text."""
+    found = rows.select(F.explode(F.from_json(F.get_json_object("m", at), RESOURCE)).alias("r")).select("r.*")
+    return found.where("mode = 'managed'").select("address", "type", "name", "values")
+
+
+def state_resources(files: DataFrame, text: str = "text") -> DataFrame:
+    """address, type, name, values of each resource of raw state (version 4), shown state or a plan's planned values, with
+    modules nested to any depth: a round takes one level of all files apart, and the rounds end with the deepest one."""
     t = F.col(text)
-    raw = F.from_json(F.get_json_object(t, "$.resources"), "array<struct<mode:string,type:string,name:string,module:string,instances:array<struct<index_key:string,attributes:string>>>>")
+    raw = F.from_json(F.get_json_object(t, "$.resources"), INSTANCES)
     one = files.select(F.explode(raw).alias("r")).select("r.*").select("mode", "type", "name", "module", F.explode("instances").alias("i"))
     address = F.concat_ws(".", "module", "type", "name")
     index = F.when(F.col("i.index_key").isNull(), "").when(F.col("i.index_key").rlike(r"^\d+$"), F.concat(F.lit("["), F.col("i.index_key"), F.lit("]"))).otherwise(F.concat(F.lit('["'), F.col("i.index_key"), F.lit('"]')))
     out = one.where("mode = 'managed'").select(F.concat(address, index).alias("address"), "type", "name", F.col("i.attributes").alias("values"))
-    level = files.select(F.get_json_object(t, "$.values.root_module").alias("m")).where("m IS NOT NULL")
-    for _ in range(depth):
-        rows = level.select(F.explode(F.from_json(F.get_json_object("m", "$.resources"), "array<struct<address:string,mode:string,type:string,name:string,values:string>>")).alias("r")).select("r.*")
-        out = out.unionByName(rows.where("mode = 'managed'").select("address", "type", "name", "values"))
-        level = level.select(F.explode(F.from_json(F.get_json_object("m", "$.child_modules"), "array<string>")).alias("m"))
+    roots = F.coalesce(F.get_json_object(t, "$.values.root_module"), F.get_json_object(t, "$.planned_values.root_module"))
+    level = settled(files.select(roots.alias("m")).where("m IS NOT NULL"))
+    while not level.isEmpty():
+        out = out.unionByName(_managed(level, "$.resources"))
+        level = settled(level.select(F.explode(F.from_json(F.get_json_object("m", "$.child_modules"), "array<string>")).alias("m")).where("m IS NOT NULL"))
     return out
 
 
+def state_rejects(files: DataFrame, text: str = "text") -> DataFrame:
+    """Texts that hold no state: no JSON, or none of the three shapes."""
+    shapes = [F.get_json_object(F.col(text), p).isNotNull() for p in ("$.resources", "$.values", "$.planned_values")]
+    return files.where(F.expr(f"try_parse_json({text}) IS NULL") | ~(shapes[0] | shapes[1] | shapes[2]))
+
+
 def plan_changes(files: DataFrame, text: str = "text") -> DataFrame:
     """address, type, actions, before and after of each planned change."""
     rows = F.from_json(F.get_json_object(F.col(text), "$.resource_changes"), "array<struct<address:string,type:string,change:struct<actions:array<string>,before:string,after:string>>>")
@@ -93,11 +111,14 @@ def write_findings(findings: DataFrame, path: str, kind: str = "csv") -> None:
 
 # Queries: the given tables are put into each wrapper and read back.
 
+#: Keys that a file takes rows from, so that files have a bounded size and their number grows with the table.
+FILE = 1000
+
 
 def _trail_files(spark, sf_dir):
     e = derived(spark, sf_dir, TRAIL)
     one = F.struct(F.col("event_id").cast("string").alias("eventID"), F.col("event_time").cast("string").alias("eventTime"), F.col("event_name").alias("eventName"), F.col("event_source").alias("eventSource"), F.col("region").alias("awsRegion"), F.col("error_code").alias("errorCode"), F.struct(F.col("id_type").alias("type"), F.col("id_arn").alias("arn")).alias("userIdentity"))
-    g = e.groupBy("user_id").agg(F.collect_list(one).alias("l"))
+    g = e.groupBy("user_id", F.floor(F.col("event_id") / FILE).alias("file")).agg(F.collect_list(one).alias("l"))
     events = F.transform("l", lambda x: F.struct(F.to_json(x).alias("CloudTrailEvent")))
     kind = F.col("user_id") % 3
     text = F.when(kind == 0, F.to_json(F.struct(F.col("l").alias("Records")))).when(kind == 1, F.to_json(F.struct(events.alias("Events")))).otherwise(F.to_json("l"))
@@ -105,20 +126,24 @@ def _trail_files(spark, sf_dir):
 
 
 def _state(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("g", F.col("p_partkey") % 7)
+    """Files of all three shapes; shown ones and plans nest their modules up to fifteen deep."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumns({"g": F.col("p_partkey") % 7, "file": F.floor(F.col("p_partkey") / 70)})
     name = F.concat(F.lit("r"), F.col("p_partkey").cast("string"))
     value = F.create_map(F.lit("size"), F.col("p_size").cast("string"))
-    raw = p.where("g < 4").groupBy("g").agg(F.collect_list(F.struct(F.lit("managed").alias("mode"), F.lit("aws_x").alias("type"), name.alias("name"), F.array(F.struct(F.lit("0").alias("index_key"), value.alias("attributes"))).alias("instances"))).alias("resources"))
-    shown = p.where("g >= 4").groupBy("g").agg(F.collect_list(F.struct(F.concat(F.lit("module.m.aws_x."), name).alias("address"), F.lit("managed").alias("mode"), F.lit("aws_x").alias("type"), name.alias("name"), value.alias("values"))).alias("rs"))
-    nested = F.struct(F.struct(F.array(F.struct(F.array(F.struct(F.col("rs").alias("resources"))).alias("child_modules"))).alias("child_modules")).alias("root_module"))
-    texts = raw.select(F.to_json(F.struct(F.lit(4).alias("version"), "resources")).alias("text")).unionByName(shown.select(F.to_json(F.struct(nested.alias("values"))).alias("text")))
+    raw = p.where("g < 3").groupBy("g", "file").agg(F.collect_list(F.struct(F.lit("managed").alias("mode"), F.lit("aws_x").alias("type"), name.alias("name"), F.array(F.struct(F.lit("0").alias("index_key"), value.alias("attributes"))).alias("instances"))).alias("resources"))
+    shown = p.where("g >= 3").groupBy("g", "file").agg(F.to_json(F.collect_list(F.struct(F.concat(F.lit("module.m.aws_x."), name).alias("address"), F.lit("managed").alias("mode"), F.lit("aws_x").alias("type"), name.alias("name"), value.alias("values")))).alias("rs"))
+    deep = ((F.col("file") * 7 + F.col("g")) % 16).cast("int")
+    nested = F.concat(F.repeat(F.lit('{"child_modules":['), deep), F.lit('{"resources":'), F.col("rs"), F.lit("}"), F.repeat(F.lit("]}"), deep))
+    top = F.when(F.col("g") == 6, "planned_values").otherwise("values")
+    texts = raw.select(F.to_json(F.struct(F.lit(4).alias("version"), "resources")).alias("text")).unionByName(shown.select(F.concat(F.lit('{"'), top, F.lit('":{"root_module":'), nested, F.lit("}}")).alias("text")))
     return state_resources(texts).select("address", "type", F.get_json_object("values", "$.size").alias("size"))
 
 
 def _plans(spark, sf_dir):
     c = derived(spark, sf_dir, CHANGES_SQL)
     one = F.struct("address", "type", F.struct(F.split("acts", ",").alias("actions"), F.from_json("before", "map<string,string>").alias("before"), F.from_json("after", "map<string,string>").alias("after")).alias("change"))
-    texts = c.groupBy("plan_id").agg(F.to_json(F.struct(F.collect_list(one).alias("resource_changes"))).alias("text"))
+    key = F.floor(F.regexp_extract("address", r"(\d+)$", 1).cast("bigint") / FILE)
+    texts = c.groupBy("plan_id", key.alias("file")).agg(F.to_json(F.struct(F.collect_list(one).alias("resource_changes"))).alias("text"))
     return plan_changes(texts).select("address", "type", F.array_join("actions", ",").alias("acts"), F.get_json_object("after", "$.size").alias("size"))
 
 
@@ -152,7 +177,7 @@ def _cells(spark, sf_dir):
 QUERIES = {"src_trail_files": _trail_files, "src_tf_state": _state, "src_tf_plan": _plans, "src_policy_docs": _policies, "src_cred_report": _report, "src_coverage": _coverage, "sink_findings": _cells}
 ORACLES = {
     "src_trail_files": f'SELECT CAST(event_id AS VARCHAR) AS "eventID", event_name AS "eventName", event_source AS "eventSource", region AS "awsRegion", id_type AS type FROM ({duck(TRAIL)})',
-    "src_tf_state": "SELECT CASE WHEN p_partkey % 7 < 4 THEN 'aws_x.r' || p_partkey || '[0]' ELSE 'module.m.aws_x.r' || p_partkey END AS address, 'aws_x' AS type, CAST(p_size AS VARCHAR) AS size FROM part",
+    "src_tf_state": "SELECT CASE WHEN p_partkey % 7 < 3 THEN 'aws_x.r' || p_partkey || '[0]' ELSE 'module.m.aws_x.r' || p_partkey END AS address, 'aws_x' AS type, CAST(p_size AS VARCHAR) AS size FROM part",
     "src_tf_plan": f"SELECT address, type, acts, json_extract_string(after, '$.size') AS size FROM ({duck(CHANGES_SQL)})",
     "src_policy_docs": "SELECT p_partkey, 's' || p_partkey AS sid FROM part",
     "src_cred_report": "SELECT 'u' || c_custkey AS user, CASE WHEN c_custkey % 2 = 1 THEN '2024-01-01' END AS password_last_used, c_custkey % 10 <> 3 AS lines_up FROM customer",
