@@ -8,19 +8,24 @@ broadcast, and a row finds its shard by one look-up of its key's hash.
 Placement is DataFrame functions only. A hot key can be spread over several shards: ``spread`` is how many, and a second
 column deals its rows out.
 
-Defined cases: a null key goes to slot 0; equal keys go to one shard (unless spread); an empty table gives no row; a single
-shard takes all; duplicate shard names and no shard at all are errors; all columns of the table are kept, and the new ones
-replace columns of their name.
+Whole rows move: they are written to a folder for each shard and read back from there. Within a shard, a hash of the whole
+row deals rows out to files, so that a hot key is no task of its own even where it isn't spread.
+
+Defined cases: a null key goes to slot 0, and with ``spread`` is dealt out like any other; equal keys go to one shard
+(unless spread); an empty table gives no row; a single shard takes all; duplicate shard names, no shard at all and a spread
+without a column to spread by are errors; all columns of the table are kept, and the new ones replace columns of their
+name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_dir, table
 
 #: Prime, and over a hundred times the usual number of shards.
 SLOTS = 65_537
@@ -60,27 +65,42 @@ def lookup_frame(spark: SparkSession, shards: tuple[str, ...] = SHARDS, slots: i
 
 def place(docs: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, spread: int = 1, spread_by: str | None = None, slots: int = SLOTS) -> DataFrame:
     """Adds ``slot`` and ``shard`` (a number). With ``spread``, a key's rows go to that many slots by ``spread_by``."""
+    if spread > 1 and not spread_by:
+        raise ValueError("a key is spread by another column")
     named = F.col(key).cast("string")
     if spread > 1:
-        part = F.pmod(F.xxhash64(spread_by or key), F.lit(spread)).cast("string")
-        named = F.concat_ws("#", named, part)
+        named = F.concat_ws("#", named, F.pmod(F.xxhash64(spread_by), F.lit(spread)).cast("string"))
     placed = docs.drop("slot", "shard").withColumn("slot", slot_of(named, slots))
     return placed.join(F.broadcast(lookup_frame(docs.sparkSession, shards, slots)), "slot").select(*[c for c in docs.columns if c not in ("slot", "shard")], "slot", "shard")
 
 
-def write_shards(docs: DataFrame, path: str, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, files_per_shard: int = 8) -> None:
+def write_shards(docs: DataFrame, path: str, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, files_per_shard: int = 8, spread: int = 1, spread_by: str | None = None) -> None:
     """One folder a shard, of several files, so that no shard is written by one task."""
-    placed = place(docs, key, shards)
-    deal = F.pmod(F.col("slot"), F.lit(files_per_shard))
+    placed = place(docs, key, shards, spread, spread_by)
+    deal = F.pmod(F.xxhash64(*placed.columns), F.lit(files_per_shard))
     placed.repartition(len(shards) * files_per_shard, "shard", deal).write.partitionBy("shard").parquet(path)
 
 
+def sharded(docs: DataFrame, **how) -> DataFrame:
+    """The table written to its shards and read back, with ``slot`` and ``shard``."""
+    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    write_shards(docs, path, **how)
+    kept = [c for c in docs.columns if c not in ("slot", "shard")]
+    empty = place(docs, **{k: v for k, v in how.items() if k != "files_per_shard"}).limit(0)
+    files = docs.sparkSession.read.schema(empty.schema).parquet(path)
+    return files.select(*kept, "slot", "shard")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return place(table(spark, sf_dir, "documents").select("doc_id"))
+    """What each document's row is in its shard's files, and how many rows the shard has there."""
+    rows = sharded(table(spark, sf_dir, "documents"))
+    each = rows.select("doc_id", "slot", "shard", F.octet_length("text").cast("bigint").alias("n_bytes"), F.md5("text").alias("text_md5"), "source")
+    sizes = rows.groupBy("shard").agg(F.count("*").alias("shard_rows"))  # one row a shard
+    return each.join(F.broadcast(sizes), "shard").select("doc_id", "slot", "shard", "n_bytes", "text_md5", "source", "shard_rows")
 
 
 ORACLE = f"""
 WITH t AS (SELECT unnest(range({SLOTS})) AS slot, CAST(unnest(string_split('{",".join(map(str, lookup_table()))}', ',')) AS BIGINT) AS shard),
-d AS (SELECT doc_id, CAST(coalesce(CAST('0x' || md5(CAST(doc_id AS VARCHAR))[1:8] AS BIGINT) % {SLOTS}, 0) AS BIGINT) AS slot FROM documents)
-SELECT doc_id, slot, shard FROM d JOIN t USING (slot)
+d AS (SELECT doc_id, octet_length(encode(text)) AS n_bytes, md5(text) AS text_md5, source, CAST(coalesce(CAST('0x' || md5(CAST(doc_id AS VARCHAR))[1:8] AS BIGINT) % {SLOTS}, 0) AS BIGINT) AS slot FROM documents)
+SELECT doc_id, slot, shard, n_bytes, text_md5, source, count(*) OVER (PARTITION BY shard) AS shard_rows FROM d JOIN t USING (slot)
 """

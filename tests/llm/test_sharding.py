@@ -53,3 +53,20 @@ def test_placement(spark, tmp_path):
     assert 4 < sh.place(hot, "k", spread=16, spread_by="id").select("shard").distinct().count() <= 16
     sh.write_shards(docs.drop("shard"), str(tmp_path / "s"), shards=("a", "b"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(rows)
+
+
+def test_rows_move_whole_and_come_back(spark, tmp_path):
+    rows = [(i, f"text {i}", None if i % 3 else "s", 9) for i in range(300)] + [(7, "again", "s", 9), (7, "again", "s", 9), (None, None, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, slot int")
+    back = sh.sharded(docs)
+    assert back.columns == ["doc_id", "text", "source", "slot", "shard"]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, back.collect()), key=key) == sorted(map(tuple, sh.place(docs).collect()), key=key)
+    assert sh.sharded(docs.limit(0)).collect() == []
+    # A hot key's rows are dealt over its shard's files, and with a spread over several shards.
+    hot = spark.range(4000).selectExpr("'hot' AS k", "id")
+    sh.write_shards(hot, str(tmp_path / "h"), "k", files_per_shard=4)
+    assert len(list((tmp_path / "h").glob("shard=*"))) == 1 and len(list((tmp_path / "h").glob("shard=*/*.parquet"))) > 1
+    assert sh.sharded(hot, key="k", spread=16, spread_by="id").select("shard").distinct().count() > 4
+    with pytest.raises(ValueError, match="another column"):
+        sh.place(hot, "k", spread=2)
