@@ -25,7 +25,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, slices, table
 
 #: Prime, and over a hundred times the usual number of shards.
 SLOTS = 65_537
@@ -78,7 +78,7 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", shards: tuple[
     """One folder a shard, of several files, so that no shard is written by one task."""
     placed = place(docs, key, shards, spread, spread_by)
     deal = F.pmod(F.xxhash64(*placed.columns), F.lit(files_per_shard))
-    placed.repartition(len(shards) * files_per_shard, "shard", deal).write.partitionBy("shard").parquet(path)
+    placed.repartition(slices(docs.sparkSession), "shard", deal).write.partitionBy("shard").parquet(path)
 
 
 def sharded(docs: DataFrame, **how) -> DataFrame:

@@ -65,7 +65,7 @@ def test_rows_move_whole_and_come_back(spark, tmp_path):
     assert sh.sharded(docs.limit(0)).collect() == []
     # A hot key's rows are dealt over its shard's files, and with a spread over several shards.
     hot = spark.range(4000).selectExpr("'hot' AS k", "id")
-    sh.write_shards(hot, str(tmp_path / "h"), "k", files_per_shard=4)
+    sh.write_shards(hot, str(tmp_path / "h"), "k", files_per_shard=16)
     assert len(list((tmp_path / "h").glob("shard=*"))) == 1 and len(list((tmp_path / "h").glob("shard=*/*.parquet"))) > 1
     assert sh.sharded(hot, key="k", spread=16, spread_by="id").select("shard").distinct().count() > 4
     with pytest.raises(ValueError, match="another column"):
