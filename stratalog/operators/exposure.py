@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..adapters import POLICY, derived, duck
-from .policy import glob, kinds, statements
+from ..functions.text import let
+from .policy import kinds, statements
 
 # Ports that shouldn't be open to everyone.
 RISKY = {
@@ -14,33 +15,37 @@ RISKY = {
     3389: "RDP", 5432: "PostgreSQL", 5601: "Kibana", 5900: "VNC", 5984: "CouchDB", 5985: "WinRM", 5986: "WinRM", 6379: "Redis", 6443: "Kubernetes API", 7001: "WebLogic", 8086: "InfluxDB", 9092: "Kafka", 9200: "Elasticsearch", 9300: "Elasticsearch",
     10250: "Kubelet", 11211: "Memcached", 27017: "MongoDB",
 }
-LOWER = {"critical": "high", "high": "medium", "medium": "low"}
-UNUSED = {"critical": "medium", "high": "medium", "medium": "low"}
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 WHOLE = 1 << 32
+#: So many ports are more than one service needs.
+MANY_PORTS = 1000
+WEB = (80, 443)
+#: How bad each kind of opening is, worst first.
+KINDS = {"every protocol": "critical", "many ports": "high", "known service": "high", "other port": "medium", "ping": "low", "web": "info"}
 
 
 def port_risk(protocol: Column, low: Column, high: Column) -> Column:
-    """(severity, label) of a protocol and port range that is open to everyone."""
+    """(kind, severity, first, last, services) of a protocol and port range that is open to everyone; a missing or negative
+    end is the range's whole length. Services are the known ones in the range, by port."""
     proto = F.lower(F.coalesce(protocol, F.lit("-1")))
-    fp = F.greatest(F.coalesce(low, F.lit(0)), F.lit(0))
-    tp = F.when(F.coalesce(high, F.lit(65535)) < 0, 65535).otherwise(F.coalesce(high, F.lit(65535)))
-    ports = F.when(fp == tp, F.concat(F.lit("port "), fp.cast("string"))).otherwise(F.concat(F.lit("ports "), fp.cast("string"), F.lit("-"), tp.cast("string")))
-    known = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(f"{p} {n}").alias("x")) for p, n in sorted(RISKY.items())))
-    hits = F.transform(F.filter(known, lambda k: (k["p"] >= fp) & (k["p"] <= tp)), lambda k: k["x"])
-    answer = lambda s, x: F.struct(F.lit(s).alias("severity"), x.alias("label"))
-    return (
-        F.when(proto.isin("-1", "all"), answer("critical", F.lit("all traffic"))).when(proto.isin("icmp", "1", "icmpv6", "58"), answer("low", F.lit("ICMP"))).when(tp - fp >= 1000, answer("high", F.concat(proto, F.lit(" "), ports)))
-        .when(F.size(hits) > 0, answer("high", F.concat(F.array_join(F.slice(hits, 1, 4), ", "), F.when(F.size(hits) > 4, " and more").otherwise(""))))
-        .when((fp == tp) & fp.isin(80, 443), answer("info", ports)).otherwise(answer("medium", F.concat(proto, F.lit(" "), ports)))
-    )
-
-
-def _step(column: Column, to: dict[str, str]) -> Column:
-    found = F
-    for a, b in to.items():
-        found = found.when(column == a, b)
-    return found.otherwise(column)
+    first, last = F.when(low > 0, low).otherwise(0), F.when(high >= 0, high).otherwise(65535)
+    table = F.array(*(F.struct(F.lit(p).alias("port"), F.lit(n).alias("name")) for p, n in RISKY.items()))
+    inside = F.array_sort(F.filter(table, lambda k: k["port"].between(first, last)))
+    holds = {
+        "every protocol": proto.isin("-1", "all"), "ping": proto.isin("icmp", "1", "icmpv6", "58"), "many ports": last - first >= MANY_PORTS, "known service": F.exists(table, lambda k: k["port"].between(first, last)),
+        "web": (first == last) & first.isin(*WEB),
+    }
+    kind = F.coalesce(*(F.when(test, F.lit(k)) for k, test in holds.items()), F.lit("other port"))
+    severity = lambda k: F.element_at(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv)), k)
+    names = F.array_join(F.transform(inside, lambda k: F.concat_ws(" ", k["port"].cast("string"), k["name"])), ", ")
+    ends = lambda k: F.struct(k.alias("kind"), severity(k).alias("severity"), first.cast("bigint").alias("first"), last.cast("bigint").alias("last"), F.when(k == "known service", names).otherwise("").alias("services"))
+    return let(kind, ends)
+
+
+def lowered(severity: Column, steps: Column) -> Column:
+    """So many steps down the list, medium to low at the lowest; low and info stay."""
+    at = F.array_position(F.array(*map(F.lit, SEVERITIES)), severity).cast("int")
+    return F.when(at >= 4, severity).otherwise(F.element_at(F.array(*map(F.lit, SEVERITIES)), F.least(at + steps, F.lit(4))))
 
 
 def wide(sources: DataFrame) -> DataFrame:
@@ -54,12 +59,14 @@ def wide(sources: DataFrame) -> DataFrame:
 
 
 def open_groups(rules: DataFrame, sources: DataFrame, used: DataFrame) -> DataFrame:
-    """Findings for rules that reach everyone; one step lower when only broad, lower when nothing uses the group."""
+    """Findings for rules that reach everyone, or only a very broad range: that is a step lower, and so is a group that
+    nothing uses; what lets every protocol in drops two steps there."""
     r = rules.join(wide(sources).where("open OR broad"), "rule").join(used.select("grp").distinct().withColumn("in_use", F.lit(True)), "grp", "left")
     r = r.withColumn("risk", port_risk(F.col("protocol"), F.col("from_port"), F.col("to_port")))
-    s = F.when(F.col("open"), F.col("risk.severity")).otherwise(_step(F.col("risk.severity"), LOWER))
-    in_use = F.coalesce("in_use", F.lit(False))
-    return r.select("rule", "grp", F.when(in_use, s).otherwise(_step(s, UNUSED)).alias("severity"), F.when(F.col("open"), "Open to the internet").otherwise("Open to a very broad range").alias("title"), F.col("risk.label").alias("label"))
+    reach = lowered(F.col("risk.severity"), F.when(F.col("open"), 0).otherwise(1))
+    idle = F.col("in_use").isNull()
+    severity = let(reach, lambda s: lowered(s, F.when(idle & (s == "critical"), 2).when(idle, 1).otherwise(0)))
+    return r.select("rule", "grp", severity.alias("severity"), F.when(F.col("open"), "everyone").otherwise("broad range").alias("reach"), "risk.kind", "risk.services")
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:
@@ -105,16 +112,16 @@ QUERIES = {
 }
 _known = "(VALUES " + ", ".join(f"({p}, '{p} {n}')" for p, n in RISKY.items()) + ") AS k(p, x)"
 _R = f"""WITH r AS ({duck(RULES)}), n AS (SELECT *, coalesce(from_port, 0) AS fp, coalesce(to_port, 65535) AS tp FROM r), h AS (SELECT rule, list(x ORDER BY p) AS xs FROM n JOIN {_known} ON p BETWEEN fp AND tp GROUP BY rule),
-o AS (SELECT n.*, CASE WHEN fp = tp THEN 'port ' || fp ELSE 'ports ' || fp || '-' || tp END AS ports, coalesce(xs, []) AS xs FROM n LEFT JOIN h USING (rule)),
-k AS (SELECT rule, grp, CASE WHEN protocol = '-1' THEN 'critical' WHEN protocol = 'icmp' THEN 'low' WHEN tp - fp >= 1000 OR len(xs) > 0 THEN 'high' WHEN fp = tp AND fp IN (80, 443) THEN 'info' ELSE 'medium' END AS severity,
- CASE WHEN protocol = '-1' THEN 'all traffic' WHEN protocol = 'icmp' THEN 'ICMP' WHEN tp - fp >= 1000 THEN protocol || ' ' || ports WHEN len(xs) > 0 THEN array_to_string(xs[1:4], ', ') || CASE WHEN len(xs) > 4 THEN ' and more' ELSE '' END WHEN fp = tp AND fp IN (80, 443) THEN ports ELSE protocol || ' ' || ports END AS label FROM o),
+o AS (SELECT n.*, coalesce(xs, []) AS xs FROM n LEFT JOIN h USING (rule)),
+k AS (SELECT rule, grp, fp, tp, CASE WHEN protocol = '-1' THEN 'every protocol' WHEN protocol = 'icmp' THEN 'ping' WHEN tp - fp >= 1000 THEN 'many ports' WHEN len(xs) > 0 THEN 'known service' WHEN fp = tp AND fp IN (80, 443) THEN 'web' ELSE 'other port' END AS kind, array_to_string(xs, ', ') AS names FROM o),
+b AS (SELECT *, CASE kind WHEN 'every protocol' THEN 'critical' WHEN 'ping' THEN 'low' WHEN 'web' THEN 'info' WHEN 'other port' THEN 'medium' ELSE 'high' END AS severity, CASE WHEN kind = 'known service' THEN names ELSE '' END AS services FROM k),
 s AS ({duck(SOURCES)}), q AS (SELECT *, coalesce(max(hi) OVER (PARTITION BY rule ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS b FROM s), w AS (SELECT rule, sum(greatest(hi - greatest(lo - 1, b), 0)) = 4294967296 AS "open", bool_or(hi - lo >= 16777215 AND NOT (lo >= 167772160 AND hi <= 184549375)) AS broad FROM q GROUP BY rule),
-f AS (SELECT k.rule, k.grp, CASE WHEN "open" THEN severity ELSE CASE severity WHEN 'critical' THEN 'high' WHEN 'high' THEN 'medium' WHEN 'medium' THEN 'low' ELSE severity END END AS s1, k.grp IN (SELECT grp FROM ({duck(USED)})) AS in_use, "open", label FROM k JOIN w USING (rule) WHERE "open" OR broad),
-z AS (SELECT rule, grp, CASE WHEN in_use THEN s1 ELSE CASE s1 WHEN 'critical' THEN 'medium' WHEN 'high' THEN 'medium' WHEN 'medium' THEN 'low' ELSE s1 END END AS severity, CASE WHEN "open" THEN 'Open to the internet' ELSE 'Open to a very broad range' END AS title, label FROM f) """
+f AS (SELECT b.*, CASE WHEN "open" THEN severity ELSE CASE severity WHEN 'critical' THEN 'high' WHEN 'high' THEN 'medium' WHEN 'medium' THEN 'low' ELSE severity END END AS s1, grp IN (SELECT grp FROM ({duck(USED)})) AS in_use, "open" FROM b JOIN w USING (rule) WHERE "open" OR broad),
+z AS (SELECT rule, grp, CASE WHEN in_use THEN s1 ELSE CASE s1 WHEN 'critical' THEN 'medium' WHEN 'high' THEN 'medium' WHEN 'medium' THEN 'low' ELSE s1 END END AS severity, CASE WHEN "open" THEN 'everyone' ELSE 'broad range' END AS reach, kind, services FROM f) """
 _TRUST = f"""WITH p AS (SELECT policy_id, unnest(string_split(x, ',')) AS who, t FROM (SELECT policy_id, aws AS x, 'aws' AS t, effect, has_principal FROM ({duck(POLICY)}) UNION ALL SELECT policy_id, services, 'service', effect, has_principal FROM ({duck(POLICY)}) UNION ALL SELECT policy_id, federated, 'federated', effect, has_principal FROM ({duck(POLICY)})) WHERE x IS NOT NULL AND has_principal AND lower(effect) = 'allow'),
 e AS (SELECT DISTINCT policy_id, who, CASE WHEN t = 'service' THEN 'service' WHEN t = 'federated' THEN CASE WHEN who LIKE '%saml%' THEN 'saml' ELSE 'oidc' END WHEN who = '*' THEN 'public' WHEN who LIKE '%111122223333%' THEN 'inside' ELSE 'outside' END AS class FROM p) """
 ORACLES = {
-    "expo_open_port_risk": _R + "SELECT rule, severity, label FROM k",
+    "expo_open_port_risk": _R + "SELECT rule, kind, severity, fp AS first, tp AS last, services FROM b",
     "expo_wide_sources": _R + 'SELECT rule, "open", broad FROM w',
     "expo_open_sg": _R + "SELECT * FROM z",
     "expo_counts": _R + "SELECT v.severity, count(z.rule) AS findings FROM (VALUES ('critical'), ('high'), ('medium'), ('low'), ('info')) AS v(severity) LEFT JOIN z USING (severity) GROUP BY v.severity",
