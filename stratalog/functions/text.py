@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,21 +16,51 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Elements that one fold appends to a list; longer lists are folded block by block, so that none is copied for each element.
+BLOCK = 128
+
+
+def swept(items: Column, start: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """What ``step`` puts out over all items in order: it gets a state and an item, and returns (at, add), the next state and
+    an array of ``kind``."""
+    empty = F.array().cast(f"array<{kind}>")
+
+    def over(x: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int"))
+
+        def inside(at: Column, b: Column) -> Column:
+            one = lambda acc, v: let(step(acc["at"], v), lambda n: F.struct(n["at"].alias("at"), F.concat(acc["out"], n["add"]).alias("out")))
+            return F.aggregate(F.slice(x, b * BLOCK + 1, F.lit(BLOCK)), F.struct(at.alias("at"), empty.alias("out")), one)
+
+        put = lambda acc, b: let(inside(acc["at"], b), lambda r: F.struct(r["at"].alias("at"), F.array_append(acc["outs"], r["out"]).alias("outs")))
+        return F.aggregate(blocks, F.struct(start.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("outs")), put, lambda acc: F.flatten(acc["outs"]))
+
+    return let(items, lambda x: F.when(F.size(x) == 0, empty).otherwise(over(x)))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """(start, end, value) of each match in order; texts without a match are not cut up."""
 
     def cut(gaps: Column, found: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(gaps, i))
+        def step(at: Column, i: Column) -> Column:
+            start = at + F.length(F.get(gaps, i))
             end = start + F.length(F.get(found, i))
-            return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("value"))).alias("out"))
+            return F.struct(end.alias("at"), F.array(F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("value"))).alias("add"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), step, lambda acc: acc["out"])
+        return swept(F.sequence(F.lit(0), F.size(found) - 1), F.lit(0), step, "struct<start:int,end:int,value:string>")
 
     both = let(F.split(text, pattern), lambda g: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: cut(g, m)))
     return F.when(text.rlike(pattern), both).otherwise(F.array().cast(SPANS))
 
 
+def between(text: Column, places: Column, joined: Callable[[Column], Column], few: int = 64) -> Column:
+    """``joined`` of a function from (start, end) to the text there. A substring is looked for from the text's start, so for
+    many places the text is taken apart into characters once."""
+    short = lambda s, e: F.substring(text, s + 1, e - s)
+    long = lambda chars: joined(lambda s, e: F.array_join(F.slice(chars, s + 1, F.greatest(e - s, F.lit(0))), ""))
+    return F.when(F.size(places) <= few, joined(short)).otherwise(let(F.split(text, ""), long))
+
+
 def entropy(value: Column) -> Column:
     """Bits per character."""
     chars = F.filter(F.split(value, ""), lambda c: c != "")

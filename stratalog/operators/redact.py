@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import entropy, let, luhn, masked, mixed, pseudonym, spans
+from ..functions.text import between, entropy, let, luhn, masked, mixed, pseudonym, spans, swept
 
 # Shapes are rows of plain values; ``Shape.pattern`` is the one place that makes regular expressions of them.
 
@@ -99,8 +100,8 @@ SHAPES = (
     Shape("iam_ids", "unique-id", heads=UNIQUE_ID_HEADS, alphabet="upper", least=16, edge="A-Z0-9", needs=tuple(x.lower() for x in UNIQUE_ID_HEADS)),
     # Passwords in addresses, commands and settings.
     Shape("url_creds", "url-login", lead="://", body=r"[^/\s:@\"']{1,256}:[^\s@\"']{1,256}", tail="(?=@)", edge="", needs=("://",), check="url"),
-    Shape("secret_values", "command-password", lead=r"\b(?:mysql|mysqldump|mysqladmin)\b[^\n]{0,200}? -p", alphabet="word", edge="", needs=("mysql",)),
-    Shape("secret_values", "command-password", lead=r"\blogin\b[^\n]{0,200}? -p[ =]", alphabet="word", edge="", needs=("login",)),
+    Shape("secret_values", "command-password", lead=r"\b(?:mysql|mysqldump|mysqladmin)\b(?:(?! -p|\bmysql)[^\n])*+ -p", alphabet="word", edge="", needs=("mysql",)),
+    Shape("secret_values", "command-password", lead=r"\blogin\b(?:(?! -p[ =]|\blogin\b)[^\n])*+ -p[ =]", alphabet="word", edge="", needs=("login",)),
     Shape("secret_values", "command-password", lead=r"--(?i:password|passwd|token|secret|api-key)[ =]", alphabet="word", edge="", needs=("--pass", "--tok", "--sec", "--api"), check="value"),
     *(Shape("secret_values", "setting", lead=SETTING + q, body=rf"[^{q}\n]+", edge="", needs=SECRET_NAMES, check="value") for q in ('"', "'")),
     Shape("secret_values", "setting", lead=SETTING, body=r"[^\s\"'&{\[(][^\s\"'&]{5,}", edge="", needs=SECRET_NAMES, check="value"),
@@ -144,6 +145,7 @@ SHAPES = (
 CATEGORIES = tuple(dict.fromkeys(x.category for x in SHAPES))
 ANSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]"
 FOUND = "array<struct<start:int,end:int,prio:int,cat:string,label:string>>"
+CHOSEN = "struct<start:int,end:int,label:string>"
 
 
 @dataclass(frozen=True)
@@ -185,14 +187,13 @@ def _shape_spans(text: Column, prio: int, shape: Shape, pattern: str | None = No
     pattern = pattern or shape.pattern()
 
     def cut(gaps: Column, found: Column, parts: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            end = acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(found, i))
+        def step(at: Column, i: Column) -> Column:
+            end = at + F.length(F.get(gaps, i)) + F.length(F.get(found, i))
             part = F.get(parts, i)
             one = F.struct((end - F.length(part)).alias("start"), end.alias("end"), F.lit(prio).alias("prio"), F.lit(shape.category).alias("cat"), F.lit(shape.label).alias("label"))
-            return F.struct(end.alias("at"), F.when(check(shape.check, part), F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+            return F.struct(end.alias("at"), F.when(check(shape.check, part), F.array(one)).otherwise(F.array().cast(FOUND)).alias("add"))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
+        return swept(F.sequence(F.lit(0), F.size(found) - 1), F.lit(0), step, FOUND[6:-1])
 
     every = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     return F.when(text.rlike(pattern), let(F.split(text, pattern), lambda g: let(every(0), lambda m: let(every(1), lambda v: cut(g, m, v))))).otherwise(F.array().cast(FOUND))
@@ -230,30 +231,39 @@ def find(text: Column, options: Options = Options()) -> Column:
 def resolve(found: Column) -> Column:
     """Earliest start, then longest, then first rule; what overlaps a chosen span goes."""
     order = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["prio"].alias("prio"), s["label"].alias("label"))))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,label:string>>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        taken = F.struct((-s["back"]).alias("at"), F.array_append(acc["out"], F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["label"].alias("label"))).alias("out"))
-        return F.when(s["start"] >= acc["at"], taken).otherwise(acc)
+    def step(at: Column, s: Column) -> Column:
+        free = s["start"] >= at
+        one = F.array(F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["label"].alias("label")))
+        return F.struct(F.when(free, -s["back"]).otherwise(at).alias("at"), F.when(free, one).otherwise(F.array().cast(f"array<{CHOSEN}>")).alias("add"))
 
-    return F.aggregate(order, empty, step, lambda acc: acc["out"])
+    return swept(order, F.lit(0), step, CHOSEN)
 
 
 def cover(text: Column, chosen: Column, options: Options = Options()) -> Column:
     """The text with placeholders; numbered ones repeat for equal values of a label, case-blind."""
-    value = lambda s: F.concat_ws("\u0001", s["label"], F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
 
-    def with_keys(keys: Column) -> Column:
-        def placeholder(s: Column) -> Column:
-            if not options.numbered:
-                return F.lit(f"[{options.placeholder}]")
-            own = F.filter(keys, lambda k: F.substring_index(k, "\u0001", 1) == s["label"])
-            return F.concat(F.lit(f"[{options.placeholder}-"), s["label"], F.lit("-"), F.array_position(own, value(s)).cast("string"), F.lit("]"))
+    def pieces(at: Callable[[Column, Column], Column]) -> Column:
+        value = lambda s: F.concat_ws("\u0001", s["label"], F.lower(at(s["start"], s["end"])))
 
-        step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), placeholder(s)).alias("out"))
-        return F.aggregate(chosen, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+        def with_keys(keys: Column, values: Column) -> Column:
+            def placeholder(s: Column, v: Column) -> Column:
+                if not options.numbered:
+                    return F.lit(f"[{options.placeholder}]")
+                own = F.filter(keys, lambda k: F.substring_index(k, "\u0001", 1) == s["label"])
+                return F.concat(F.lit(f"[{options.placeholder}-"), s["label"], F.lit("-"), F.array_position(own, v).cast("string"), F.lit("]"))
 
-    return let(F.array_distinct(F.transform(chosen, value)), with_keys)
+            left = F.concat(F.array(F.lit(0)), F.transform(chosen, lambda s: s["end"]))
+            right = F.concat(F.transform(chosen, lambda s: s["start"]), F.array(F.length(text)))
+            gaps = F.zip_with(left, right, at)
+            marks = F.concat(F.zip_with(chosen, values, placeholder), F.array(F.lit("")))
+            return F.array_join(F.zip_with(gaps, marks, lambda g, m: F.concat(g, m)), "")
+
+        if not options.numbered:
+            return with_keys(F.array().cast("array<string>"), F.transform(chosen, lambda s: s["label"]))
+        return let(F.transform(chosen, value), lambda values: let(F.array_distinct(values), lambda keys: with_keys(keys, values)))
+
+    return between(text, chosen, pieces)
 
 
 def redact(docs: DataFrame, text: str = "text", options: Options = Options()) -> DataFrame:
