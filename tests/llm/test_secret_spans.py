@@ -54,6 +54,6 @@ def test_very_many_keys_in_one_text(spark):
     began = time.monotonic()
     (row,) = s.scan(docs).select("hex").collect()
     assert [(m.start, m.end, m.value) for m in row.hex] == [(34 * i, 34 * i + 32, k) for i, k in enumerate(keys)]
-    assert time.monotonic() - began < 30  # about 3 s on an idle machine; quadratic it took 28
+    assert time.monotonic() - began < 30  # 5 s beside other work; quadratic it took 28 there
     (masked,) = s.mask_secrets(docs).collect()
     assert masked.text == "é ".join([s.MASK] * 12_000)
