@@ -19,6 +19,7 @@ KINDS = {
     "numericgreaterthan": ">", "numericgreaterthanequals": ">=", "dateequals": "=", "datenotequals": "=", "datelessthan": "<", "datelessthanequals": "<=", "dategreaterthan": ">", "dategreaterthanequals": ">=", "bool": "bool", "binaryequals": "binary", "ipaddress": "ip", "notipaddress": "ip",
     "arnequals": "arn", "arnlike": "arn", "arnnotequals": "arn", "arnnotlike": "arn", "null": "null",
 }
+BASE64 = r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
 CONDITION = "struct<op:string,key:string,values:array<string>>"
 
 
@@ -74,7 +75,8 @@ def address_bits(text: Column) -> Column:
     left, right = groups(F.substring_index(text, "::", 1)), F.when(text.contains("::"), groups(F.substring_index(text, "::", -1))).otherwise(F.array().cast("array<string>"))
     held = F.size(left) + F.size(right)
     six = F.array_join(F.transform(F.concat(left, F.array_repeat(F.lit("0"), 8 - held), right), lambda g: bits(g, 16, 16)), "")
-    sound = text.rlike(r"^[0-9A-Fa-f:]+$") & text.contains(":") & ~F.exists(F.concat(left, right), lambda g: F.length(g) > 4) & F.when(text.contains("::"), held < 8).otherwise(held == 8)
+    # One double colon at most, and no single one at an end.
+    sound = text.rlike(r"^[0-9A-Fa-f:]+$") & text.contains(":") & ~text.rlike("::.*::|:::|^:[^:]|[^:]:$") & ~F.exists(F.concat(left, right), lambda g: F.length(g) > 4) & F.when(text.contains("::"), held < 8).otherwise(held == 8)
     return F.coalesce(four, F.when(sound, six))
 
 
@@ -94,7 +96,8 @@ def compared(kind: Column, date: Column, given: Column, wanted: Column) -> Colum
     low, number = lambda x: F.lower(F.trim(x)), lambda x: F.when(date, moment(x)).otherwise(F.trim(x).try_cast("double"))
     sides = F.struct(number(given).alias("a"), number(wanted).alias("b"))
     ordered = let(sides, lambda s: F.when(kind == "=", s["a"] == s["b"]).when(kind == "<", s["a"] < s["b"]).when(kind == "<=", s["a"] <= s["b"]).when(kind == ">", s["a"] > s["b"]).otherwise(s["a"] >= s["b"]))
-    raw = lambda x: F.coalesce(F.try_to_binary(F.trim(x), F.lit("base64")), F.encode(F.trim(x), "UTF-8"))
+    # What isn't base64 to the last sign stands for its own bytes.
+    raw = lambda x: F.when(F.trim(x).rlike(BASE64), F.try_to_binary(F.trim(x), F.lit("base64"))).otherwise(F.encode(F.trim(x), "UTF-8"))
     found = (
         F.when(kind == "string", given == literal).when(kind == "caseless", F.lower(given) == F.lower(literal)).when(kind == "like", wild_match(wanted, given)).when(kind == "arn", arn_match(wanted, given, expand=False))
         .when(kind == "bool", low(given) == low(wanted)).when(kind == "binary", raw(given) == raw(wanted)).when(kind == "ip", in_network(given, wanted)).otherwise(ordered)
