@@ -2,7 +2,12 @@
 
 Each stage works on all that the one before kept and is written as Parquet; all but the last return the columns of
 ``documents``. Rejected documents go, one document of each near-duplicate group stays, contaminated documents go,
-secrets are masked in place, and what is left is packed."""
+secrets are masked in place, and what is left is packed.
+
+Defined cases: a null, empty or very short text goes in the first stage. Rows are judged each by its own text, so repeated
+ids and rows change nothing there; of equal rows with one id one stays as near duplicates are taken out, and rows without an
+id stay there. Very long texts are taken whole throughout. Other columns pass through all stages but the last, whatever
+their names. An empty table gives an empty result."""
 
 from __future__ import annotations
 
