@@ -48,3 +48,26 @@ def test_pipeline(spark, tmp_path):
     for _, g in got.groupby("sequence_id"):
         assert g["length"].sum() <= 2048
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "secrets", "packing"]
+
+
+def test_odd_rows_go_through_every_stage(spark, tmp_path):
+    r = random.Random(11)
+    text = lambda n: " ".join("".join(r.choice(["tion", "the", "or", "ing", "an"]) for _ in range(r.randint(1, 4))) for _ in range(n))
+    a, b, c, long = text(120), text(150), text(90), text(6000)
+    rows = [(1, a), (1, a), (2, b), (2, c), (None, text(80)), (3, None), (4, ""), (5, long)]
+    # Columns whose names the operators use themselves.
+    cols = "doc_id long, text string, lang string, source string, n_chars long, row string, spans int, shard int, n int, kept boolean"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1, 2, 3, False) for i, t in rows], cols)
+    spark.createDataFrame([(1, text(20)), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns and at.schema["text"].dataType == docs.schema["text"].dataType, name
+    kept = sorted((x.doc_id is not None, x.doc_id or 0, x.text) for x in at.collect())
+    assert kept == sorted([(False, 0, rows[4][1]), (True, 1, a), (True, 2, b), (True, 2, c), (True, 5, long)])
+    assert {(x.row, x.spans, x.shard, x.n, x.kept) for x in at.collect()} == {("x", 1, 2, 3, False)}
+    packed = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path))
+    assert packed.groupBy().sum("length").first()[0] > 6000
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).collect() == []
