@@ -7,8 +7,8 @@
    removed whole; repeats inside one map batch are settled there, so a passage that a third of all documents
    share costs one run per batch.
 3. Suffix array. Where an anchor has several different runs (at the edges of repeats), the first document's bytes
-   of each are fetched and the windows compared: a two-stage suffix sort of the runs' bytes, adjacent common
-   prefixes, and the least doc_id of each stretch of equal windows.
+   of each are fetched and the windows compared: a suffix array of the places where windows begin, sorted eight
+   bytes at a time, adjacent common prefixes, and the least doc_id of each stretch of equal windows.
 4. Hot anchors. Where texts differ around a gram that many share, the runs of one anchor grow with the documents.
    Such anchors are found on a sample by hash; their runs are dealt by their own hash instead, and their windows one
    by one by theirs, after each map task has kept the least doc_id of equal ones. Which anchors are hot says where
@@ -246,58 +246,27 @@ def _settle_runs(hot):
 # Stage two: suffix arrays over the runs that differ
 
 
-def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
-    """Places of ``data`` (0 ends a string, other values are bytes + 1) by their suffixes' first ``depth`` values.
-
-    Suffixes smaller than their successors are sorted directly; the others are induced by scanning the finished
-    part bucket by bucket, a whole bucket at a time. What lies deeper than ``depth`` is in no particular order.
-    """
-    n = len(data)
-    after = np.concatenate([data[1:], [0]])
-    # Smaller than the successor: the next different value is larger. Ends of strings count as smaller.
-    change = np.flatnonzero(np.concatenate([data[1:] != data[:-1], [True]]))
-    until = change[np.searchsorted(change, np.arange(n))]
-    small = (after[until] > data) | (data == 0)
-    direct = np.flatnonzero(small)
-    padded = np.concatenate([data, np.zeros(depth, data.dtype)])
-    width = -(-depth // 4)
-    keys = [np.zeros(len(direct), np.uint64) for _ in range(width)]
-    for j in range(depth):
-        keys[j // 4] = keys[j // 4] << np.uint64(16) | padded[direct + j].astype(np.uint64)
-    direct = direct[np.lexsort(keys[::-1])]
-    head = data[direct]
-    large_before = np.concatenate([[False], ~small[:-1]])
-    waiting: dict[int, list[np.ndarray]] = {}
-    out = []
-
-    def scan(found: np.ndarray) -> None:
-        """Put the larger suffixes right before these places behind what waits for their buckets."""
-        before = found[large_before[found]] - 1
-        value = data[before]
-        order = np.argsort(value, kind="stable")
-        for part in np.split(before[order], np.flatnonzero(np.diff(value[order])) + 1):
-            if len(part):
-                waiting.setdefault(int(data[part[0]]), []).append(part)
-
-    for c in range(int(data.max()) + 1 if n else 0):
-        while c in waiting:  # a run of one value is induced one step at a time
-            found = np.concatenate(waiting.pop(c))
-            out.append(found)
-            scan(found)
-        found = direct[np.searchsorted(head, c) : np.searchsorted(head, c, side="right")]
-        out.append(found)
-        scan(found)
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+def _words(data: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.uint64]]:
+    """Numbers that order suffixes by their first ``depth`` values: at each place as many values as eight bytes hold, read
+    ahead by so many places, and how many bits of the last go."""
+    per = 8 // data.itemsize
+    big = np.concatenate([data, np.zeros(depth + per, data.dtype)]).astype(data.dtype.newbyteorder(">"))
+    read = np.ndarray((len(data) + depth,), ">u8", big, strides=(data.itemsize,))
+    return [(read[j:], np.uint64(8 * data.itemsize * max(0, j + per - depth))) for j in range(0, depth, per)]
+
+
+def suffix_order(data: np.ndarray, depth: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Places of ``data``, or those given, by their suffixes' first ``depth`` values. What lies deeper is in no particular order."""
+    at = np.arange(len(data)) if at is None else at
+    return at[np.lexsort([read[at].astype(np.uint64) >> bits for read, bits in reversed(_words(data, depth))])]
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """For each neighbour pair in the order, whether the first ``depth`` values agree."""
-    padded = np.concatenate([data, np.zeros(depth, data.dtype)])
-    same = np.ones(max(0, len(order) - 1), bool)
+    same = np.zeros(max(0, len(order) - 1), bool)
     left = np.arange(len(same))
-    for j in range(depth):
-        left = left[padded[order[left] + j] == padded[order[left + 1] + j]]
-    same[:] = False
+    for read, bits in _words(data, depth):
+        left = left[read[order[left]].astype(np.uint64) >> bits == read[order[left + 1]].astype(np.uint64) >> bits]
     same[left] = True
     return same
 
@@ -305,15 +274,12 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
 def later_windows(doc: np.ndarray, runs: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(run's number, place in it) of the windows of these runs that a run of a smaller doc also holds."""
     size = np.fromiter(map(len, runs), np.int64, len(runs))
-    begin = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
-    data = np.zeros(int((size + 1).sum()), np.uint16)
-    inside = np.ones(len(data), bool)
-    inside[begin + size] = False
-    data[inside] = np.frombuffer(b"".join(runs), np.uint8).astype(np.uint16) + 1
-    of = np.repeat(np.arange(len(runs)), size + 1)
+    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+    data = np.frombuffer(b"".join(runs), np.uint8)
+    of = np.repeat(np.arange(len(runs)), size)
     place = np.arange(len(data)) - begin[of]
-    order = suffix_order(data, length)
-    order = order[place[order] + length <= size[of[order]]]  # whole windows only
+    # Only suffixes that begin with a whole window: they end in no other run.
+    order = suffix_order(data, length, np.flatnonzero(place + length <= size[of]))
     new = np.concatenate([[True], ~common_prefixes(data, order, length)])
     if not len(order):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -24,6 +24,22 @@ def test_two_stage_suffix_order():
             assert same == [a == b for a, b in zip(keys, keys[1:])]
 
 
+def test_only_places_of_whole_windows_are_sorted(monkeypatch):
+    r, sorted_places, order = random.Random(2), [], suffix_dedup.suffix_order
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda *a: sorted_places.append(order(*a)) or sorted_places[-1])
+    runs = [bytes(r.choice(b"\0ab\xff") for _ in range(r.randint(0, 20))) for _ in range(300)]
+    doc = np.array([r.randrange(60) for _ in runs], np.int64)
+    for length in (1, 3, 8, 10):
+        which, at = suffix_dedup.later_windows(doc, runs, length)
+        first = {}
+        for d, x in zip(doc.tolist(), runs):
+            for p in range(len(x) - length + 1):
+                first[x[p : p + length]] = min(d, first.get(x[p : p + length], d))
+        windows = [(k, p) for k, x in enumerate(runs) for p in range(len(x) - length + 1)]
+        assert sorted(zip(which.tolist(), at.tolist())) == [(k, p) for k, p in windows if first[runs[k][p : p + length]] < doc[k]]
+        assert len(sorted_places[-1]) == len(windows)
+
+
 def brute_removed(rows, length):
     raw = [(i, (t or "").encode()) for i, t in rows]
     first = {}
