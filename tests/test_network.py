@@ -31,3 +31,16 @@ def test_neighbours_make_no_candidates(spark):
     began = time.perf_counter()
     assert network.overlapping_subnets(spark.range(1 << 16).selectExpr("id", "1L AS vpc", "id AS lo", "id AS hi")).count() == 0
     assert time.perf_counter() - began < 40
+
+
+def test_equal_entries_meet_once(spark):
+    """50,000 points and 80,000 entries of one list: pairs were 4,000,000,000."""
+    points = spark.range(50000).selectExpr("id", "1L AS acl", "id * 5 AS ip", "id % 100 AS port")
+    entries = spark.range(80000).selectExpr("1L AS acl", "id + 1 AS rule", "CASE WHEN id % 2 = 0 THEN 'deny' ELSE 'allow' END AS action", "id % 3 * 1000 AS lo", "id % 3 * 1000 + 1999 AS hi", "id % 2 * 50 AS from_port", "id % 2 * 50 + 59 AS to_port")
+    began = time.perf_counter()
+    got = {x["id"]: (x["action"], x["rule"]) for x in network.first_match(points, entries).collect()}
+    assert time.perf_counter() - began < 40
+    first = [(k % 3 * 1000, k % 2 * 50, "allow" if k % 2 else "deny", k + 1) for k in range(6)]
+    for i in range(50000):
+        hit = next(((v, n) for lo, port, v, n in first if lo <= i * 5 < lo + 2000 and port <= i % 100 < port + 60), ("deny", None))
+        assert got[i] == hit
