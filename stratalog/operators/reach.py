@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..adapters import derived, duck
-from .network import bucketed
+from .network import bucketed, in_blocks
 
 
 def allowed_by_groups(pairs: DataFrame, membership: DataFrame, rules: DataFrame) -> DataFrame:
@@ -29,17 +29,8 @@ def allowed_by_groups(pairs: DataFrame, membership: DataFrame, rules: DataFrame)
 
 
 def to_blocks(ranges: DataFrame) -> DataFrame:
-    """Each range as the fewest aligned blocks: at each step the largest that starts here and fits."""
-
-    def step(acc, _):
-        left = F.col("hi") - acc["at"] + 1
-        aligned = F.aggregate(F.sequence(F.lit(0), F.lit(32)), F.lit(0), lambda a, k: F.when((F.pmod(acc["at"], F.pow(F.lit(2), k).cast("bigint")) == 0) & (F.pow(F.lit(2), k).cast("bigint") <= left), k).otherwise(a))
-        grown = F.struct((acc["at"] + F.pow(F.lit(2), aligned).cast("bigint")).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("lo"), (32 - aligned).alias("len"))).alias("out"))
-        return F.when(left > 0, grown).otherwise(acc)
-
-    # A range of IPv4 needs 62 blocks at most.
-    blocks = F.aggregate(F.sequence(F.lit(1), F.lit(62)), F.struct(F.col("lo").alias("at"), F.array().cast("array<struct<lo:bigint,len:int>>").alias("out")), step, lambda acc: acc["out"])
-    return ranges.select("id", F.explode(blocks).alias("b")).select("id", F.col("b.lo").alias("lo"), F.col("b.len").cast("bigint").alias("len"))
+    """Each range as the fewest aligned blocks."""
+    return in_blocks(ranges.select("id", "lo", "hi")).select("id", "lo", F.col("len").cast("bigint").alias("len"))
 
 
 def group_edges(rules: DataFrame) -> DataFrame:
