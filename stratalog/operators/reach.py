@@ -6,23 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..adapters import derived, duck
-from .network import bucketed, in_blocks
+from .network import containing, in_blocks
 
 
 def allowed_by_groups(pairs: DataFrame, membership: DataFrame, rules: DataFrame) -> DataFrame:
-    """Does any group of the target let this peer in on this port: by address (met in /16 buckets) or by the peer's group
-    (an equi join). Rules over prefix lists are unknown. Rules unite, so any allow wins."""
-    m = membership.select(F.col("host").alias("target"), "grp")
-    port = F.col("port").between(F.col("from_port"), F.col("to_port"))
-    by_ip = rules.where("kind = 'cidr'")
-    wide = (F.col("hi") - F.col("lo")) > (1 << 24)
-    want = pairs.join(m, "target")
-    near = want.withColumn("bucket", F.floor(F.col("ip") / (1 << 16))).join(bucketed(by_ip.where(~wide)), ["grp", "bucket"]).where(port & F.col("ip").between(F.col("lo"), F.col("hi"))).select("pair", F.lit(True).alias("v"))
-    far = want.join(by_ip.where(wide), "grp").where(port & F.col("ip").between(F.col("lo"), F.col("hi"))).select("pair", F.lit(True).alias("v"))
+    """Does any group of the target let this peer in on this port: by address (met by aligned blocks) or by the peer's group
+    (an equi join). Rules over prefix lists are unknown. Rules unite, so any allow wins and equal rules count once."""
+    ports = ["from_port", "to_port"]
+    of = lambda kind, *c: rules.where(F.col("kind") == kind).select("grp", *c, *ports).distinct()
+    fits = F.col("port").between(*map(F.col, ports))
+    hit = lambda df, v: df.where(fits).select("pair", F.lit(v).cast("boolean").alias("v"))
+    want = pairs.join(membership.select(F.col("host").alias("target"), "grp"), "target").select("pair", "source", "ip", "port", "grp")
+    by_ip = hit(containing(want, in_blocks(of("cidr", "lo", "hi")).distinct(), ["grp"]), True)
     peers = membership.select(F.col("host").alias("source"), F.col("grp").alias("peer"))
-    by_group = want.join(rules.where("kind = 'group'"), "grp").where(port).join(peers, ["source", "peer"]).select("pair", F.lit(True).alias("v"))
-    unknown = want.join(rules.where("kind = 'list'"), "grp").where(port).select("pair", F.lit(None).cast("boolean").alias("v"))
-    hits = near.unionByName(far).unionByName(by_group).unionByName(unknown)
+    by_group = hit(want.join(peers, "source").join(of("group", "peer"), ["grp", "peer"]), True)
+    unknown = hit(want.join(of("list"), "grp"), None)
+    hits = by_ip.unionByName(by_group).unionByName(unknown)
     any_hit = hits.groupBy("pair").agg(F.coalesce(F.bool_or("v"), F.lit(False)).alias("yes"), F.bool_or(F.col("v").isNull()).alias("maybe"))
     state = F.when(F.col("yes"), "allow").when(F.col("maybe"), "unknown").otherwise("block")
     return pairs.select("pair").join(any_hit, "pair", "left").select("pair", state.alias("state"))

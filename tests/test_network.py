@@ -3,7 +3,9 @@
 import random
 import time
 
-from stratalog.operators import network
+from pyspark.sql import functions as F
+
+from stratalog.operators import network, reach
 
 
 def test_blocks_are_the_fewest(spark):
@@ -44,3 +46,20 @@ def test_equal_entries_meet_once(spark):
     for i in range(50000):
         hit = next(((v, n) for lo, port, v, n in first if lo <= i * 5 < lo + 2000 and port <= i % 100 < port + 60), ("deny", None))
         assert got[i] == hit
+
+
+def test_equal_rules_meet_once(spark):
+    """40,000 pairs and 100,000 rules of one group, of every kind."""
+    pairs = spark.range(40000).selectExpr("id AS pair", "id % 7 AS source", "100L AS target", "id AS ip", "id % 10 AS port")
+    members = spark.createDataFrame([(100, 1), (3, 2), (4, 3)], "host long, grp long")
+    rules = spark.range(100000).select(
+        F.lit(1).cast("long").alias("grp"), F.expr("element_at(array('cidr', 'group', 'list'), cast(id % 3 AS int) + 1)").alias("kind"), F.lit(2).cast("long").alias("peer"),
+        F.lit(0).cast("long").alias("lo"), F.lit(99).cast("long").alias("hi"), F.expr("id % 3").alias("from_port"), F.expr("id % 3 + 2").alias("to_port"),
+    )
+    began = time.perf_counter()
+    got = dict(map(tuple, reach.allowed_by_groups(pairs, members, rules).collect()))
+    assert time.perf_counter() - began < 40
+    for i in range(40000):
+        port = i % 10
+        allow = port <= 2 and i <= 99 or 1 <= port <= 3 and i % 7 == 3
+        assert got[i] == ("allow" if allow else "unknown" if 2 <= port <= 4 else "block")
