@@ -1,7 +1,10 @@
 """Ways of single flows by hand: translation, replies that fail, peerings that don't lead on, equal classes."""
 
+from dataclasses import replace
+
 import pytest
 
+from stratalog.operators import paths
 from stratalog.operators.paths import Network, hops, matrix, verdicts
 
 
@@ -89,3 +92,15 @@ def test_matrix_is_the_sum_of_its_pairs(spark, net):
         key = (vpc[hosts[s]], vpc[hosts[d]], r.verdict)
         want[key] = want.get(key, 0) + 1
     assert {(r.a, r.b, r.verdict): r.pairs for r in matrix(net, 6, 443).collect()} == want
+
+
+def test_classes_do_not_grow_with_subnets(spark):
+    """240 subnets of one network that differ in nothing but their number are one class, and so are hosts that are stopped."""
+    net = replace(
+        paths.network(spark, "/root/testdata/sf0.001"), subnets=spark.range(240).selectExpr("id AS subnet", "1L AS vpc", "4L AS tbl", "3L AS acl"),
+        hosts=spark.range(720).selectExpr("id AS host", "'instance' AS kind", "id % 240 AS subnet", "167837696 + id AS ip", "CASE WHEN id % 4 = 3 THEN 'stopped' ELSE 'running' END AS state", "CAST(NULL AS STRING) AS public"),
+        membership=spark.range(720).selectExpr("id AS host", "CASE WHEN id % 4 = 3 THEN id % 2 + 10 ELSE 10L END AS grp"),
+    )
+    found = paths.classes(net, 6, 443)
+    assert found.select("src").distinct().count() == found.select("dst").distinct().count() == 2
+    assert sum(x["pairs"] for x in matrix(net, 6, 443).where("a = 1 AND b = 1").collect()) == 720 * 719
