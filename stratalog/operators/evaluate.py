@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..adapters import derived, duck
+from ..functions.rounds import settled
 from ..functions.wild import STAR, arn_match, wild_match
-from .conditions import CONDITION, VERSION, all_of, condition, filled
+from .conditions import CONDITION, VARIABLE, VERSION, all_of, condition, filled
 from .conditions import any_of as three
 
 
@@ -49,10 +50,14 @@ def resource_match(patterns: Column, resource: Column, context: Column, version:
     return three(F.transform(F.transform(patterns, lambda p: filled(F.trim(p), context, version)), one))
 
 
-def principal_match(principals: Column, context: Column) -> Column:
-    """Principals are (type, who). Account numbers and root ARNs stand for their account; a caller that isn't told is
-    unknown, and a told caller that isn't a service is none."""
-    arn, account, service = (F.get(F.element_at(context, k), 0) for k in ("aws:principalarn", "aws:principalaccount", "aws:principalservicename"))
+#: What a context tells about the caller.
+CALLER = ("aws:principalarn", "aws:principalaccount", "aws:principalservicename")
+
+
+def principal_match(principals: Column, caller: Column) -> Column:
+    """Principals are (type, who), the caller is (arn, account, servicename). Account numbers and root ARNs stand for their
+    account; a caller that isn't told is unknown, and a told caller that isn't a service is none."""
+    arn, account, service = (caller[k.removeprefix("aws:principal")] for k in CALLER)
 
     def one(p: Column) -> Column:
         who = p["who"]
@@ -68,29 +73,70 @@ def principal_match(principals: Column, context: Column) -> Column:
 STATEMENT = f"policy, stmt, effect, version, actions, not_actions, resources, not_resources array<string>, principals, not_principals array<struct<type:string,who:string>>, conditions array<{CONDITION}>"
 
 
+def _variables(texts: Column) -> Column:
+    """The keys that variables in texts name."""
+    name = lambda n: F.lower(F.trim(F.substring_index(F.trim(n), ",", 1)))
+    return F.flatten(F.transform(F.array_compact(F.coalesce(texts, F.array().cast("array<string>"))), lambda t: F.transform(F.regexp_extract_all(t, F.lit(VARIABLE), F.lit(1)), name)))
+
+
+def _answered(questions: DataFrame, name: str, answer: Column, content: DataFrame | None = None) -> DataFrame:
+    """(name, answer) of each different question; equal ones are asked once, beside the content that they are of."""
+    asked = questions.select(name).distinct().repartition(F.xxhash64(name))
+    if content is not None:
+        asked = asked.join(content, F.col(f"{name}.of") == F.col("of"))
+    return asked.select(name, answer.alias("answer"))
+
+
 def evaluate(requests: DataFrame, statements: DataFrame) -> DataFrame:
     """Each request (request, policy, action, resource, context) against the statements of its policy (``STATEMENT``): the
     result, its parts, and what a null result depends on. A statement whose effect is neither Allow nor Deny, that has
-    neither Action nor NotAction, or a condition with an unknown operator, has an error and applies to nothing."""
-    j = requests.join(statements, "policy")
-    context, version = F.col("context"), F.col("version")
-    hit = lambda c: F.exists(c, lambda p: wild_match(F.lower(F.trim(p)), F.lower("action")))
-    action = F.when(F.col("actions").isNotNull(), hit("actions")).when(F.col("not_actions").isNotNull(), ~hit("not_actions"))
-    meets = lambda c: resource_match(F.col(c), F.col("resource"), context, version)
-    resource = F.when(F.col("resources").isNotNull(), meets("resources")).when(F.col("not_resources").isNotNull(), ~meets("not_resources")).otherwise(True)
-    who = F.when(F.col("principals").isNotNull(), principal_match(F.col("principals"), context)).when(F.col("not_principals").isNotNull(), ~principal_match(F.col("not_principals"), context)).otherwise(True)
-    told = F.transform(F.coalesce("conditions", F.array().cast(f"array<{CONDITION}>")), lambda c: F.struct(F.lower(c["key"]).alias("key"), condition(c["op"], c["key"], c["values"], context, version).alias("is")))
-    parts = j.select("request", "policy", "stmt", F.initcap(F.trim("effect")).alias("effect"), action.alias("action_match"), resource.alias("resource_match"), who.alias("principal_match"), told.alias("told"))
+    neither Action nor NotAction, or a condition with an unknown operator, has an error and applies to nothing.
+
+    Each part of a statement, and each condition, is a question that holds what of the request decides on it: of the context
+    only the keys that are named there. Equal questions are asked once, so that patterns are read and tried for different
+    questions, not for each request; rows with their questions, which hold a digest of the statement's part, are written once."""
+    keys = lambda *arrays: F.array_distinct(F.array_compact(F.concat(*arrays)))
+    named = lambda c: F.concat(F.array(F.lower(c["key"])), _variables(c["values"]))
+    conditions = F.coalesce("conditions", F.array().cast(f"array<{CONDITION}>"))
+    s = statements.withColumn("conditions", conditions).withColumns({"resource_keys": keys(_variables(F.col("resources")), _variables(F.col("not_resources"))), "condition_keys": keys(F.flatten(F.transform("conditions", named)))})
+    held = {"action": ("actions", "not_actions"), "resource": ("resources", "not_resources", "version", "resource_keys"), "principal": ("principals", "not_principals"), "list": ("conditions", "version", "condition_keys")}
+    s = s.withColumns({f"of_{k}": F.sha2(F.to_json(F.struct(*c)), 256) for k, c in held.items()})
+    content = {k: s.select(F.col(f"of_{k}").alias("of"), *c).dropDuplicates(["of"]) for k, c in held.items()}
+    told = lambda names, context: F.transform(names, lambda k: F.element_at(context, k))
+    known = lambda k: F.get(F.element_at("context", k), 0).alias(k.removeprefix("aws:principal"))
+    j = requests.repartition("policy").join(s, "policy").select(
+        "request", "policy", "stmt", F.initcap(F.trim("effect")).alias("effect"), F.struct(F.col("of_action").alias("of"), "action").alias("q_action"), F.struct(F.col("of_resource").alias("of"), "resource", told("resource_keys", "context").alias("told")).alias("q_resource"),
+        F.struct(F.col("of_principal").alias("of"), *(known(k) for k in CALLER)).alias("q_principal"), F.struct(F.col("of_list").alias("of"), told("condition_keys", "context").alias("told")).alias("q_list"),
+    )
+    j = settled(j)
+    either = lambda yes, no, meets: F.when(F.col(yes).isNotNull(), meets(F.col(yes))).when(F.col(no).isNotNull(), ~meets(F.col(no)))
+    context = lambda names, q: F.map_from_arrays(F.col(names), F.col(f"{q}.told"))
+    answers = {
+        "action": either("actions", "not_actions", lambda c: F.exists(c, lambda p: wild_match(F.lower(F.trim(p)), F.lower("q_action.action")))),
+        "resource": either("resources", "not_resources", lambda c: resource_match(c, F.col("q_resource.resource"), context("resource_keys", "q_resource"), F.col("version"))).otherwise(True),
+        "principal": either("principals", "not_principals", lambda c: principal_match(c, F.col("q_principal"))).otherwise(True),
+    }
+    parts = j
+    for part, answer in answers.items():
+        parts = parts.join(_answered(j, f"q_{part}", answer, content[part]).withColumnRenamed("answer", f"{part}_match"), f"q_{part}")
+    one = lambda c: F.struct(c["op"].alias("op"), c["key"].alias("key"), c["values"].alias("values"), "version", keys(named(c)).alias("names"), told(keys(named(c)), "context").alias("told"))
+    lists = _answered(j, "q_list", F.struct("conditions", "version", context("condition_keys", "q_list").alias("context")), content["list"])
+    lists = settled(lists.select("q_list", "answer.*").select("q_list", F.transform("conditions", one).alias("qs")))
+    each = lists.select("q_list", F.posexplode_outer("qs").alias("at", "q_one"))
+    is_ = condition(F.col("q_one.op"), F.col("q_one.key"), F.col("q_one.values"), F.map_from_arrays("q_one.names", "q_one.told"), F.col("q_one.version"))
+    met = each.join(_answered(each.where("q_one IS NOT NULL"), "q_one", F.struct(F.lower("q_one.key").alias("key"), is_.alias("is"))), "q_one", "left")
+    met = met.groupBy("q_list").agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "answer")))).alias("told")).withColumn("told", F.col("told.answer"))
     wrong = F.get(F.filter(F.transform("told", lambda c: c["is"]["error"]), lambda e: e.isNotNull()), 0)
-    error = F.when(~F.col("effect").isin("Allow", "Deny"), "effect").when(F.col("action_match").isNull(), "action").otherwise(wrong)
-    parts = parts.withColumn("error", error).withColumn("condition_match", all_of(F.transform("told", lambda c: c["is"]["result"])))
+    met = met.select("q_list", wrong.alias("wrong"), all_of(F.transform("told", lambda c: c["is"]["result"])).alias("condition_match"), F.transform(F.filter("told", lambda c: c["is"]["result"].isNull()), lambda c: c["key"]).alias("asks"))
+    parts = parts.join(met, "q_list")
+    error = F.when(~F.col("effect").isin("Allow", "Deny"), "effect").when(F.col("action_match").isNull(), "action").otherwise(F.col("wrong"))
     result = both(F.col("action_match"), F.col("resource_match"), F.col("principal_match"), F.col("condition_match"))
-    parts = parts.withColumn("result", F.when(F.col("error").isNull(), result).otherwise(False))
+    parts = parts.withColumn("error", error).withColumn("result", F.when(F.col("error").isNull(), result).otherwise(False))
     open_ = F.concat(
-        F.when(F.col("resource_match").isNull(), F.array(F.lit("resource"))).otherwise(F.array().cast("array<string>")), F.when(F.col("principal_match").isNull(), F.array(F.lit("aws:principalarn"))).otherwise(F.array().cast("array<string>")),
-        F.transform(F.filter("told", lambda c: c["is"]["result"].isNull()), lambda c: c["key"]),
+        F.when(F.col("resource_match").isNull(), F.array(F.lit("resource"))).otherwise(F.array().cast("array<string>")), F.when(F.col("principal_match").isNull(), F.array(F.lit("aws:principalarn"))).otherwise(F.array().cast("array<string>")), "asks",
     )
-    return parts.withColumn("depends_on", F.when(F.col("result").isNull(), F.array_join(F.array_sort(F.array_distinct(open_)), ","))).drop("told")
+    depends = F.when(F.col("result").isNull(), F.array_join(F.array_sort(F.array_distinct(open_)), ","))
+    return parts.select("request", "policy", "stmt", "effect", "action_match", "resource_match", "principal_match", "error", "condition_match", "result", depends.alias("depends_on"))
 
 
 # Queries and their SQL

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from stratalog.operators import evaluate as evaluate_
 from stratalog.operators.conditions import VERSION, condition, in_network
 from stratalog.operators.evaluate import evaluate
 
@@ -50,3 +51,20 @@ def test_statements_by_hand(spark):
     assert got[1, 1] == (None, None, "aws:mfa") and got[1, 2] == (False, None, None) and got[1, 3] == (False, None, None)
     assert got[1, 4][1] == "effect" and got[1, 5][1] == "action" and got[1, 6][0] is False and got[1, 7][0] is False and got[1, 8] == (False, "operator Odd", None)
     assert got[2, 1] == (None, None, "aws:mfa,aws:username,resource") and got[2, 2] == (None, None, "resource") and got[2, 3] == (None, None, "aws:principalarn") and got[2, 7][0] is None
+
+
+def test_equal_questions_are_asked_once(spark, monkeypatch):
+    """Requests that differ in what no part of a statement looks at ask one question for each part and condition."""
+    asked, real = {}, evaluate_._answered
+
+    def counted(questions, name, *answer):
+        found = real(questions, name, *answer)
+        asked[name] = found.count()
+        return found
+
+    monkeypatch.setattr(evaluate_, "_answered", counted)
+    requests = spark.range(200).selectExpr("id AS request", "1 AS policy", "'s3:GetObject' AS action", "'arn:aws:s3:::b/Ann' AS resource", "map('aws:username', array('Ann'), 'aws:other', array(string(id))) AS context")
+    s = spark.range(50).selectExpr("1 AS policy", "id AS stmt", "'Allow' AS effect", f"'{VERSION}' AS version", "array('s3:*') AS actions", "CAST(NULL AS array<string>) AS not_actions", "array('arn:aws:s3:::b/${aws:UserName}', NULL) AS resources", "CAST(NULL AS array<string>) AS not_resources", "CAST(NULL AS array<struct<type:string,who:string>>) AS principals", "CAST(NULL AS array<struct<type:string,who:string>>) AS not_principals", "array(named_struct('op', 'StringEquals', 'key', 'aws:username', 'values', array('${AWS:username}')), named_struct('op', 'Null', 'key', 'aws:mfa', 'values', array('true'))) AS conditions")
+    got = evaluate_.evaluate(requests, s).groupBy("result", "depends_on", "error").count().collect()
+    assert [tuple(x) for x in got] == [(None, "aws:mfa", None, 10_000)]
+    assert asked == {"q_action": 1, "q_resource": 1, "q_principal": 1, "q_list": 1, "q_one": 2}
