@@ -104,3 +104,19 @@ def test_classes_do_not_grow_with_subnets(spark):
     found = paths.classes(net, 6, 443)
     assert found.select("src").distinct().count() == found.select("dst").distinct().count() == 2
     assert sum(x["pairs"] for x in matrix(net, 6, 443).where("a = 1 AND b = 1").collect()) == 720 * 719
+
+
+def test_flows_are_dealt_out_by_their_number(spark, net, monkeypatch):
+    """Parts grow with flows, not tasks with them; flows with an end outside, which have no host, don't all go to one task."""
+    monkeypatch.setattr(paths, "A_TASK", 50)
+    flows = spark.range(400).selectExpr("id AS flow", "CAST(NULL AS LONG) AS s_host", "1L AS d_host", "134744072 + id AS s_ip", "CAST(NULL AS LONG) AS d_ip", "6L AS proto", "443L AS port")
+    written = paths.settled(flows)
+    assert paths.dealt(written).rdd.getNumPartitions() == 8
+    joined = paths.beside(written.repartition(1), net.hosts.hint("merge").selectExpr("host AS s_host", "kind"), "s_host")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert max(len(p) for p in joined.select("flow").rdd.glom().collect()) < 200
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    twice = verdicts(hops(flows.unionByName(flows), net)).collect()  # a flow asked twice has one verdict
+    assert len(twice) == 400 and {(r.verdict, r.first) for r in twice} == {("blocked", "sg-in")}
