@@ -2,7 +2,8 @@
 
 Pieces are cut only where the tokenizer's own pre-tokenizer must cut as well, so the ids are those of the
 whole text. The cache is bounded by bytes: pieces of more than ``LONG`` characters never enter it, and when it is full
-the pieces that came only once go first. It lives as long as a task: ``released`` empties it at the task's end.
+the pieces that came only once go first. ``released`` empties it at the task's end, unless the next
+task is to find it as it is.
 """
 
 from __future__ import annotations
@@ -73,12 +74,14 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         """Encode new pieces in few texts, which the library does fastest; the kinds of tokenizer differ in how the
         pieces' ends are found again. What doesn't come out even is encoded piece by piece."""
-        joins = [p for p in new if self.joins(p)]
+        joins, others = [], []
+        for p in new:
+            (joins if self.joins(p) else others).append(p)
         found = [(joins, self._joined(joins))] if joins else []
         if found and found[0][1] is None:
             found, joins = [], []
         if len(joins) < len(new):
-            alone = [p for p in new if not self.joins(p)] if joins else new
+            alone = others if joins else new
             found.append((alone, self._others(alone)))
         for pieces, (ids, sizes) in found:
             n = len(self.size)
@@ -151,22 +154,32 @@ class Spaced(Encoder):
 
     MARK = "\x02"
 
-    def __init__(self, path: str, limit: int = CACHE_BYTES):
+    def __init__(self, path: str, limit: int = 2 * CACHE_BYTES):
         super().__init__(path, limit)
         self.ends = np.array([x.endswith("</w>") for x in self.names])
         (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.folds = self.tokenizer.encode("QZ", add_special_tokens=False).ids == self.tokenizer.encode("qz", add_special_tokens=False).ids
+        self.added = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def pieces(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
+        """Cut at blanks. The tokenizer lower-cases, which for ASCII is done before, so that a word in capitals is no other
+        piece; not where an added token's name would arise."""
+        flat = text.replace("\n", " ")
+        if self.folds and flat.isascii():
+            low = flat.lower()
+            flat = flat if any(x in low for x in self.added) else low
+        return flat.split(" ")
 
     def joins(self, piece: str) -> bool:
-        """Letters up to U+00FF alone are one word to the pre-tokenizer."""
-        return piece.isalpha() and max(piece) < "\u0100"
+        """Letters up to U+00FF alone are one word to the pre-tokenizer; a comma or full stop behind them is another."""
+        word = piece[:-1] if piece[-1:] in (",", ".") else piece
+        return word.isalpha() and (word.isascii() or max(word) < "\u0100")
 
     def _joined(self, new: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         ids = self._ids(" ".join(new))
         last = np.flatnonzero(self.ends[ids])
-        return (ids, np.diff(last, prepend=-1)) if len(last) == len(new) else None
+        words = np.cumsum([2 if p[-1] in ",." else 1 for p in new])
+        return (ids, np.diff(last[words - 1], prepend=-1)) if len(last) == words[-1] else None
 
     def _others(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Marks between the pieces, a character that is one token of its own."""
@@ -181,14 +194,15 @@ _kept: dict[tuple[type, str], Encoder] = {}
 
 
 @contextmanager
-def released(kind: type[Encoder], path: str) -> Iterator[Encoder]:
-    """This worker's encoder, for one task: the tokenizer stays for the next one, the cache is emptied."""
+def released(kind: type[Encoder], path: str, keep: bool = False) -> Iterator[Encoder]:
+    """This worker's encoder, for one task: the tokenizer stays for the next one, the cache is emptied, or kept as well."""
     encoder = _kept.setdefault((kind, path), None) or kind(path)
     _kept[kind, path] = encoder
     try:
         yield encoder
     finally:
-        encoder.empty()
+        if not keep:
+            encoder.empty()
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -155,7 +155,8 @@ def _write(path: str, folder: str, planes: str):
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["path", "part", "first_doc", "n_docs", "n_ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with released(Spaced, path) as encoder:
+        # Every task meets the same words; the cache, which is bounded, is not learned anew by each.
+        with released(Spaced, path, keep=True) as encoder:
             yield from files(batches, encoder)
 
     return run

@@ -39,6 +39,19 @@ def test_ids_are_those_of_whole_texts(path, kind):
             assert e.held_bytes() <= limit and all(len(p) <= encode.LONG for p in e.known) or limit == 10**9
 
 
+def test_forms_of_a_word_are_few_and_kept():
+    with encode.released(encode.Spaced, WORD, keep=True) as e:
+        e.empty()
+        e.encode(["once"])
+    assert e.known
+    e = encode.Spaced(WORD)
+    e.encode(["Mile mile, MILE. mile", "MILE.\n", "<|ENDOFTEXT|> mile"])
+    assert set(e.known) == {"mile", "mile,", "mile.", "", "<|ENDOFTEXT|>"}
+    odd = ["a,. b", "it's, A.", "a.\tb, ", ".a , B.", "<|ENDOFTEXT|>, <|endoftext|>.", "K\u212a, K.", "'S, x"]
+    ids, _ = e.encode(odd)
+    assert ids.tolist() == [i for t in odd for i in Tokenizer.from_file(WORD).encode(t, add_special_tokens=False).ids]
+
+
 def test_cache_is_emptied_at_a_tasks_end():
     with encode.released(encode.ByteLevel, BYTE) as e:
         e.encode(texts())
