@@ -19,13 +19,13 @@ row; other columns are not carried.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,16 +46,27 @@ OWN_RATE = 20_000
 KNOWN_RATE = 400_000
 #: Tokens that forward-backward handles at once; its memory is this times states.
 LANES = 1 << 20
-#: Tokens whose moves are added up in one product.
-STRIDE = 1 << 16
+#: Tokens that are held, two bytes each, to choose those of like length from.
+HELD = 1 << 22
+#: Tokens whose moves and emissions are added up at once.
+STRIDE = 1 << 15
+#: Tokens of a run; a long piece's product is that of its runs.
+RUN = 64
+#: Tokens between which probabilities are not brought back to a sum of 1.
+SCALED = 3
 SUFFIX = 3
 #: Weight of the symbols' overall shares in each state's emissions, in tokens.
 PRIOR = 50.0
 
 
-def split_words(text: str) -> list[bytes]:
-    """Bytes methods treat ASCII alone: A-Z are lowered and ASCII white space splits."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """How many words each text has, each word's number, and the distinct words as bytes. A-Z are lowered and ASCII white
+    space splits."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, owner = parts.flatten(), pc.list_parent_indices(parts).to_numpy()
+    full = pc.greater(pc.binary_length(words), 0)
+    found = words.filter(full).dictionary_encode()
+    return np.bincount(owner[full.to_numpy(zero_copy_only=False)], minlength=len(texts)), found.indices.to_numpy(), found.dictionary.cast(pa.binary())
 
 
 def trains(doc_id: int | None) -> bool:
@@ -64,8 +75,11 @@ def trains(doc_id: int | None) -> bool:
 
 def word_hash(word: bytes) -> int:
     """Spark's xxhash64 of the same bytes."""
-    h = xxhash.xxh64_intdigest(word, seed=42)
-    return h - (1 << 64) if h >> 63 else h
+    return int(word_hashes([word])[0])
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words)).view(np.int64)
 
 
 def word_class(word: bytes) -> int:
@@ -76,18 +90,20 @@ def word_class(word: bytes) -> int:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(found: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
-
-    found: Counter = Counter()
-    for batch, texts in chunks(batches):
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-            if trains(doc):
-                found.update(split_words(text))
-        if len(found) > 500_000:
-            yield out(found)
-            found = Counter()
-    yield out(found)
+    def out(held: list[pa.Table]) -> pa.RecordBatch:
+        sums = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).combine_chunks()
+        return pa.RecordBatch.from_arrays([sums.column(k).combine_chunks() for k in ("word", "c_sum")], names=["word", "c"])
+
+    held: list[pa.Table] = []
+    for batch, _ in chunks(batches):
+        trained = pa.array([trains(d) for d in batch.column("doc_id").to_pylist()], pa.bool_())
+        _, number, words = split_words(batch.column("text").filter(trained))
+        held.append(pa.table([words, np.bincount(number, minlength=len(words))], names=["word", "c"]))
+        if sum(x.num_rows for x in held) > 1_000_000:
+            yield out(held)
+            held = []
+    if held:
+        yield out(held)
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -114,30 +130,42 @@ class Hmm:
         return cls(np.full(states, 1 / states), move, emit / emit.sum(1, keepdims=True))
 
     @staticmethod
-    def _columns(texts: list[np.ndarray]) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """Longest first: the order, symbols by time, and how many texts last beyond each time."""
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        size = np.array([len(texts[i]) for i in order])
-        alive = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right")
+    def _columns(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Longest first: the order, symbols by time, and where each time begins."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        order = np.argsort(-size, kind="stable")
+        alive = np.searchsorted(-size[order], -np.arange(1, int(size.max()) + 1), side="right")
         begin = np.concatenate([[0], np.cumsum(alive)])
-        flat = np.empty(int(begin[-1]), np.int32)
-        for lane, i in enumerate(order):
+        flat = np.empty(int(begin[-1]), np.intp)
+        for lane, i in enumerate(order.tolist()):
             flat[begin[: len(texts[i])] + lane] = texts[i]
         return order, flat, begin
 
+    def _emissions(self, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """Row by row of the symbols, each over its largest, so that few steps can't leave the floats; the largest ones."""
+        top = self.emit.max(0)
+        return np.ascontiguousarray((self.emit / top).T.astype(kind)), top
+
     def log10(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 P(symbols) of whole texts, none of them empty, by the scaled forward recursion."""
-        order, flat, begin = self._columns(texts)
-        emit, total, a = np.ascontiguousarray(self.emit.T), np.zeros(len(texts)), None
-        for t in range(len(begin) - 1):
-            lanes = begin[t + 1] - begin[t]
-            a = (self.start if a is None else a[:lanes] @ self.move) * emit[flat[begin[t] : begin[t + 1]]]
-            scale = a.sum(1)
-            a /= scale[:, None]
-            total[:lanes] += np.log10(scale)
-        out = np.empty(len(texts))
+        pieces, opens, before, _ = self._cut(texts, PIECE, np.float64)
+        order, flat, begin = self._columns(pieces)
+        (emit, top), ones = self._emissions(np.float64), np.ones((len(self.start), 1))
+        total, lanes = np.zeros(len(pieces)), np.append(np.diff(begin), 0).tolist()
+        tops, a = np.log10(top), np.where(opens[order][:, None], self.start, before[order] @ self.move)
+        for t, (lo, n, stay) in enumerate(zip(begin.tolist(), lanes, lanes[1:], strict=False)):
+            now = flat[lo : lo + n]
+            if t:
+                a = a[:n] @ self.move
+            a *= emit.take(now, axis=0, mode="clip")
+            total[:n] += tops.take(now, mode="clip")
+            if t % SCALED == 0 or stay < n:
+                scale = a @ ones
+                a /= scale
+                total[:n] += np.log10(scale[:, 0])
+        out = np.empty(len(pieces))
         out[order] = total
-        return out
+        return np.add.reduceat(out, np.flatnonzero(opens))
 
     def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Baum-Welch's expected counts of starts, moves and emissions."""
@@ -147,24 +175,33 @@ class Hmm:
         """Baum-Welch's expected counts of starts, moves and emissions in whole texts, and their log10-likelihood.
 
         Texts are cut into pieces of ``piece`` tokens with the probabilities on either side of each cut worked out
-        first, so that pieces of one text are handled side by side."""
-        pieces, opens, before, later = self._cut(texts, piece or PIECE)
-        group = np.cumsum([len(x) for x in pieces]) // LANES
-        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(pieces)]
-        parts = [self._pieces(pieces[i:j], opens[i:j], before[i:j], later[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+        first, so that pieces of one text are handled side by side. Pieces of like length are handled together."""
+        pieces, opens, before, later = self._cut(texts, piece or PIECE, np.float32)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        longest = np.argsort(-size, kind="stable")
+        group = np.cumsum(size[longest]) // LANES
+        parts = []
+        for some in np.split(longest, np.flatnonzero(np.diff(group)) + 1):
+            given = [pieces[i] for i in some.tolist()], opens[some], before[some], later[some]
+            found = self._pieces(*given)
+            if not all(np.isfinite(x).all() for x in found):
+                found = self._pieces(*given, every=1)
+            parts.append(found)
         starts, moves, emits, log = (sum(x) for x in zip(*parts, strict=True))
         return starts, moves, emits, log
 
-    def _cut(self, texts: list[np.ndarray], piece: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    def _cut(self, texts: list[np.ndarray], piece: int, kind: type) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """Pieces in order; whether each opens its text; the states' probabilities before it, given the text so far (0
         where it opens one); and at its end those of the rest of the text, to a factor with which both give 1."""
         pieces = [x[i : i + piece] for x in texts for i in range(0, len(x), piece)]
-        opens = np.concatenate([np.arange(0, len(x), piece) == 0 for x in texts])
+        many = [-(-len(x) // piece) for x in texts]
+        opens = np.zeros(len(pieces), bool)
+        opens[np.cumsum([0, *many[:-1]])] = True
         last = np.append(opens[1:], True)
         before, later = np.zeros((len(pieces), len(self.start))), np.ones((len(pieces), len(self.start)))
         long = np.flatnonzero(~(opens & last))
         if len(long):
-            across = dict(zip(long.tolist(), self._products([pieces[i] for i in long], opens[long]), strict=True))
+            across = dict(zip(long.tolist(), self._products([pieces[i] for i in long], opens[long], kind), strict=True))
             for i in long.tolist():
                 if not last[i]:
                     a = (self.start if opens[i] else before[i]) @ across[i]
@@ -173,56 +210,84 @@ class Hmm:
                 if not opens[i]:
                     b = across[i] @ later[i]
                     later[i - 1] = b / (before[i] @ b)
-        return pieces, opens, before.astype(np.float32), later.astype(np.float32)
-
-    def _products(self, pieces: list[np.ndarray], opens: np.ndarray) -> np.ndarray:
-        """For each piece the matrix, to a factor, that leads from the probabilities before it to those at its end."""
-        order, flat, begin = self._columns(pieces)
+        return pieces, opens, before.astype(kind), later.astype(kind)
+
+    def _products(self, pieces: list[np.ndarray], opens: np.ndarray, kind: type) -> np.ndarray:
+        """For each piece the matrix, to a factor, that leads from the probabilities before it to those at its end.
+
+        Runs of ``RUN`` tokens have theirs first, all side by side; then neighbours are multiplied until one is left."""
+        many = np.array([-(-len(x) // RUN) for x in pieces])
+        head = np.cumsum(many) - many
+        first = np.zeros(int(many.sum()), bool)
+        first[head] = opens
+        a = self._runs([x[i : i + RUN] for x in pieces for i in range(0, len(x), RUN)], first, kind)
+        while len(a) > len(pieces):
+            half = (many + 1) // 2
+            start = np.cumsum(half) - half
+            left = np.repeat(head - 2 * start, half) + 2 * np.arange(int(half.sum()))
+            paired = left + 1 < np.repeat(head + many, half)
+            b = a[left]
+            b[paired] = b[paired] @ a[left[paired] + 1]
+            a, many, head = b / b.sum((1, 2), keepdims=True), half, start
+        return a
+
+    def _runs(self, runs: list[np.ndarray], opens: np.ndarray, kind: type) -> np.ndarray:
+        order, flat, begin = self._columns(runs)
         k, lanes = len(self.start), np.append(np.diff(begin), 0)
-        move, emit, ones = self.move.astype(np.float32), np.ascontiguousarray(self.emit.T.astype(np.float32)), np.ones((k * k, 1), np.float32)
-        a = np.where(opens[order][:, None, None], np.eye(k, dtype=np.float32), move)
-        out = np.empty((len(pieces), k, k))
+        move, (emit, _), ones = self.move.astype(kind), self._emissions(kind), np.ones((k, 1), kind)
+        a = np.where(opens[order][:, None], np.eye(k, dtype=kind)[:, None, :], move[:, None, :])
+        out = np.empty((len(runs), k, k))
         for t in range(len(begin) - 1):
             if t:
-                a = (a[: lanes[t]].reshape(-1, k) @ move).reshape(-1, k, k)
-            a *= emit[flat[begin[t] : begin[t + 1]]][:, None, :]
-            a /= (a.reshape(-1, k * k) @ ones)[:, :, None]
+                a = (a.reshape(-1, k) @ move).reshape(k, -1, k)
+            a *= emit[flat[begin[t] : begin[t + 1]]]
+            if t % SCALED == 0 or lanes[t + 1] < lanes[t]:
+                a /= a.sum(0) @ ones
             if lanes[t + 1] < lanes[t]:
-                out[order[lanes[t + 1] : lanes[t]]] = a[lanes[t + 1] :]
+                out[order[lanes[t + 1] : lanes[t]]] = a[:, lanes[t + 1] :].swapaxes(0, 1)
+                a = np.ascontiguousarray(a[:, : lanes[t + 1]])
         return out
 
-    def _pieces(self, pieces: list[np.ndarray], opens: np.ndarray, before: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    def _pieces(self, pieces: list[np.ndarray], opens: np.ndarray, before: np.ndarray, later: np.ndarray, every: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Probabilities are brought back to a sum of 1 at ``every`` so many tokens."""
+        every = every or SCALED
         order, flat, begin = self._columns(pieces)
-        opens, before = opens[order], before[order]
-        k, lanes = len(self.start), np.diff(begin)
-        move, emit = self.move.astype(np.float32), np.ascontiguousarray(self.emit.T.astype(np.float32))
+        opens, before, later = opens[order], before[order], later[order]
+        k, lanes, at = len(self.start), np.diff(begin), begin.tolist()
+        move, (emit, top) = self.move.astype(np.float32), self._emissions(np.float32)
         back_move, ones = np.ascontiguousarray(move.T), np.ones((k, 1), np.float32)
-        e = emit.take(flat, axis=0)
-        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((len(e), 1), np.float32)
-        for t, (lo, hi) in enumerate(zip(begin, begin[1:], strict=False)):
-            now = alpha[lo:hi]
-            if t:
-                np.matmul(alpha[begin[t - 1] : begin[t - 1] + hi - lo], move, out=now)
-            else:
-                now[:] = np.where(opens[:, None], self.start, before @ move)
-            now *= e[lo:hi]
-            np.matmul(now, ones, out=scale[lo:hi])
-            now /= scale[lo:hi]
-        e /= scale
-        beta[begin[[len(pieces[i]) - 1 for i in order]] + np.arange(len(order))] = later[order]
-        for t in range(len(lanes) - 1, 0, -1):
-            lo, hi = begin[t], begin[t + 1]
-            e[lo:hi] *= beta[lo:hi]
-            np.matmul(e[lo:hi], back_move, out=beta[begin[t - 1] : begin[t - 1] + hi - lo])
-        e[: lanes[0]] *= beta[: lanes[0]]
-        moves = (before.T @ e[: lanes[0]]).astype(np.float64)
-        behind = np.arange(begin[1], begin[-1]) - np.repeat(lanes[:-1], lanes[1:])
+        e = emit.take(flat, axis=0, mode="clip")
+        alpha, beta, first, scales = np.empty_like(e), np.empty_like(e), at[1], [np.ones((1, 1), np.float32)]
+        np.multiply(np.where(opens[:, None], self.start, before @ move), e[:first], out=alpha[:first])
+        for t in range(1, len(at) - 1):
+            lo, hi = at[t], at[t + 1]
+            behind, now, here = alpha[at[t - 1] : at[t - 1] + hi - lo], alpha[lo:hi], e[lo:hi]
+            if t % every == 0:
+                scales.append(np.matmul(behind, ones))
+                here *= np.reciprocal(scales[-1])
+            np.matmul(behind, move, out=now)
+            now *= here
+        ends = begin[[len(pieces[i]) - 1 for i in order.tolist()]] + np.arange(len(order))
+        reached = alpha[ends].astype(np.float64)
+        log = np.log10(reached.sum(1)).sum() + np.log10(np.concatenate(scales), dtype=np.float64).sum() + np.bincount(flat, minlength=len(top)) @ np.log10(top)
+        beta[ends] = later / (reached * later).sum(1, keepdims=True)
+        for t in range(len(at) - 2, 0, -1):
+            lo, hi = at[t], at[t + 1]
+            here = e[lo:hi]
+            here *= beta[lo:hi]
+            np.matmul(here, back_move, out=beta[at[t - 1] : at[t - 1] + hi - lo])
+        e[:first] *= beta[:first]
+        moves = (before.T @ e[:first]).astype(np.float64)
+        behind = np.arange(first, at[-1]) - np.repeat(lanes[:-1], lanes[1:])
         for lo in range(0, len(behind), STRIDE):
             one = behind[lo : lo + STRIDE]
-            moves += alpha.take(one, axis=0).T @ e[begin[1] + lo : begin[1] + lo + len(one)]
-        alpha *= beta  # from here on the state's probability
-        emits = np.stack([np.bincount(flat, weights=alpha[:, s], minlength=self.emit.shape[1]) for s in range(k)])
-        return alpha[: lanes[0]][opens].sum(0, dtype=np.float64), moves * self.move, emits, float(np.log10(scale.astype(np.float64)).sum())
+            moves += alpha.take(one, axis=0, mode="clip").T @ e[first + lo : first + lo + len(one)]
+        emits = np.zeros(self.emit.shape)
+        for lo in range(0, len(flat), STRIDE):
+            held = np.ascontiguousarray((alpha[lo : lo + STRIDE] * beta[lo : lo + STRIDE]).T, np.float64)
+            for s in range(k):
+                emits[s] += np.bincount(flat[lo : lo + STRIDE], weights=held[s], minlength=len(top))
+        return (alpha[:first] * beta[:first])[opens].sum(0, dtype=np.float64), moves * self.move, emits, float(log)
 
     @classmethod
     def fitted(cls, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, share: np.ndarray) -> Hmm:
@@ -274,19 +339,22 @@ def _encode(lexicon):
         lex: Lexicon = lexicon.value
         log_count, inner = np.log10(lex.count + 0.5), lex.inner_log(lex.symbol, lex.count)
         end_log = np.log10(lex.end_count + 0.5)
-        for batch, texts in chunks(batches):
+        for batch, _ in chunks(batches):
             docs = batch.column("doc_id").to_pylist()
-            cut = [split_words(x) for x in texts]
-            words = [w for x in cut for w in x]
-            size = np.fromiter(map(len, cut), np.int64, len(cut))
-            doc = np.repeat(np.arange(len(cut)), size)
-            at = np.fromiter(map(lex.index.get, words, repeat(-1)), np.int64, len(words))
+            size, number, distinct = split_words(batch.column("text"))
+            distinct = distinct.to_numpy(zero_copy_only=False).tolist()
+            doc = np.repeat(np.arange(len(size)), size)
+            place = np.fromiter(map(lex.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+            strange = np.flatnonzero(place < 0)
+            unknown = [distinct[i] for i in strange.tolist()]
+            hashes = word_hashes(unknown)
+            classes = (np.fromiter((zlib.crc32(w[-SUFFIX:]) for w in unknown), np.int64, len(unknown)) % CLASSES).astype(np.int32)
+            code_of = np.zeros(len(distinct), np.int64)
+            code_of[strange] = np.arange(len(strange))
+            at = place[number]
             rare = np.flatnonzero(at < 0)
-            number: dict[bytes, int] = {}
-            code = np.array([number.setdefault(words[i], len(number)) for i in rare.tolist()], np.int64)
-            hashes = np.array([word_hash(w) for w in number], np.int64)
-            classes = np.array([word_class(w) for w in number], np.int32)
-            symbol = np.empty(len(words), np.int64)
+            code = code_of[number[rare]]
+            symbol = np.empty(len(at), np.int64)
             common = at >= 0
             symbol[common] = lex.symbol[at[common]]
             symbol[rare] = classes[code] if len(code) else 0
@@ -294,10 +362,10 @@ def _encode(lexicon):
             symbols = np.insert(symbol, ends, lex.end).astype("<u2")
             edges = np.concatenate([[0], np.cumsum(size + 1)])
             known_at, known_doc = at[common], doc[common]
-            add = lambda x: np.bincount(known_doc, weights=x, minlength=len(cut))  # noqa: E731, B023
-            pair, tf = np.unique(doc[rare] * max(1, len(number)) + code, return_counts=True)
-            owner, which = pair // max(1, len(number)), pair % max(1, len(number))
-            bounds = np.searchsorted(owner, np.arange(len(cut) + 1)).astype(np.int32)
+            add = lambda x: np.bincount(known_doc, weights=x, minlength=len(size))  # noqa: E731, B023
+            pair, tf = np.unique(doc[rare] * max(1, len(unknown)) + code, return_counts=True)
+            owner, which = pair // max(1, len(unknown)), pair % max(1, len(unknown))
+            bounds = np.searchsorted(owner, np.arange(len(size) + 1)).astype(np.int32)
             fields = [pa.array(hashes[which] if len(which) else [], pa.int64()), pa.array(classes[which] if len(which) else [], pa.int32()), pa.array(tf, pa.int32())]
             rows = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(fields, fields=list(struct)))
             known = add(np.ones(len(known_at))).astype(np.int64) + (1 if lex.end_count else 0)
@@ -309,15 +377,15 @@ def _encode(lexicon):
     return run
 
 
-def _lanes(batches: Iterator[pa.RecordBatch], column: str = "symbols") -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Texts in groups of about LANES symbols."""
+def _lanes(batches: Iterator[pa.RecordBatch], most: int, column: str = "symbols") -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Texts in groups of about ``most`` symbols."""
     ids, held, size = [], [], 0
     for batch in batches:
         for doc, raw in zip(batch.column(0).to_pylist(), batch.column(column).to_pylist(), strict=True):
             ids.append(doc)
             held.append(np.frombuffer(raw, "<u2"))
             size += len(held[-1])
-            if size >= LANES:
+            if size >= most:
                 yield ids, held
                 ids, held, size = [], [], 0
     if held:
@@ -329,7 +397,7 @@ def _expect(model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for _, texts in _lanes(batches):
+        for _, texts in _lanes(batches, HELD):
             *counts, log = model.value.forward_backward(texts)
             flat = np.append(np.concatenate([counts[0][:, None], *counts[1:]], axis=1).reshape(-1), log)
             total = flat if total is None else total + flat
@@ -402,7 +470,7 @@ def _score(model):
 
         kept: list[pa.RecordBatch] = []
         done = np.zeros(0)
-        for _, texts in _lanes(both()):
+        for _, texts in _lanes(both(), LANES):
             done = np.concatenate([done, model.value.log10(texts)])
             while kept and kept[0].num_rows <= len(done):
                 head = kept.pop(0)

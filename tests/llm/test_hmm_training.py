@@ -27,6 +27,42 @@ def test_cuts_carry_the_states_on():
             assert np.allclose(a, b, rtol=1e-4, atol=1e-4)
 
 
+def test_a_long_text_takes_the_steps_of_one_piece(monkeypatch):
+    steps, columns = [], hm.Hmm._columns
+    monkeypatch.setattr(hm.Hmm, "_columns", staticmethod(lambda texts: steps.append(max(map(len, texts))) or columns(texts)))
+    m, text = small_model(), np.random.default_rng(5).integers(0, 5, 20_000)
+    for work in (m.forward_backward, m.log10):
+        steps.clear()
+        work([text])
+        assert sum(steps) <= hm.PIECE + 64
+    log, a = 0.0, m.start * m.emit[:, text[0]]
+    for x in text[1:]:
+        log += math.log10(a.sum())
+        a = a / a.sum() @ m.move * m.emit[:, x]
+    assert m.log10([text, text[:3]])[0] == pytest.approx(log + math.log10(a.sum()), rel=1e-12)
+    long = [text[:700], text[:64], text[:65], text[5:900]]
+    for piece in (63, 64, 65, 130, 200):
+        for a, b in zip(m.forward_backward(long, piece), m.forward_backward(long), strict=True):
+            assert np.allclose(a, b, rtol=1e-4, atol=1e-3)
+
+
+def test_steps_that_leave_the_floats_are_taken_one_by_one():
+    x = 1e-17
+    m = hm.Hmm(np.array([1 - x, x]), np.array([[1 - x, x], [x, 1 - x]]), np.array([[1 - x, x], [x, 1 - x]]))
+    text = np.tile([0, 1], 40)
+    starts, moves, emits, log = m.forward_backward([text])
+    assert log == pytest.approx(m.log10([text])[0], rel=1e-5)
+    assert emits.sum() == pytest.approx(80, rel=1e-3) and moves.sum() == pytest.approx(79, rel=1e-3)
+
+
+def test_words_of_odd_texts():
+    texts = ["The the\x0bTHE", None, "", " \x1c\u00a0 a\n", "\u00c9a\x85b \x0c"]
+    size, number, words = hm.split_words(pa.array(texts))
+    flat = [w for x in texts for w in (x or "").encode().lower().split()]
+    assert size.tolist() == [len((x or "").encode().split()) for x in texts]
+    assert [words[i].as_py() for i in number.tolist()] == flat
+
+
 def test_a_long_text_starts_once_and_moves_at_every_token():
     n = 3 * hm.PIECE + 7
     raw = np.random.default_rng(4).integers(0, 5, n).astype("<u2")
