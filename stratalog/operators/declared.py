@@ -135,11 +135,12 @@ def policy_hash(docs: DataFrame) -> DataFrame:
     """id, hash: documents (id, text) of equal meaning have equal hashes. Keys and lists have no order, a list of one is its
     item, and an account number under AWS is its root; null for text that is no JSON object.
 
-    Documents are taken apart level by level into rows, whatever they hold, and hashed from the leaves up: a level is one
-    grouping, and there are as many as the deepest document has."""
+    Equal texts are read once. Documents are taken apart level by level into rows, whatever they hold, and hashed from the
+    leaves up: a level is one grouping, and there are as many as the deepest document has."""
+    texts = settled(docs.where("text IS NOT NULL").select("text").distinct().select("text", F.monotonically_increasing_id().alias("id")))
     text = F.trim("text")
     plain = F.when(text.rlike("^%7[Bb]"), F.try_url_decode(text)).otherwise(text)
-    whole = docs.select("id", F.try_parse_json(plain).alias("v"))
+    whole = texts.select("id", F.try_parse_json(plain).alias("v"))
     kind = lambda v: F.regexp_extract(F.schema_of_variant(v), "^([A-Z]+)", 1)
     level = settled(whole.where(kind(F.col("v")) == "OBJECT").select("id", F.lit("$").alias("node"), F.lit("").alias("up"), F.lit("").alias("key"), F.lit("").alias("named"), "v"))
     levels = []
@@ -162,8 +163,10 @@ def policy_hash(docs: DataFrame) -> DataFrame:
         h = F.coalesce("leaf", F.when((F.col("kind") == "ARRAY") & (F.size(items) == 1), F.get(items, 0)["h"]).otherwise(F.sha2(F.concat_ws(":", "kind", inner), 256)))
         hashed = settled(rows.select("id", "node", "up", "key", h.alias("h")))
         below = hashed.groupBy("id", F.col("up").alias("node")).agg(F.collect_list(F.struct("key", "h")).alias("items"))
-    roots = hashed.where("node = '$'").select("id", F.col("h").alias("hash")) if levels else docs.select("id", F.lit(None).cast("string").alias("hash")).limit(0)
-    return docs.select("id").join(roots, "id", "left")
+    if not levels:
+        return docs.select("id", F.lit(None).cast("string").alias("hash"))
+    roots = texts.join(hashed.where("node = '$'").select("id", F.col("h").alias("hash")), "id").select("text", "hash")
+    return docs.select("id", "text").join(roots, "text", "left").select("id", "hash")
 
 
 # Queries and their SQL
