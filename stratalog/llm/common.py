@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word of the plain contracts: anything between ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
-
+#: Bytes of rows that go to Python at once.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,3 +58,9 @@ def stored(df: DataFrame, name: str, by: str | None = None, codec: str | None =
 def slices(spark: SparkSession) -> int:
     """How many parts a shuffle is dealt into; the cluster sets it with the size of its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """From now on this session's rows go to Python ``BATCH_BYTES`` at a time, not 64 MB, which with buffers that grow by
+    doubling take several times that of every core, in the JVM and in the worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

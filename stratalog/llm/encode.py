@@ -16,6 +16,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -207,16 +208,24 @@ def released(kind: type[Encoder], path: str, keep: bool = False) -> Iterator[Enc
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Runs of rows whose texts have about ``limit`` bytes; a null text is empty."""
+    for batch in runs(batches, column, limit):
+        yield batch, [x or "" for x in batch.column(column).to_pylist()]
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same without the texts, of which no more than a run's are strings at once. What Arrow keeps of used batches goes
+    back to the system at the end, for workers outlive their tasks."""
     for batch in batches:
-        texts = [x or "" for x in batch.column(column).to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, held = 0, 0
-        for i, x in enumerate(texts):
-            if held and held + len(x) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, n in enumerate(sizes):
+            if held and held + n > limit:
+                yield batch.slice(start, i - start)
                 start, held = i, 0
-            held += len(x)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            held += n
+        if start < len(sizes):
+            yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def with_end(ids: np.ndarray, sizes: np.ndarray, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:

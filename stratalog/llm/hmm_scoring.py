@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, stored, table
-from .encode import chunks
+from .encode import runs
 
 STATES = 12
 #: Training ends with the first round that raises the log-likelihood by less than this share of it.
@@ -95,7 +95,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([sums.column(k).combine_chunks() for k in ("word", "c_sum")], names=["word", "c"])
 
     held: list[pa.Table] = []
-    for batch, _ in chunks(batches):
+    for batch in runs(batches):
         trained = pa.array([trains(d) for d in batch.column("doc_id").to_pylist()], pa.bool_())
         _, number, words = split_words(batch.column("text").filter(trained))
         held.append(pa.table([words, np.bincount(number, minlength=len(words))], names=["word", "c"]))
@@ -339,7 +339,7 @@ def _encode(lexicon):
         lex: Lexicon = lexicon.value
         log_count, inner = np.log10(lex.count + 0.5), lex.inner_log(lex.symbol, lex.count)
         end_log = np.log10(lex.end_count + 0.5)
-        for batch, _ in chunks(batches):
+        for batch in runs(batches):
             docs = batch.column("doc_id").to_pylist()
             size, number, distinct = split_words(batch.column("text"))
             distinct = distinct.to_numpy(zero_copy_only=False).tolist()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import mix, shingle_sets
-from .common import slices, stored, table
+from .common import in_small_batches, slices, stored, table
 from .components import connected
 from .encode import chunks
 
@@ -299,6 +299,7 @@ def _fits(a: str, b: str, percent: int):
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, rep) of each row, and verified links (a, b) between representatives, enough for all components."""
     spark = docs.sparkSession
+    in_small_batches(spark)
     levels = spark.sparkContext.broadcast(shingle_levels(docs, words))
     every = stored(docs.select("doc_id", "text").mapInArrow(_describe(words, percent, levels), "doc_id long, n long, s1 long, s2 long, prefix array<long>, bits binary"), "prefixes")
     key = ["s1", "s2", "n"]

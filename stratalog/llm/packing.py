@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import in_small_batches, stored, table
 from .encode import ByteLevel, Encoder, chunks, released, with_end
 
 WINDOW = 2048
@@ -123,6 +123,7 @@ def _merge_group(window: int):
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, open_windows: int = OPEN, what: str = "ids") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (or their CRC), doc_tokens, sequence_id, offset."""
+    in_small_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     schema = PIECE.format(what=_SQL[what])
     pieces = stored(docs.select("doc_id", "text").mapInArrow(_pack_partition(path, window, open_windows, what), schema), "pieces")
