@@ -7,7 +7,8 @@ share of its symbol. P(text) = P(symbols) * product of P(word | symbol): a prope
 Training: words are counted over all training documents. Latent states start from these counts and seeded random
 weights; then each round runs forward-backward over every training document, whole texts at a time, and Spark adds up
 the expected counts, until a round raises the likelihood by less than ``SETTLED`` of it. A round takes the documents in
-``TURNS`` parts and fits the model after each, so that fewer rounds are needed. Long texts are cut into
+``TURNS`` parts and fits the model after each, and goes somewhat further than the counts say, so that fewer rounds are
+needed; the last round is always a plain one. Long texts are cut into
 pieces, with what comes before and after each carried across the cuts. Scoring runs the scaled forward recursion over whole texts,
 so likelihoods are exact. Words that are rare meet their counts in a join.
 
@@ -38,6 +39,8 @@ STATES = 12
 SETTLED = 1e-4
 #: Parts of the documents that training takes by turns; the model is fitted anew after each.
 TURNS = 8
+#: How much further than by itself a fit moves the expected counts, as a power of their change since the round before.
+STRETCH = 1.5
 #: Tokens of a piece; the pieces of a long text are handled side by side.
 PIECE = 4096
 CLASSES = 1024
@@ -441,12 +444,24 @@ def baum_welch(encoded: DataFrame, model: Hmm, share: np.ndarray) -> tuple[Hmm,
     return Hmm.fitted(starts, moves, emits, share), log
 
 
+def stretched(sums: list[np.ndarray], before: list[np.ndarray], power: float) -> list[np.ndarray]:
+    """Counts moved on from those of a round before by their change to a power, each kind with its total as it was."""
+    out = []
+    for now, old in zip(sums, before, strict=True):
+        far = now * np.clip((now + 1e-3) / (old + 1e-3), 0.1, 10) ** (power - 1)
+        out.append(far * (now.sum() / far.sum()) if far.any() else now)
+    return out
+
+
 def train(encoded: DataFrame, model: Hmm, share: np.ndarray) -> Hmm:
     """Rounds over all training documents until the likelihood settles. In a round the ``TURNS`` parts of the documents
     come one by one; each part's expected counts take the place of those it gave the round before, and the model is
-    fitted to the counts of all parts at once (incremental Baum-Welch)."""
+    fitted to the counts of all parts at once (incremental Baum-Welch), from the third round on to counts that are
+    stretched. Only a plain round ends the training: one comes after each stretched round that raises the likelihood too
+    little, and all are plain after one that lowers it."""
     parts: dict[int, tuple[np.ndarray, ...]] = {}
-    last = -np.inf
+    before: dict[int, list[np.ndarray]] = {}
+    last, rounds, power, most = -np.inf, 0, 1.0, STRETCH
     while True:
         log = 0.0
         for turn in range(TURNS):
@@ -454,9 +469,15 @@ def train(encoded: DataFrame, model: Hmm, share: np.ndarray) -> Hmm:
             log += found
             sums = [sum(x) for x in zip(*parts.values(), strict=True)]
             if sums[0].any():  # else no document has come yet
-                model = Hmm.fitted(*sums, share)
-        if not log - last > SETTLED * abs(log):
+                model = Hmm.fitted(*(stretched(sums, before[turn], power) if power > 1 else sums), share)
+            before[turn] = sums
+        rounds += 1
+        settled = not log - last > SETTLED * abs(log)
+        if settled and power == 1:
             return model
+        if log < last:
+            most = 1.0
+        power = most if rounds > 1 and not settled else 1.0
         last = log
 
 

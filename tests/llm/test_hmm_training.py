@@ -135,3 +135,45 @@ def test_scores_are_those_of_the_fitted_model_by_hand(spark, monkeypatch):
         return log + math.log10(sum(a))
 
     assert sorted((str(x.doc_id), round(x.score, 6)) for x in got) == sorted((str(i), round(by_hand(t), 6)) for i, t in rows)
+
+
+def rounds_of(monkeypatch, texts, share, stretch):
+    """Rounds until the likelihood settles, and what it is then."""
+    calls = []
+
+    class Parts:
+        def where(self, turn):
+            calls.append(turn)
+            return texts[turn :: hm.TURNS]
+
+    class Turn:
+        def __eq__(self, turn):
+            return turn
+
+    monkeypatch.setattr(hm.F, "col", lambda name: Turn())
+    monkeypatch.setattr(hm, "expectation", lambda some, model: model.forward_backward(some))
+    monkeypatch.setattr(hm, "STRETCH", stretch)
+    model = hm.train(Parts(), hm.Hmm.fresh(4, share), share)
+    assert calls == list(range(hm.TURNS)) * (len(calls) // hm.TURNS)
+    return len(calls) // hm.TURNS, model.log10(texts).sum()
+
+
+def test_stretched_rounds_settle_sooner_and_no_lower(monkeypatch):
+    r, texts = np.random.default_rng(11), []
+    emit = r.dirichlet(np.full(30, 1.0), 4).cumsum(1)
+    for _ in range(400):
+        s, x = int(r.integers(4)), []
+        for u, v in r.random((60, 2)):
+            x.append(min(29, int(np.searchsorted(emit[s], u))))
+            s = s if v <= 0.5 else int(r.integers(4))
+        texts.append(np.array(x))
+    share = np.bincount(np.concatenate(texts), minlength=30) / sum(map(len, texts))
+    plain, stretched = (rounds_of(monkeypatch, texts, share, x) for x in (1.0, hm.STRETCH))
+    assert stretched[0] < plain[0] and stretched[1] > plain[1]
+    assert rounds_of(monkeypatch, texts, share, 30.0)[0] < 3 * plain[0]  # steps too far are taken back, and training ends
+
+
+def test_stretched_counts_keep_their_totals():
+    now, old = [np.array([4.0, 0.0, 12.0]), np.zeros((2, 2))], [np.array([8.0, 0.0, 6.0]), np.zeros((2, 2))]
+    a, b = hm.stretched(now, old, 1.5)
+    assert a.sum() == pytest.approx(16) and a[0] < 4 and a[1] == 0 and a[2] > 12 and not b.any()
