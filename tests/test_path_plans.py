@@ -11,6 +11,11 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 
+def shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange " in x and "BroadcastExchange" not in x for x in plan.splitlines())
+
+
 def size(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("\n")
 
@@ -23,6 +28,10 @@ def test_no_plan_of_the_matrix_is_large(spark, monkeypatch):
     assert max(sizes) < 200
 
 
+def test_flows_that_are_placed_move_once_more_for_their_verdict(spark):
+    assert shuffles(plans.QUERIES["reach_verdict"](spark, SF)) == 1
+
+
 def test_answers_that_are_many_are_shuffled(spark, monkeypatch):
     """Without broadcasts the rows are the same."""
     rows = lambda: sorted(plans.QUERIES["reach_path"](spark, SF).collect())
