@@ -32,6 +32,10 @@ def test_flows_that_are_placed_move_once_more_for_their_verdict(spark):
     assert shuffles(plans.QUERIES["reach_verdict"](spark, SF)) == 1
 
 
+def test_flows_that_are_placed_move_no_more_for_their_hops(spark):
+    assert shuffles(plans.QUERIES["reach_path"](spark, SF)) == 0
+
+
 def test_answers_that_are_many_are_shuffled(spark, monkeypatch):
     """Without broadcasts the rows are the same."""
     rows = lambda: sorted(plans.QUERIES["reach_path"](spark, SF).collect())
